@@ -23,15 +23,19 @@ KB = 1024.0
 SHORTEST_STEP = 1e-6
 
 
-def epoch_seconds(column: Column, data_type: str) -> Column:
-    """Seconds since 1970 as double, for numbers and timestamps with or without zone."""
+def _clock(column: Column, data_type: str) -> tuple[Column, float]:
+    """A time as a number, and how many of its units make a second.
+
+    Timestamps count whole microseconds, so differences are exact; a number is
+    taken as seconds.
+    """
     if data_type == "timestamp":
-        return F.unix_micros(column) / F.lit(1e6)
+        return F.unix_micros(column), 1e6
     if data_type == "timestamp_ntz":
         # Not through a zoned timestamp: a clock change would bend the rates.
         start = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
-        return F.timestamp_diff("MICROSECOND", start, column) / F.lit(1e6)
-    return column.cast("double")
+        return F.timestamp_diff("MICROSECOND", start, column), 1e6
+    return column.cast("double"), 1.0
 
 
 def with_previous(
@@ -47,13 +51,13 @@ def with_previous(
     ``ts`` is a timestamp or a number of seconds. ``tie`` orders readings with the
     same time. A node's first reading has a null ``previous``.
     """
-    seconds = epoch_seconds(F.col(ts), dict(df.dtypes)[ts])
+    time, per_second = _clock(F.col(ts), dict(df.dtypes)[ts])
     order = [ts, *tie]
     kept = [F.col(f"`{name}`") for name in df.columns]
     reading = F.struct(*[F.col(name) for name in dict.fromkeys([*order, *values])])
     staged = df.select(
         *kept,
-        F.floor(seconds / stretch_seconds).alias("__stretch"),
+        F.floor(time / F.lit(stretch_seconds * per_second)).alias("__stretch"),
         F.lit(False).alias("__copied"),
     )
 
@@ -76,9 +80,9 @@ def with_previous(
 
 
 def _step(ts: str, data_type: str) -> Column:
-    now, before = F.col(ts), F.col(f"previous.{ts}")
-    step = epoch_seconds(now, data_type) - epoch_seconds(before, data_type)
-    return F.greatest(F.lit(SHORTEST_STEP), step)
+    now, per_second = _clock(F.col(ts), data_type)
+    before, _ = _clock(F.col(f"previous.{ts}"), data_type)
+    return F.greatest(F.lit(SHORTEST_STEP), (now - before) / F.lit(per_second))
 
 
 def counter_rates(

@@ -15,12 +15,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from millrace.functions.fields import TOP_CATEGORY, clipped_category_index, present_columns
+from millrace.operators.batches import map_batches
 
 # Past this many slots a dense row costs more than it tells; use the sparse shape.
 MAX_DENSE_WIDTH = 4096
@@ -74,6 +78,36 @@ def encode_fixed_width(
     )
 
 
+def encode_batches(
+    df: DataFrame,
+    columns: Sequence[str],
+    top: int = TOP_CATEGORY,
+    batch_size: int = 4096,
+    suffix: str = "_vec",
+) -> DataFrame:
+    """``encode_fixed_width`` through a batch function, for comparison and as a pattern.
+
+    The index is computed before the rows leave the JVM; the function only turns
+    indices into rows of an identity matrix.
+    """
+    found = present_columns(df, columns, on_missing="skip")
+    indexed = df.withColumns(
+        {name + suffix: clipped_category_index(F.col(name), top) for name in found}
+    )
+    fields = [f for f in indexed.schema.fields if f.name in df.columns]
+    schema = StructType(
+        fields + [StructField(name + suffix, ArrayType(DoubleType())) for name in found]
+    )
+
+    def fill(frame: pd.DataFrame) -> pd.DataFrame:
+        identity = np.eye(top + 1)
+        for name in found:
+            frame[name + suffix] = list(identity[frame[name + suffix].to_numpy()])
+        return frame
+
+    return map_batches(indexed, fill, schema, batch_size)
+
+
 @dataclass(frozen=True)
 class OneHotModel:
     """Category count per column."""

@@ -191,10 +191,11 @@ def scale_array(
     )
     scaled = F.zip_with(
         F.col(array_column),
-        stats,
+        F.col("__slots"),
         lambda value, slot: standard_scaled(value, slot["mean"], slot["std"], with_mean, with_std),
     )
-    return df.withColumn(output or array_column, scaled)
+    # A subquery may not stand inside a lambda, so it gets a column of its own first.
+    return df.withColumn("__slots", stats).withColumn(output or array_column, scaled).drop("__slots")
 
 
 def scaled_check(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,24 +77,31 @@ def read_folder_or_none(read, spark: SparkSession, folder: str) -> DataFrame | N
         raise
 
 
-def _sampler_log(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+def sampler_readings(lines: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """``(path, ts, *fields)`` from ``(path, value)`` lines of an epoch and numbers.
+
+    Lines with a missing or unreadable number are left out.
+    """
     words = F.split(F.trim("value"), r"\s+")
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"), words.alias("words")
-    )
     numbers = [F.get("words", i).try_cast("double").alias(n) for i, n in enumerate(fields, 1)]
     return (
-        lines.select("path", F.get("words", 0).try_cast("bigint").alias("epoch"), *numbers)
-        .dropna(subset=["epoch", *fields])
+        lines.select("path", words.alias("words"))
+        .select("path", F.get("words", 0).try_cast("bigint").alias("epoch"), *numbers)
+        .where(F.col("epoch").isNotNull())
+        .dropna(subset=list(fields))
         .select("path", F.timestamp_seconds("epoch").alias("ts"), *fields)
     )
 
 
+def _log_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
 def read_cpu_log(spark: SparkSession, path: str) -> DataFrame:
     """``epoch percent`` lines as ``(path, ts, cpu_util_pct)``."""
-    return _sampler_log(spark, path, ["cpu_util_pct"])
+    return sampler_readings(_log_lines(spark, path), ["cpu_util_pct"])
 
 
 def read_memory_log(spark: SparkSession, path: str) -> DataFrame:
     """``epoch used available`` lines as ``(path, ts, mem_used_mb, mem_available_mb)``."""
-    return _sampler_log(spark, path, ["mem_used_mb", "mem_available_mb"])
+    return sampler_readings(_log_lines(spark, path), ["mem_used_mb", "mem_available_mb"])

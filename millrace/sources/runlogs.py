@@ -49,23 +49,40 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
+_MARKED_LINE = rf"^\s*{RESULT_MARKER}(.*)$"
+
+
+def first_marked_line(lines: DataFrame) -> DataFrame:
+    """``(path, payload)`` of each log's first marked line.
+
+    Expects ``(path, at, value)`` with ``at`` in line order. A partial aggregate
+    keeps one line per log and task, so a log of any size is spread over tasks.
+    """
+    return (
+        lines.where(F.col("value").rlike(_MARKED_LINE))
+        .groupBy("path")
+        .agg(F.min_by("value", "at").alias("value"))
+        .select("path", F.regexp_extract("value", _MARKED_LINE, 1).alias("payload"))
+    )
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """``(path, payload, result)`` for every log: its first marked line.
 
     A log without a marked line, or whose first one is malformed, has a null
-    result. Logs may be split over tasks: the first line is the one with the
-    smallest (offset of the split, row number in the split), found by a partial
-    aggregate that keeps one line per log and task. A missing path gives no rows.
+    result. A missing path gives no rows.
     """
     try:
         listing = listed_files(spark, path).select(plain_path(F.col("path")).alias("path"))
-        # Split at line feeds, as text files are; the line keeps a trailing \r to trim.
-        lines = spark.read.option("lineSep", "\n").text(path)
+        # Split at line feeds only; a trailing \r is left for the JSON parser to skip.
+        text = spark.read.option("lineSep", "\n").text(path)
     except AnalysisException as error:
         if not path_missing(error):
             raise
         return spark.createDataFrame([], f"path string, payload string, result {RESULT_SCHEMA}")
-    found = lines.select(
+    # A log may be read in several splits: the offset of the split orders those,
+    # the growing row id orders the lines of one.
+    lines = text.select(
         plain_path(F.col("_metadata.file_path")).alias("path"),
         F.struct(
             F.col("_metadata.file_block_start").alias("split"),
@@ -73,14 +90,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
         ).alias("at"),
         "value",
     )
-    pattern = rf"^\s*{RESULT_MARKER}(.*)$"
-    first = (
-        found.where(F.col("value").rlike(pattern))
-        .groupBy("path")
-        .agg(F.min_by("value", "at").alias("value"))
-        .select("path", F.regexp_extract("value", pattern, 1).alias("payload"))
-    )
-    return listing.join(first, "path", "left").select(
+    return listing.join(first_marked_line(lines), "path", "left").select(
         "path", "payload", parse_result(F.col("payload")).alias("result")
     )
 
