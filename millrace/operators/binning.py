@@ -18,10 +18,11 @@ bracket ends, counts and splits reach the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import QuantileDiscretizer
+from pyspark.ml.feature import Bucketizer, QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,10 +46,10 @@ class BinModel:
     def bin_of(self, name: str) -> Column:
         """1 + the number of splits at or below the value; null and NaN give null."""
         value = F.col(name).cast("double")
-        bin_number = F.lit(1)
-        for split in self.splits[self.columns.index(name)]:
-            bin_number = bin_number + (value >= F.lit(split)).cast("int")
-        return F.when(~F.isnan(value), bin_number)
+        above = [f"int(v >= {_double(s)})" for s in self.splits[self.columns.index(name)]]
+        quoted = f"double(`{name}`)"
+        count = " + ".join(["1", *above]).replace("(v ", f"({quoted} ")
+        return F.when(~F.isnan(value), F.expr(count))
 
     def transform(self, df: DataFrame, suffix: str = "_bin") -> DataFrame:
         return df.withColumns({name + suffix: self.bin_of(name) for name in self.columns})
@@ -88,6 +89,10 @@ class _Sizes:
         return max(1, -(-bracket.number * self.rows[bracket.column] // self.bins))
 
 
+def _double(number: float) -> str:
+    return f"double('{number!r}')"
+
+
 def _measure(values: DataFrame, bins: int) -> _Sizes:
     row = values.agg(
         *[
@@ -107,8 +112,8 @@ def _measure(values: DataFrame, bins: int) -> _Sizes:
 def _narrow(values: DataFrame, sizes: _Sizes, brackets: list[_Bracket]):
     """One pass over the table.
 
-    Returns the splits already known, narrower brackets for the rest, and the
-    most distinct values one of those can hold between its ends.
+    Returns the splits already known, narrower brackets for the rest, and how many
+    distinct values those of one column can hold between their ends.
     """
     spans = sorted({b.span for b in brackets})
     grid = F.lit([step / _GRID for step in range(_GRID + 1)])
@@ -143,16 +148,16 @@ def _narrow(values: DataFrame, sizes: _Sizes, brackets: list[_Bracket]):
         known: dict[tuple[str, int], float] = {}
         narrower: list[_Bracket] = []
         open_at: dict[int, list[tuple[_Bracket, float]]] = {}
-        most = 0
+        to_order = dict.fromkeys(sizes.rows, 0)
         for bracket in brackets:
             number = spans.index(bracket.span)
             count, rank = counts[number], sizes.rank(bracket)
             if rank <= count["under_low"]:
                 narrower.append(bracket.between(sizes.low[bracket.column], bracket.low))
-                most = max(most, count["under_low"])
+                to_order[bracket.column] += count["under_low"]
             elif rank > count["upto_high"]:
                 narrower.append(bracket.between(bracket.high, sizes.high[bracket.column]))
-                most = max(most, sizes.rows[bracket.column] - count["upto_high"])
+                to_order[bracket.column] += sizes.rows[bracket.column] - count["upto_high"]
             elif rank <= count["upto_low"]:
                 known[bracket.key] = bracket.low
             elif rank > count["upto_low"] + count["inside"]:
@@ -160,7 +165,7 @@ def _narrow(values: DataFrame, sizes: _Sizes, brackets: list[_Bracket]):
             else:
                 share = (rank - count["upto_low"]) / count["inside"]
                 open_at.setdefault(number, []).append((bracket, share))
-                most = max(most, int(count["inside"] * _SHRINK) + 1)
+                to_order[bracket.column] += int(count["inside"] * _SHRINK) + 1
         if open_at:
             # A grid value stands for the same share of the rows of its salt group.
             points = salted.where(F.col("inside") > 0).select(
@@ -194,7 +199,7 @@ def _narrow(values: DataFrame, sizes: _Sizes, brackets: list[_Bracket]):
                     )
     finally:
         salted.unpersist()
-    return known, narrower, most
+    return known, narrower, max(to_order.values())
 
 
 def _settle(values: DataFrame, sizes: _Sizes, brackets: list[_Bracket]):
@@ -202,59 +207,58 @@ def _settle(values: DataFrame, sizes: _Sizes, brackets: list[_Bracket]):
 
     Returns the splits and, for a rank outside its bracket, a bracket that holds it.
     """
-    cells, ends, wanted = [], {}, []
-    for name in sizes.rows:
-        own = [b for b in brackets if b.column == name]
-        if not own:
-            continue
-        value = F.col(name)
-        inside = F.lit(False)
-        for low, high in sorted({(b.low, b.high) for b in own}):
-            inside = inside | ((value >= F.lit(low)) & (value <= F.lit(high)))
-        ends[name] = sorted({b.low for b in own} | {b.high for b in own})
-        region = F.lit(0)
-        for end in ends[name]:
-            region = region + (value > F.lit(end)).cast("int")
+    columns = [n for n in sizes.rows if any(b.column == n for b in brackets)]
+    own = {n: [b for b in brackets if b.column == n] for n in columns}
+    ends = {n: sorted({e for b in own[n] for e in (b.low, b.high)}) for n in columns}
+    # A region is numbered by the ends at or below it. Looked up by binary search:
+    # the comparisons written out would be too much code for the JVM to compile.
+    regions = Bucketizer(
+        inputCols=columns,
+        outputCols=[f"__region_{n}" for n in columns],
+        splitsArray=[[-math.inf, *ends[n], math.inf] for n in columns],
+        handleInvalid="keep",
+    ).transform(values)
+    cells = []
+    for number, name in enumerate(columns):
+        value, region = F.col(f"`{name}`"), F.col(f"`__region_{name}`").cast("int")
+        within = [
+            any(b.low <= low and high <= b.high for b in own[name])
+            for low, high in zip([-math.inf, *ends[name]], [*ends[name], math.inf])
+        ]
+        kept = F.get(F.lit(within), region) | value.isin(ends[name])
         cells.append(
             F.when(
                 value.isNotNull(),
                 F.struct(
-                    F.lit(name).alias("column"),
+                    F.lit(number).alias("column"),
                     region.alias("region"),
-                    F.when(inside, value).alias("value"),
+                    F.when(kept, value).alias("value"),
                 ),
             )
         )
-        wanted += [
-            F.struct(
-                F.lit(name).alias("column"),
-                F.lit(b.number).alias("number"),
-                F.lit(sizes.rank(b)).cast("bigint").alias("rank"),
-            )
-            for b in own
-        ]
     counts = (
-        values.select(F.explode(F.array(*cells)).alias("cell"))
+        regions.select(F.explode(F.array(*cells)).alias("cell"))
         .where(F.col("cell").isNotNull())
         .groupBy("cell.column", "cell.region", "cell.value")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    # Regions follow the values; within one, rows outside every bracket come first.
-    running = Window.partitionBy("column").orderBy("region", F.col("value").asc_nulls_first())
+    wanted = [(columns.index(b.column), b.number, sizes.rank(b)) for b in brackets]
+    ranks = F.broadcast(
+        values.sparkSession.createDataFrame(wanted, "column int, number int, rank bigint")
+    )
+    # Regions follow the values. One outside all brackets is a single count, after
+    # the rows that equal the end it starts at.
+    running = Window.partitionBy("column").orderBy("region", F.col("value").asc_nulls_last())
     hits = (
         counts.withColumn("upto", F.sum("rows").over(running))
-        .withColumn("want", F.explode(F.array(*wanted)))
-        .where(
-            (F.col("want.column") == F.col("column"))
-            & (F.col("want.rank") <= F.col("upto"))
-            & (F.col("want.rank") > F.col("upto") - F.col("rows"))
-        )
-        .select("column", F.col("want.number").alias("number"), "region", "value")
+        .join(ranks, "column")
+        .where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("rows")))
+        .select("column", "number", "region", "value")
         .collect()
     )
     known, missed = {}, []
     for row in hits:
-        name, region = row["column"], row["region"]
+        name, region = columns[row["column"]], row["region"]
         if row["value"] is not None:
             known[name, row["number"]] = row["value"]
         else:
@@ -279,14 +283,14 @@ def fit_bins(df: DataFrame, columns: Sequence[str], bins: int = 10) -> BinModel:
         for n in sizes.rows
         for number in range(1, bins)
     ]
-    most = max(sizes.rows.values(), default=0)
+    to_order = max(sizes.rows.values(), default=0)
     while brackets:
-        if most * bins > _ORDERABLE:
-            known, brackets, most = _narrow(values, sizes, brackets)
+        if to_order > _ORDERABLE:
+            known, brackets, to_order = _narrow(values, sizes, brackets)
         else:
             known, brackets = _settle(values, sizes, brackets)
             # A missed bracket may span anything; look before counting values again.
-            most = max((sizes.rows[b.column] for b in brackets), default=0)
+            to_order = max((sizes.rows[b.column] for b in brackets), default=0)
         splits |= known
     return BinModel(
         tuple(columns),

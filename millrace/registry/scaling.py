@@ -88,7 +88,8 @@ def _vector_scale(spark, folder):
     table = parquet_table(spark, folder, "embeddings").select("vec_id", "embedding")
     width = 64  # the width of the table's embeddings
     scaled = ops.scale_array(table, "embedding", width, with_mean=True)
-    slots = scaled.select("vec_id", F.posexplode("embedding").alias("slot", "value"))
+    # The outer form: the inner one adds a filter that scales every vector again.
+    slots = scaled.select("vec_id", F.posexplode_outer("embedding").alias("slot", "value"))
     return round_columns(slots, "value")
 
 
