@@ -55,31 +55,42 @@ def ratio_or(numerator: Column, denominator: Column, fallback: Column) -> Column
     return F.when(denominator > 0, numerator / denominator).otherwise(fallback)
 
 
-def fixed_decimals(column: Column, places: int) -> Column:
-    """Text with ``places`` decimals, rounded like C ``printf``.
+def fixed_decimals(name: str, places: int) -> Column:
+    """Column ``name`` as text with ``places`` decimals, rounded like C ``printf``; for reports.
 
     The JVM formatter rounds the shortest decimal text half up; report readers
     expect the binary value rounded half to even (0.125 gives 0.12). The
     fraction is taken apart as an integer count of 2**-53, where that is exact.
+    Below 1 a double is finer than that; what the count misses is added back.
+
+    Written as SQL text with one-element arrays to name intermediate values:
+    built from Columns, each use of a value would repeat how it is made.
     """
     if not 0 <= places <= 3:
         raise ValueError("places must be 0 to 3: more would overflow the integer fraction")
     scale = 10**places
-    size = F.abs(column)
-    whole = F.floor(size)
-    parts = ((size - whole) * F.lit(float(1 << _FRACTION_BITS))).cast("bigint") * F.lit(scale)
-    down = F.shiftright(parts, _FRACTION_BITS)
-    rest = parts.bitwiseAND(F.lit((1 << _FRACTION_BITS) - 1))
-    half = F.lit(1 << (_FRACTION_BITS - 1))
+    one, half = 1 << _FRACTION_BITS, 1 << (_FRACTION_BITS - 1)
     # With no decimals the digit that decides a tie is the whole number itself.
-    odd = ((down if places else whole.cast("bigint")) % 2) == 1
-    digits = down + F.when((rest > half) | ((rest == half) & odd), 1).otherwise(0)
-    carry = F.when(digits >= scale, 1).otherwise(0)
-    sign = F.when(column < 0, F.lit("-")).otherwise(F.lit(""))
-    whole_text = (whole.cast("bigint") + carry).cast("string")
-    if places:
-        fraction = F.lpad((digits - carry * F.lit(scale)).cast("string"), places, "0")
-        text = F.concat(sign, whole_text, F.lit("."), fraction)
-    else:
-        text = F.concat(sign, whole_text)
-    return F.when(F.isnan(column), F.lit("nan")).otherwise(text)
+    deciding = "p.down" if places else "p.whole"
+    fraction = f"|| '.' || lpad(string(d.digits % {scale}), {places}, '0')" if places else ""
+    stages = [
+        f"named_struct('whole', floor(x), 'steps', (x - floor(x)) * double('{one}'))",
+        f"named_struct('whole', s.whole, 'steps', floor(s.steps), "
+        f"'missed', (s.steps - floor(s.steps)) * double('{scale}'))",
+        f"named_struct('whole', m.whole, 'inexact', m.missed > floor(m.missed), "
+        f"'parts', m.steps * {scale} + floor(m.missed))",
+        f"named_struct('whole', c.whole, 'inexact', c.inexact, "
+        f"'down', shiftright(c.parts, {_FRACTION_BITS}), 'rest', c.parts & {one - 1})",
+        f"named_struct('whole', p.whole, 'digits', p.down + int(p.rest > {half} "
+        f"OR (p.rest = {half} AND (p.inexact OR {deciding} % 2 = 1))))",
+        f"string(d.whole + int(d.digits >= {scale})) {fraction}",
+    ]
+    text = f"array(abs(`{name}`))"
+    for variable, stage in zip(("x", "s", "m", "c", "p", "d"), stages):
+        text = f"transform({text}, {variable} -> {stage})"
+    value = f"double(`{name}`)"
+    return F.expr(
+        f"CASE WHEN isnan({value}) THEN 'nan' "
+        f"WHEN abs({value}) = double('Infinity') THEN IF({value} < 0, '-inf', 'inf') "
+        f"ELSE IF({value} < 0, '-', '') || get({text}, 0) END"
+    )

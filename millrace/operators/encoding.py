@@ -32,19 +32,18 @@ MAX_DENSE_WIDTH = 4096
 _UNROLLED_WIDTH = 64
 
 
-def dense_slots(index: Column, width: int) -> Column:
-    """``array<double>`` of ``width`` with 1.0 at ``index``; all zeros when index >= width."""
+def dense_slots(index: str, width: int) -> Column:
+    """``array<double>`` of ``width`` with 1.0 at column ``index``; all zeros when index >= width."""
     if width > MAX_DENSE_WIDTH:
         raise ValueError(f"{width} dense slots exceed {MAX_DENSE_WIDTH}; use the sparse shape")
     if width <= 0:
-        return F.array().cast("array<double>")
+        return F.expr("CAST(array() AS array<double>)")
     if width <= _UNROLLED_WIDTH:
-        return F.array(*[(index == slot).cast("double") for slot in range(width)])
-    zero, one = F.lit(0.0), F.lit(1.0)
-    hit = F.concat(
-        F.array_repeat(zero, index), F.array(one), F.array_repeat(zero, F.lit(width - 1) - index)
+        return F.expr(f"array({', '.join(f'double(`{index}` = {slot})' for slot in range(width))})")
+    return F.expr(
+        f"IF(`{index}` < {width}, concat(array_repeat(0.0D, `{index}`), array(1.0D), "
+        f"array_repeat(0.0D, {width - 1} - `{index}`)), array_repeat(0.0D, {width}))"
     )
-    return F.when(index < width, hit).otherwise(F.array_repeat(zero, F.lit(width)))
 
 
 def sparse_slots(index: Column, width: int) -> Column:
@@ -61,6 +60,16 @@ def sparse_slots(index: Column, width: int) -> Column:
     )
 
 
+def _with_outputs(df: DataFrame, indices: dict[str, Column], outputs: dict[str, Column]) -> DataFrame:
+    # The indices are a projection of their own, so their checks and casts run
+    # once per row and not once per slot.
+    staged = df.withColumns(indices)
+    return staged.select(
+        *[F.col(f"`{name}`") for name in df.columns],
+        *[column.alias(name) for name, column in outputs.items()],
+    )
+
+
 def encode_fixed_width(
     df: DataFrame, columns: Sequence[str], top: int = TOP_CATEGORY, suffix: str = "_vec"
 ) -> DataFrame:
@@ -70,11 +79,10 @@ def encode_fixed_width(
     columns are skipped; all columns of the table pass through.
     """
     found = present_columns(df, columns, on_missing="skip")
-    return df.withColumns(
-        {
-            name + suffix: dense_slots(clipped_category_index(F.col(name), top), top + 1)
-            for name in found
-        }
+    return _with_outputs(
+        df,
+        {f"__index_{n}": clipped_category_index(F.col(n), top) for n in found},
+        {n + suffix: dense_slots(f"__index_{n}", top + 1) for n in found},
     )
 
 
@@ -136,13 +144,7 @@ class OneHotModel:
         return F.when(valid, value.cast("int")).otherwise(F.raise_error(message).cast("int"))
 
     def _encode(self, df: DataFrame, outputs: dict[str, Column]) -> DataFrame:
-        # The checked index is its own projection, so its checks run once per row
-        # and not once per slot.
-        staged = df.withColumns({f"__index_{n}": self.checked_index(n) for n in self.columns})
-        return staged.select(
-            *[F.col(f"`{name}`") for name in df.columns],
-            *[column.alias(name) for name, column in outputs.items()],
-        )
+        return _with_outputs(df, {f"__index_{n}": self.checked_index(n) for n in self.columns}, outputs)
 
     def sparse(self, df: DataFrame, suffix: str = "_vec") -> DataFrame:
         """Append one sparse column per encoded column."""
@@ -155,7 +157,7 @@ class OneHotModel:
         """Append one dense array per encoded column."""
         return self._encode(
             df,
-            {n + suffix: dense_slots(F.col(f"__index_{n}"), self.width(n)) for n in self.columns},
+            {n + suffix: dense_slots(f"__index_{n}", self.width(n)) for n in self.columns},
         )
 
     def slots(self, df: DataFrame, infix: str = "_is_") -> DataFrame:
@@ -166,7 +168,7 @@ class OneHotModel:
         return self._encode(
             df,
             {
-                f"{n}{infix}{slot}": (F.col(f"__index_{n}") == slot).cast("double")
+                f"{n}{infix}{slot}": F.expr(f"double(`__index_{n}` = {slot})")
                 for n in self.columns
                 for slot in range(self.width(n))
             },

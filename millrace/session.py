@@ -33,6 +33,8 @@ def local_session(
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # Recording the Python line of every Column costs milliseconds each.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in ENGINE_CONF.items():
         builder = builder.config(key, value)

@@ -92,37 +92,54 @@ def node_report(summary: DataFrame, node: str = "node") -> DataFrame:
     """The per-node table with fixed columns and decimals, all text."""
     return summary.select(
         F.col(node).alias("node"),
-        *[fixed_decimals(F.col(c), places).alias(name) for name, c, places in REPORT_COLUMNS],
+        *[fixed_decimals(c, places).alias(name) for name, c, places in REPORT_COLUMNS],
         F.col("samples").cast("string").alias("samples"),
     )
 
 
 def overall_report(roll_up: DataFrame) -> DataFrame:
     """``(position, line)``: one line of figures per metric, in report order."""
-    lines = F.lit(None).cast("string")
-    position = F.lit(None).cast("int")
-    for order, (metric, short, unit, places) in enumerate(OVERALL_LABELS):
-        line = F.concat(
-            F.lit(f"{short}_avg{unit}="), fixed_decimals(F.col("avg_of_nodes"), places),
-            F.lit(f" {short}_peak_avg{unit}="), fixed_decimals(F.col("peak_of_nodes_avg"), places),
-            F.lit(f" {short}_max_peak{unit}="), fixed_decimals(F.col("max_peak"), places),
-        )
-        lines = F.when(F.col("metric") == metric, line).otherwise(lines)
-        position = F.when(F.col("metric") == metric, F.lit(order)).otherwise(position)
-    return roll_up.select(position.alias("position"), lines.alias("line")).where(
-        F.col("position").isNotNull()
+    labels = F.array(
+        *[
+            F.struct(
+                F.lit(order).alias("position"),
+                F.lit(metric).alias("metric"),
+                F.lit(short).alias("short"),
+                F.lit(unit).alias("unit"),
+                F.lit(places).alias("places"),
+            )
+            for order, (metric, short, unit, places) in enumerate(OVERALL_LABELS)
+        ]
+    )
+    label = F.get(F.filter(labels, lambda entry: entry["metric"] == F.col("metric")), 0)
+
+    def figure(name: str) -> Column:
+        places = F.col("label.places")
+        return F.when(places == 0, fixed_decimals(name, 0)).when(
+            places == 1, fixed_decimals(name, 1)
+        ).otherwise(fixed_decimals(name, 2))
+
+    short, unit = F.col("label.short"), F.col("label.unit")
+    line = F.concat(
+        short, F.lit("_avg"), unit, F.lit("="), figure("avg_of_nodes"),
+        F.lit(" "), short, F.lit("_peak_avg"), unit, F.lit("="), figure("peak_of_nodes_avg"),
+        F.lit(" "), short, F.lit("_max_peak"), unit, F.lit("="), figure("max_peak"),
     )
+    labelled = roll_up.withColumn("label", label).where(F.col("label").isNotNull())
+    return labelled.select("label.position", line.alias("line"))
 
 
 def run_report(result: DataFrame) -> DataFrame:
     """``(label, text)``: seconds and balance of a run, those that are known."""
     r = F.col("result")
     balance = r["partition_balance"]
+    texts = {
+        "job_seconds": r["timing"]["job_seconds"].cast("string"),
+        "partition_balance(before)": F.to_json(balance["before"]),
+        "partition_balance(after)": F.to_json(balance["after"]),
+    }
     entries = F.array(
-        F.struct(F.lit("job_seconds").alias("label"),
-                 r["timing"]["job_seconds"].cast("string").alias("text")),
-        F.struct(F.lit("partition_balance(before)"), F.to_json(balance["before"])),
-        F.struct(F.lit("partition_balance(after)"), F.to_json(balance["after"])),
+        *[F.struct(F.lit(label).alias("label"), text.alias("text")) for label, text in texts.items()]
     )
     return result.select(F.inline(entries)).where(F.col("text").isNotNull())
 

@@ -61,14 +61,14 @@ def test_equals_mllib(spark, drop_last, handle_invalid):
 @pytest.mark.parametrize("width", [3, 64, 65, 200])
 def test_dense_widths(spark, width):
     df = spark.range(width + 2).select(F.col("id").cast("int").alias("i"))
-    rows = df.select("i", encoding.dense_slots(F.col("i"), width).alias("v")).collect()
+    rows = df.select("i", encoding.dense_slots("i", width).alias("v")).collect()
     for r in rows:
         assert r.v == [float(r.i == s) for s in range(width)]
 
 
 def test_dense_width_is_checked(small):
     with pytest.raises(ValueError, match="sparse"):
-        encoding.dense_slots(F.col("c"), encoding.MAX_DENSE_WIDTH + 1)
+        encoding.dense_slots("c", encoding.MAX_DENSE_WIDTH + 1)
     wide = encoding.OneHotModel(("c",), (10_000_000,))
     assert wide.sparse(small).first().c_vec["size"] == 10_000_000
 

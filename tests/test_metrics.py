@@ -176,5 +176,5 @@ def test_decimals_equal_printf(spark, places):
               4270.0, 123456789.987654, 0.05, 0.15, 0.95, 9.999999]
     values += [rng.uniform(-500, 5000) for _ in range(300)] + [rng.randrange(10**6) / 1000 for _ in range(300)]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
-    got = df.select("i", readings.fixed_decimals(F.col("v"), places).alias("t")).orderBy("i").collect()
+    got = df.select("i", readings.fixed_decimals("v", places).alias("t")).orderBy("i").collect()
     assert [r.t for r in got] == [f"{v:.{places}f}" for v in values]
