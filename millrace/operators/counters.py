@@ -5,7 +5,8 @@ readings, so a window over whole nodes could end in one task. Readings are
 therefore windowed within ``(node, stretch of time)``; the last reading of each
 stretch, one small row found by a partial aggregate, is copied into the node's
 next non-empty stretch. The result is the same as over whole nodes, and the only
-per-node window runs over the copies.
+per-node window runs over the copies. How long a stretch may be is measured:
+``fit_stretch`` shortens it until the fullest one fits a task.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STRETCH_SECONDS = 3600
+LONGEST_STRETCH = 3600.0
+ROWS_PER_STRETCH = 1_000_000
 
 # Disk counters count 512-byte sectors; rates are in KB of 1024.
 SECTOR_BYTES = 512
@@ -38,19 +40,41 @@ def _clock(column: Column, data_type: str) -> tuple[Column, float]:
     return column.cast("double"), 1.0
 
 
+def fit_stretch(
+    df: DataFrame, node: str = "node", ts: str = "ts", rows: int = ROWS_PER_STRETCH
+) -> float:
+    """Seconds per stretch so that no node has more than ``rows`` readings in one.
+
+    Counts readings per node and stretch (partial counts, no readings move) and
+    shortens the stretch by what the fullest one exceeds. Ends at a microsecond:
+    readings at the same instant stay together.
+    """
+    time, per_second = _clock(F.col(ts), dict(df.dtypes)[ts])
+    seconds = LONGEST_STRETCH
+    while True:
+        stretch = F.floor(time / F.lit(seconds * per_second)).alias("stretch")
+        fullest = df.groupBy(node, stretch).count().agg(F.max("count")).first()[0] or 0
+        if fullest <= rows or seconds <= SHORTEST_STEP:
+            return seconds
+        seconds = max(SHORTEST_STEP, seconds / (2 * -(-fullest // rows)))
+
+
 def with_previous(
     df: DataFrame,
     values: Sequence[str],
     node: str = "node",
     ts: str = "ts",
     tie: Sequence[str] = (),
-    stretch_seconds: int = STRETCH_SECONDS,
+    stretch_seconds: float | None = None,
 ) -> DataFrame:
     """Append ``previous``: a struct of ``ts`` and ``values`` of the node's reading before.
 
     ``ts`` is a timestamp or a number of seconds. ``tie`` orders readings with the
-    same time. A node's first reading has a null ``previous``.
+    same time. A node's first reading has a null ``previous``. Without
+    ``stretch_seconds`` one is fitted, which reads the two columns now.
     """
+    if stretch_seconds is None:
+        stretch_seconds = fit_stretch(df, node, ts)
     time, per_second = _clock(F.col(ts), dict(df.dtypes)[ts])
     order = [ts, *tie]
     kept = [F.col(f"`{name}`") for name in df.columns]
@@ -91,7 +115,7 @@ def counter_rates(
     node: str = "node",
     ts: str = "ts",
     tie: Sequence[str] = (),
-    stretch_seconds: int = STRETCH_SECONDS,
+    stretch_seconds: float | None = None,
     unit: float = 1.0,
 ) -> DataFrame:
     """Change per second of each counter ``{output: counter}``, in ``unit``s.
@@ -116,13 +140,16 @@ def disk_rates(
     device_readings: DataFrame,
     node: str = "node",
     ts: str = "ts",
-    stretch_seconds: int = STRETCH_SECONDS,
+    stretch_seconds: float | None = None,
 ) -> DataFrame:
     """KB/s read and written per node, from sector counters per device.
 
     Expects ``(node, ts, device, sectors_read, sectors_written)``, already limited
     to the devices to count.
     """
+    if stretch_seconds is None:
+        # Of the devices' readings, at least as many as totals: saves grouping twice.
+        stretch_seconds = fit_stretch(device_readings, node, ts)
     totals = device_readings.groupBy(node, ts).agg(
         F.sum("sectors_read").alias("sectors_read"),
         F.sum("sectors_written").alias("sectors_written"),
@@ -153,7 +180,7 @@ def cpu_utilisation(
     node: str = "node",
     ts: str = "ts",
     tie: Sequence[str] = (),
-    stretch_seconds: int = STRETCH_SECONDS,
+    stretch_seconds: float | None = None,
 ) -> DataFrame:
     """``cpu_util_pct`` from running CPU time counters; waiting for I/O counts as idle.
 

@@ -13,6 +13,7 @@ from millrace.registry.common import (
     events,
     line_features,
     lines,
+    r6,
     round_columns,
     scratch_folder,
 )
@@ -212,8 +213,8 @@ ORACLE = {
     "memory_used": f"""
         WITH t AS (SELECT {KEYS_SQL}, {', '.join(f'{sql} AS {n}' for n, sql in _MEMORY_SQL.items())}
                    FROM lineitem)
-        SELECT {KEYS_SQL}, round(greatest(0, CASE WHEN available_kb IS NOT NULL THEN total_kb - available_kb
+        SELECT {KEYS_SQL}, {r6("""greatest(0, CASE WHEN available_kb IS NOT NULL THEN total_kb - available_kb
                    ELSE total_kb - coalesce(free_kb, 0) - coalesce(buffers_kb, 0) - coalesce(cached_kb, 0)
-                   END) / 1024.0::DOUBLE, 6) AS mem_used_mb
+                   END) / 1024.0::DOUBLE""")} AS mem_used_mb
         FROM t""",
 }

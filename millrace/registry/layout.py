@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from millrace.operators import layout as ops
 from millrace.operators.scaling import scale_columns
-from millrace.registry.common import LINE_FEATURES, line_features, lines, round_columns
+from millrace.registry.common import LINE_FEATURES, line_features, lines, r6, round_columns
 
 _FIGURES = ("mean", "std", "cv", "max_over_min")
 
@@ -49,9 +49,9 @@ ORACLE = {
     "key_balance": f"""
         WITH c AS ({_COUNTS})
         SELECT count(*) AS num_partitions, min(rows) AS min, max(rows) AS max,
-               round(avg(rows), 6) AS mean, round(stddev_pop(rows), 6) AS std,
-               round(stddev_pop(rows) / avg(rows), 6) AS cv,
-               round(max(rows)::DOUBLE / min(rows), 6) AS max_over_min
+               {r6('avg(rows)')} AS mean, {r6('stddev_pop(rows)')} AS std,
+               {r6('stddev_pop(rows) / avg(rows)')} AS cv,
+               {r6('max(rows)::DOUBLE / min(rows)')} AS max_over_min
         FROM c""",
     "key_balance_top": f"{_COUNTS} ORDER BY rows DESC, l_suppkey LIMIT 10",
 }

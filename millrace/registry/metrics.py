@@ -72,12 +72,13 @@ def _summary_json(spark, folder):
         "value",
         "node bigint, metrics struct<cpu_util_pct: struct<avg: double, peak: double>, samples: bigint>",
     )
-    return text.select(parsed.alias("p")).select(
+    unpacked = text.select(parsed.alias("p")).select(
         "p.node",
-        F.round("p.metrics.cpu_util_pct.avg", 6).alias("cpu_avg"),
-        F.round("p.metrics.cpu_util_pct.peak", 6).alias("cpu_peak"),
+        F.col("p.metrics.cpu_util_pct.avg").alias("cpu_avg"),
+        F.col("p.metrics.cpu_util_pct.peak").alias("cpu_peak"),
         "p.metrics.samples",
     )
+    return round_columns(unpacked, "cpu_avg", "cpu_peak")
 
 
 def _summary_document(spark, folder):
@@ -90,13 +91,14 @@ def _summary_document(spark, folder):
         "overall_avg struct<mem_used_mb: struct<avg_of_nodes: double>, num_nodes: bigint>"
     )
     parsed = document.select(F.from_json("document", schema).alias("d"))
-    return parsed.select("d.overall_avg", F.explode("d.nodes").alias("node", "v")).select(
+    unpacked = parsed.select("d.overall_avg", F.explode("d.nodes").alias("node", "v")).select(
         "node",
-        F.round("v.mem_used_mb.avg", 6).alias("mem_avg"),
+        F.col("v.mem_used_mb.avg").alias("mem_avg"),
         "v.samples",
-        F.round("overall_avg.mem_used_mb.avg_of_nodes", 6).alias("mem_avg_of_nodes"),
+        F.col("overall_avg.mem_used_mb.avg_of_nodes").alias("mem_avg_of_nodes"),
         "overall_avg.num_nodes",
     )
+    return round_columns(unpacked, "mem_avg", "mem_avg_of_nodes")
 
 
 def _counter_rate(spark, folder):
@@ -121,10 +123,7 @@ def _disk_rates(spark, folder):
     )
     rates = counters.disk_rates(devices)
     kept = rates.select("node", "ts", "disk_read_kbps", "disk_write_kbps")
-    # Halves of round minutes are often exact in six places; nine are none's tie.
-    return kept.withColumns(
-        {n: F.round(F.col(n), 9) for n in ("disk_read_kbps", "disk_write_kbps")}
-    )
+    return round_columns(kept, "disk_read_kbps", "disk_write_kbps")
 
 
 _CPU_SQL = {
@@ -260,8 +259,8 @@ ORACLE = {
              d AS (SELECT node, ts, rd - lag(rd) OVER w AS drd, wr - lag(wr) OVER w AS dwr,
                           greatest(1e-6, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6) AS dt
                    FROM t WINDOW w AS (PARTITION BY node ORDER BY ts))
-        SELECT node, ts, round(drd * 512 / 1024.0::DOUBLE / dt, 9) + 0.0 AS disk_read_kbps,
-               round(dwr * 512 / 1024.0::DOUBLE / dt, 9) + 0.0 AS disk_write_kbps
+        SELECT node, ts, {r6('drd * 512 / 1024.0::DOUBLE / dt')} AS disk_read_kbps,
+               {r6('dwr * 512 / 1024.0::DOUBLE / dt')} AS disk_write_kbps
         FROM d WHERE drd IS NOT NULL""",
     "cpu_util": f"""
         WITH t AS (SELECT event_type, ts, event_id, {_CPU_SQL['total']} AS total,

@@ -54,9 +54,8 @@ def _scale_mllib(spark, folder):
     table = line_features(spark, folder)
     scaled = ops.mllib_scaler(LINE_FEATURES, with_mean=True).fit(table).transform(table)
     slots = scaled.select(*LINE_KEYS, vector_to_array("scaledFeatures").alias("s"))
-    return slots.select(
-        *LINE_KEYS, *[F.round(F.get("s", i), 6).alias(n) for i, n in enumerate(LINE_FEATURES)]
-    )
+    unpacked = slots.select(*LINE_KEYS, *[F.get("s", i).alias(n) for i, n in enumerate(LINE_FEATURES)])
+    return round_columns(unpacked, *LINE_FEATURES)
 
 
 def _scale_constant(spark, folder):

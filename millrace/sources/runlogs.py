@@ -40,8 +40,9 @@ def parse_result(payload: Column) -> Column:
     """
     options = {"allowSingleQuotes": "false"}
     parsed = F.from_json(F.concat(F.lit("["), payload, F.lit("]")), f"array<{RESULT_SCHEMA}>", options)
-    is_object = F.ltrim(payload).startswith("{")
-    return F.when(is_object & (F.size(parsed) == 1), F.get(parsed, 0))
+    # Through a one-element array, so that the text is parsed once for both uses.
+    single = F.get(F.filter(F.array(parsed), lambda objects: F.size(objects) == 1), 0)
+    return F.when(F.ltrim(payload).startswith("{"), F.get(single, 0))
 
 
 def plain_path(path: Column) -> Column:

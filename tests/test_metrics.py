@@ -137,6 +137,17 @@ def test_previous_equals_brute_force_with_a_hot_node(spark, stretch):
     assert {r.seq: tuple(r.previous) if r.previous else None for r in out} == expected
 
 
+def test_stretch_fits_the_fullest_node(spark):
+    rows = [("a", 10.0 + i / 1000) for i in range(900)] + [("b", 4000.0 * i) for i in range(100)]
+    df = spark.createDataFrame(rows, "node string, ts double")
+    assert counters.fit_stretch(df) == counters.LONGEST_STRETCH
+    seconds = counters.fit_stretch(df, rows=50)
+    stretch = F.floor(F.col("ts") / seconds)
+    assert df.groupBy("node", stretch).count().agg(F.max("count")).first()[0] <= 50
+    same = spark.createDataFrame([("a", 5.0)] * 20, "node string, ts double")
+    assert counters.fit_stretch(same, rows=3) == counters.SHORTEST_STEP
+
+
 def test_rates_of_timestamps(spark):
     df = spark.createDataFrame([("a", 1, "2024-03-31 00:30:00"), ("a", 7, "2024-03-31 03:30:00.5")],
                                "node string, v int, t string")
