@@ -62,7 +62,7 @@ def bench_csv(spark, megabytes: int) -> dict[str, float]:
     }
     trips = lines.withColumnsRenamed(rename)
     plain, binned = f"{folder}/trips", f"{folder}/binned"
-    bytes_per_copy = lines.count() * 82  # a line item is about 82 bytes of CSV
+    bytes_per_copy = lines.count() * 72  # a line item is about 72 bytes of CSV
     copies = max(1, round(megabytes * 1e6 / bytes_per_copy))
     many = trips.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).repartition(16)
     many.write.option("header", True).csv(plain)

@@ -85,7 +85,21 @@ def with_previous(
         F.lit(False).alias("__copied"),
     )
 
-    last = staged.groupBy(node, "__stretch").agg(F.max(reading).alias("__last"))
+    groups = staged.groupBy(node, "__stretch")
+    if tie:
+        last = groups.agg(F.max(reading).alias("__last"))
+    else:
+        # Plain numbers in the buffer keep this a hash aggregate; a struct needs a sort.
+        newest = groups.agg(
+            F.max(ts).alias("__ts"), *[F.max_by(v, ts).alias(f"__{i}") for i, v in enumerate(values)]
+        )
+        last = newest.select(
+            node,
+            "__stretch",
+            F.struct(
+                F.col("__ts").alias(ts), *[F.col(f"__{i}").alias(v) for i, v in enumerate(values)]
+            ).alias("__last"),
+        )
     following = F.lead("__stretch").over(Window.partitionBy(node).orderBy("__stretch"))
     copies = (
         last.withColumn("__stretch", following)

@@ -35,8 +35,14 @@ def summarize_by_node(
     summary = readings.groupBy(node).agg(*measures, F.count(F.lit(1)).alias("samples"))
     if nodes is None:
         return summary
-    return nodes.select(node).distinct().join(summary, node, "left").fillna(
-        0, subset=[c for c in summary.columns if c != node]
+    listed = nodes.select(node).distinct().join(summary, node, "left")
+    # Not fillna, which would also hide an average that is NaN.
+    return listed.withColumns(
+        {
+            name: F.coalesce(F.col(name), F.lit(0).cast(kind))
+            for name, kind in summary.dtypes
+            if name != node
+        }
     )
 
 

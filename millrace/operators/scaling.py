@@ -79,8 +79,19 @@ def z_scored(value: Column, mean: Column, std: Column) -> Column:
     return F.when(std == 0, by_zero).otherwise(centred / F.when(std != 0, std))
 
 
-def _moments_subquery(df: DataFrame, columns: Sequence[str]) -> Column:
-    return column_moments(df, columns).select(F.struct(*[F.col(f"`{n}`") for n in columns])).scalar()
+def _with_moments(df: DataFrame, columns: Sequence[str], fitted_on: DataFrame | None, scaled):
+    """Replace ``columns`` by ``scaled(value, statistics)``.
+
+    The statistics enter as one column of their own, so the plan holds a single
+    subquery however often they are used.
+    """
+    source = fitted_on if fitted_on is not None else df
+    moments = column_moments(source, columns).select(F.struct(*[F.col(f"`{n}`") for n in columns]))
+    staged = df.withColumn("__moments", moments.scalar())
+    stats = F.col("__moments")
+    return staged.withColumns(
+        {name: scaled(F.col(f"`{name}`"), stats[name]) for name in columns}
+    ).drop("__moments")
 
 
 def scale_columns(
@@ -93,14 +104,11 @@ def scale_columns(
     """Scale columns in place by their own statistics (or those of ``fitted_on``), lazily."""
     if not (with_mean or with_std):
         return df.withColumns({name: F.col(name).cast("double") for name in columns})
-    stats = _moments_subquery(fitted_on if fitted_on is not None else df, columns)
-    return df.withColumns(
-        {
-            name: standard_scaled(
-                F.col(name), stats[name]["mean"], stats[name]["std"], with_mean, with_std
-            )
-            for name in columns
-        }
+    return _with_moments(
+        df,
+        columns,
+        fitted_on,
+        lambda value, stats: standard_scaled(value, stats["mean"], stats["std"], with_mean, with_std),
     )
 
 
@@ -108,12 +116,8 @@ def zscore_columns(
     df: DataFrame, columns: Sequence[str], fitted_on: DataFrame | None = None
 ) -> DataFrame:
     """Z-score columns in place from global statistics, lazily. Other columns pass through."""
-    stats = _moments_subquery(fitted_on if fitted_on is not None else df, columns)
-    return df.withColumns(
-        {
-            name: z_scored(F.col(name), stats[name]["mean"], stats[name]["std"])
-            for name in columns
-        }
+    return _with_moments(
+        df, columns, fitted_on, lambda value, stats: z_scored(value, stats["mean"], stats["std"])
     )
 
 
