@@ -33,7 +33,7 @@ _ACCURACY = 4096
 # grid step plus the summary error on both sides, doubled for the merge.
 _SHRINK = 4 * (1 / _GRID + 1 / _ACCURACY)
 # Distinct values of one column that the last pass may order in one task.
-_ORDERABLE = 200_000
+_ORDERABLE = 2_000_000
 
 
 @dataclass(frozen=True)
