@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +42,16 @@ def remainder(key: Column, parts: int) -> Column:
 def sha256_text(text: str) -> str:
     """Lowercase hex digest of a text in UTF-8."""
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def portions(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts come to about ``limit`` bytes, or one text if it is longer."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    begin = filled = 0
+    for i, n in enumerate(lengths):
+        if filled and filled + n > limit:
+            yield batch.slice(begin, i - begin)
+            begin, filled = i, 0
+        filled += n
+    if begin < len(lengths):
+        yield batch.slice(begin)
