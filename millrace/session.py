@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # Settings a cluster should carry as well: run-time re-planning, skew splitting
@@ -41,3 +45,21 @@ def local_session(
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once.
+
+    Functions that run in tasks are found there by name, so workers need the package
+    wherever the driver was started.
+    """
+    context = spark.sparkContext
+    archive = f"{__package__}-{context.applicationId}.zip"
+    if archive in context._python_includes:
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix=f"{__package__}-")) / archive
+    with zipfile.ZipFile(path, "w") as file:
+        for source in sorted(root.rglob("*.py")):
+            file.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(path))
