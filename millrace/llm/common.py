@@ -11,8 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import ship_package
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the folder; the workers get this package along with it."""
+    ship_package(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 

@@ -1,8 +1,8 @@
 """Queries of this subpackage and their SQL."""
 
-from millrace.llm import bpe, language_id, secrets
+from millrace.llm import bpe, decontamination, language_id, secrets
 
-MODULES = (secrets, bpe, language_id)
+MODULES = (secrets, decontamination, bpe, language_id)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
