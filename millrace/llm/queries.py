@@ -1,8 +1,8 @@
 """Queries of this subpackage and their SQL."""
 
-from millrace.llm import bpe, decontamination, language_id, licenses, secrets, topk
+from millrace.llm import bpe, chat, decontamination, language_id, licenses, quality, secrets, topk
 
-MODULES = (secrets, decontamination, topk, bpe, licenses, language_id)
+MODULES = (secrets, decontamination, topk, bpe, chat, quality, licenses, language_id)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
