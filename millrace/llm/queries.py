@@ -1,8 +1,30 @@
 """Queries of this subpackage and their SQL."""
 
-from millrace.llm import bpe, chat, decontamination, language_id, licenses, quality, secrets, substring_dedup, topk
+from millrace.llm import (
+    bpe,
+    chat,
+    decontamination,
+    language_id,
+    licenses,
+    near_dedup,
+    quality,
+    secrets,
+    substring_dedup,
+    topk,
+)
 
-MODULES = (secrets, decontamination, topk, bpe, chat, substring_dedup, quality, licenses, language_id)
+MODULES = (
+    secrets,
+    decontamination,
+    topk,
+    bpe,
+    chat,
+    substring_dedup,
+    quality,
+    licenses,
+    near_dedup,
+    language_id,
+)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
