@@ -31,12 +31,12 @@ from millrace.llm.common import portions, table
 from millrace.llm.hashing import WordHashes, window_hashes
 
 WIDTH = 50
-COLLECTED = 2_000_000
+COLLECTED = 1_000_000
 COLLECTED_DOCUMENTS = 60_000
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 
 ENTRIES = "range int, doc_id long, whole boolean, documents binary, owners binary, hashes binary"
-MARKS = "doc_id long, whole boolean, hashes binary"
+MARKS = "doc_id long, whole boolean, hash long"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -137,32 +137,38 @@ def _collector(width: int, ranges: int):
 
 
 def _count_range(entries: pa.Table) -> pa.Table:
-    """Marks of one range: hashes of several entries, for all documents but the smallest."""
-    rows: list[tuple] = []
-    ids, hashes = [], []
+    """Marks of one range: hashes of several entries, for all documents but the smallest.
+
+    One row per mark, so that their number follows the input whatever the number of ranges.
+    """
+    ids, hashes, marked_ids, marked, whole = [], [], [], [], []
     for row in entries.select(["doc_id", "whole", "documents", "owners", "hashes"]).to_pylist():
-        if row["doc_id"] is not None:
-            rows.append((row["doc_id"], row["whole"], row["hashes"]))
-        else:
+        if row["doc_id"] is None:
             documents = np.frombuffer(row["documents"], np.int64)
             ids.append(documents[_unpack(row["owners"], np.uint16)])
             hashes.append(_unpack(row["hashes"], np.uint64))
+        elif row["whole"]:
+            whole.append(row["doc_id"])
+        else:
+            marked.append(np.frombuffer(row["hashes"], np.uint64))
+            marked_ids.append(np.full(len(marked[-1]), row["doc_id"], np.int64))
     if hashes:
         all_ids, all_hashes = np.concatenate(ids), np.concatenate(hashes)
-        del ids, hashes
         order = np.lexsort((all_ids, all_hashes))
         all_ids, all_hashes = all_ids[order], all_hashes[order]
         first = np.concatenate([[True], all_hashes[1:] != all_hashes[:-1]])
-        smallest = all_ids[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        marked = np.flatnonzero(all_ids > smallest)
-        marked = marked[np.argsort(all_ids[marked], kind="stable")]
-        rows += [(d, False, h.tobytes()) for d, h in _runs(all_ids[marked], all_hashes[marked])]
-    names = [part.split()[0] for part in MARKS.split(", ")]
-    return pa.Table.from_batches([_batch(rows, (pa.int64(), pa.bool_(), pa.binary()), names)])
+        later = np.flatnonzero(all_ids > all_ids[np.flatnonzero(first)[np.cumsum(first) - 1]])
+        marked_ids.append(all_ids[later])
+        marked.append(all_hashes[later])
+    found = np.concatenate([np.array(whole, np.int64), *marked_ids])
+    is_whole = np.arange(len(found)) < len(whole)
+    values = np.concatenate([np.zeros(len(whole), np.int64), *(m.view(np.int64) for m in marked)])
+    arrays = [pa.array(found), pa.array(is_whole), pa.array(values, mask=is_whole)]
+    return pa.table(arrays, names=[part.split()[0] for part in MARKS.split(", ")])
 
 
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """Columns doc_id, whole, hashes: marks per document, whole where every window is marked."""
+    """Columns doc_id, whole, hash: a row per marked window, or one where all of a document are."""
     picked = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     entries = picked.mapInArrow(_collector(width, max(1, math.ceil(size / RANGE_BYTES))), ENTRIES)
@@ -174,7 +180,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     marks = (
         find_repeats(docs, key, text, width)
         .groupBy("doc_id")
-        .agg(F.collect_list("hashes").alias("marks"), F.max("whole").alias("whole"))  # no more than its windows
+        .agg(F.collect_list("hash").alias("marks"), F.max("whole").alias("whole"))  # no more than its windows
     )
     kind = docs.schema[key].dataType.simpleString()
     picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -208,12 +214,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
 
 def _intervals(words, marked, whole, width: int, hashes_of: WordHashes) -> list[tuple[int, int]]:
     """Maximal intervals of words that marked windows cover."""
-    if not marked or len(words) < width:
+    if len(words) < width:
         return []
     if whole:
         return [(0, len(words))]
+    if not marked:
+        return []
     hashes = window_hashes(hashes_of.of(words), width)
-    starts = np.flatnonzero(np.isin(hashes, np.frombuffer(b"".join(marked), np.uint64)))
+    starts = np.flatnonzero(np.isin(hashes, np.array(marked, np.int64).view(np.uint64)))
     if not len(starts):
         return []
     cuts = np.flatnonzero(np.diff(starts) > width)

@@ -215,7 +215,7 @@ def brute_removed(documents, width):
     return {d: [w for i, w in enumerate(words) if i not in removed[d]] for d, words in split.items()}
 
 
-@pytest.mark.parametrize("collected_windows", [2_000_000, 40])
+@pytest.mark.parametrize("collected_windows", [1_000_000, 40])
 def test_repeats_by_brute_force(spark, monkeypatch, collected_windows):
     monkeypatch.setattr(substring_dedup, "COLLECTED", collected_windows)
     monkeypatch.setattr(substring_dedup, "RANGE_BYTES", 200)
