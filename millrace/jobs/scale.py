@@ -28,7 +28,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = cluster_session("scale " + args.run_id)
     if args.zscore:
         run, check = zscore_run(spark, args.input, args.numeric_cols, args.run_id)
-        check.show(truncate=False)
+        check.show(len(args.numeric_cols), truncate=False)
     else:
         run = scaling_run(
             spark,

@@ -20,9 +20,14 @@ def main(argv: list[str] | None = None) -> int:
     summary = summarize_run(cluster_session("summarize"), args.log, args.metrics)
     summary.write(args.out)
     if args.print:
-        node_report(summary.nodes).orderBy("node").show(1000, truncate=False)
-        overall_report(summary.overall).orderBy("position").show(truncate=False)
-        run_report(summary.result).show(truncate=False)
+        for report in (
+            node_report(summary.nodes).orderBy("node"),
+            overall_report(summary.overall).orderBy("position"),
+            run_report(summary.result),
+        ):
+            print("\t".join(report.columns))
+            for row in report.toLocalIterator():  # all rows, a partition at a time
+                print("\t".join(map(str, row)))
     return 0
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.readings import ratio_or
 
+_SALTS = 64
+
 
 def mean_of_runs(
     runs: DataFrame, configuration: Sequence[str], seconds: str = "job_seconds"
@@ -29,19 +31,23 @@ def speed_up(
 ) -> DataFrame:
     """Append ``speedup``: seconds on one machine over seconds on n, within each series.
 
-    The one-machine rows are reduced to one per series and joined back, so a
-    series of any length is spread over tasks. Null where a series lacks them.
+    The one-machine rows are reduced to one per series, which is joined back in
+    ``_SALTS`` copies to runs that are dealt over as many: a series of any length is
+    spread over tasks by whatever join. Null where a series lacks one-machine runs.
     """
     single = (
         runs.where(F.col(machines) == 1)
         .groupBy(*series)
         .agg(F.avg(seconds).alias("__single"))
+        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     )
+    salt = F.pmod(F.xxhash64(*runs.columns), F.lit(_SALTS)).cast("int")
     nothing = F.lit(None).cast("double")
     return (
-        runs.join(single, list(series), "left")
+        runs.withColumn("__salt", salt)
+        .join(single, [*series, "__salt"], "left")
         .withColumn("speedup", ratio_or(F.col("__single"), F.col(seconds), nothing))
-        .drop("__single")
+        .drop("__single", "__salt")
     )
 
 

@@ -4,8 +4,8 @@ Encoded values come in three shapes, all plain expressions:
 
 * sparse: ``struct(size, indices, values)`` - one slot per row however many
   categories there are; the shape to use when the width is large;
-* dense: ``array<double>`` - checked against ``MAX_DENSE_WIDTH``;
-* slots: one ``double`` column per category - also checked.
+* dense: ``array<double>``;
+* slots: one ``double`` column per category.
 
 ``mllib_one_hot`` gives ML vectors instead.
 """
@@ -26,20 +26,14 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from millrace.functions.fields import TOP_CATEGORY, clipped_category_index, present_columns
 from millrace.operators.batches import map_batches
 
-# Past this many slots a dense row costs more than it tells; use the sparse shape.
-MAX_DENSE_WIDTH = 4096
-# Up to here an array literal compiles to straight-line code; past it arrays are joined.
-_UNROLLED_WIDTH = 64
+# Indices are 32-bit numbers.
+MOST_CATEGORIES = (1 << 31) - 1
 
 
 def dense_slots(index: str, width: int) -> Column:
-    """``array<double>`` of ``width`` with 1.0 at column ``index``; all zeros when index >= width."""
-    if width > MAX_DENSE_WIDTH:
-        raise ValueError(f"{width} dense slots exceed {MAX_DENSE_WIDTH}; use the sparse shape")
+    """``array<double>`` of ``width`` with 1.0 at column ``index``; all zeros for null or >= width."""
     if width <= 0:
         return F.expr("CAST(array() AS array<double>)")
-    if width <= _UNROLLED_WIDTH:
-        return F.expr(f"array({', '.join(f'double(`{index}` = {slot})' for slot in range(width))})")
     return F.expr(
         f"IF(`{index}` < {width}, concat(array_repeat(0.0D, `{index}`), array(1.0D), "
         f"array_repeat(0.0D, {width - 1} - `{index}`)), array_repeat(0.0D, {width}))"
@@ -162,9 +156,6 @@ class OneHotModel:
 
     def slots(self, df: DataFrame, infix: str = "_is_") -> DataFrame:
         """Append one double column per category of every encoded column."""
-        total = sum(self.width(n) for n in self.columns)
-        if total > MAX_DENSE_WIDTH:
-            raise ValueError(f"{total} slot columns exceed {MAX_DENSE_WIDTH}")
         return self._encode(
             df,
             {
@@ -202,6 +193,8 @@ def fit_one_hot(
                 "(null, negative or fractional)"
             )
         top = row[name]["top"]
+        if top is not None and top >= MOST_CATEGORIES:
+            raise ValueError(f"column {name} holds category {top:.0f}; the largest index is {MOST_CATEGORIES - 1}")
         sizes.append(0 if top is None else int(top) + 1)
     return OneHotModel(tuple(columns), tuple(sizes), drop_last, handle_invalid)
 

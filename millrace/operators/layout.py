@@ -25,17 +25,6 @@ def held(df: DataFrame, warm: bool = True) -> DataFrame:
     return df
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = sum(batch.num_rows for batch in batches)
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array([TaskContext.get().partitionId()], pa.int32()),
-            pa.array([rows], pa.int64()),
-        ],
-        names=["partition", "rows"],
-    )
-
-
 def partition_rows(df: DataFrame) -> DataFrame:
     """``(partition, rows)`` for every partition, empty ones included.
 
@@ -44,9 +33,16 @@ def partition_rows(df: DataFrame) -> DataFrame:
     a second time. Here every task reports itself: it receives one constant bit
     per row, no column of the table, and sends one row.
     """
-    return df.select(F.lit(True).alias("row")).mapInArrow(
-        _count_batches, "partition int, rows bigint"
-    )
+
+    # Defined here, it travels by value: workers need not have this package.
+    def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sum(batch.num_rows for batch in batches)
+        partition = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([partition], pa.int32()), pa.array([rows], pa.int64())], names=["partition", "rows"]
+        )
+
+    return df.select(F.lit(True).alias("row")).mapInArrow(count_batches, "partition int, rows bigint")
 
 
 def key_rows(df: DataFrame, *keys: str) -> DataFrame:

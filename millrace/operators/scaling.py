@@ -176,28 +176,28 @@ def slot_moments(df: DataFrame, array_column: str) -> DataFrame:
 def scale_array(
     df: DataFrame,
     array_column: str,
-    width: int,
     with_mean: bool = False,
     with_std: bool = True,
     output: str | None = None,
 ) -> DataFrame:
-    """Scale a fixed-width array column slot by slot, lazily.
+    """Scale an array column slot by slot, lazily; arrays may differ in length.
 
-    The statistics are two arrays of ``width`` numbers in a one-row scalar
-    subquery: their size depends on ``width``, never on the rows.
+    Slots take their statistics from the rows that have them. These enter as one-row
+    scalar subquery whose size is the longest array's, whatever the number of rows;
+    every array keeps its own length.
     """
     entry = F.struct("slot", "mean", "std")
     stats = (
         slot_moments(df, array_column)
-        .where(F.col("slot") < width)
         .agg(F.array_sort(F.collect_list(entry)).alias("slots"))
         .scalar()
     )
-    scaled = F.zip_with(
-        F.col(array_column),
-        F.col("__slots"),
-        lambda value, slot: standard_scaled(value, slot["mean"], slot["std"], with_mean, with_std),
-    )
+
+    def scaled_slot(value: Column, number: Column) -> Column:
+        slot = F.get(F.col("__slots"), number)
+        return standard_scaled(value, slot["mean"], slot["std"], with_mean, with_std)
+
+    scaled = F.transform(array_column, scaled_slot)
     # A subquery may not stand inside a lambda, so it gets a column of its own first.
     return df.withColumn("__slots", stats).withColumn(output or array_column, scaled).drop("__slots")
 

@@ -11,14 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Hash space of the portable form: the first eight hex digits of an MD5 digest.
-_MD5_SPACE = 1 << 32
-_FINE = 1_000_000
+# Hash spaces: all 64 bits, and for the portable form the first fifteen hex digits of an MD5 digest.
+_SPACE = 1 << 64
+_MD5_SPACE = 1 << 60
 
 
 def md5_position(key: Column) -> Column:
-    """Position of a key in ``[0, 2**32)``; any engine with MD5 gets the same number."""
-    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint")
+    """Position of a key in ``[0, 2**60)``; any engine with MD5 gets the same number."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 15), 16, 10).cast("bigint")
 
 
 def subset_fraction(
@@ -30,8 +30,10 @@ def subset_fraction(
     if portable:
         key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
         return df.where(md5_position(key) < int(fraction * _MD5_SPACE))
-    position = F.pmod(F.xxhash64(*keys), F.lit(_FINE))
-    return df.where(position < int(round(fraction * _FINE)))
+    if fraction == 1:
+        return df
+    first = -(_SPACE // 2)
+    return df.where(F.xxhash64(*keys) < F.lit(first + int(fraction * _SPACE)).cast("bigint"))
 
 
 def stored_bytes(spark: SparkSession, path: str) -> int:

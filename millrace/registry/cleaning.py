@@ -74,14 +74,26 @@ def _assemble(spark, folder):
 
 def _csv(reader):
     def query(spark, folder):
-        path = scratch_folder(spark)
-        line_features(spark, folder).write.option("header", True).csv(path)
+        path = scratch_folder(spark, folder, f"lines-{reader.__name__}")
+        line_features(spark, folder).write.mode("overwrite").option("header", True).csv(path)
         table = fields.clean_features(reader(spark, path), LINE_FEATURES)
         return table.withColumns({n: F.col(n).cast("bigint") for n in LINE_KEYS})
 
     return query
 
 
+def _csv_by_name(spark, folder):
+    # Two folders with the columns in different order, read together.
+    base = scratch_folder(spark, folder, "lines-two-orders")
+    table = line_features(spark, folder)
+    odd = F.col("l_orderkey") % 2 == 1
+    paths = [f"{base}/a", f"{base}/b"]
+    for path, part in zip(paths, (table.where(odd), table.where(~odd).select(*reversed(table.columns)))):
+        part.write.mode("overwrite").option("header", True).csv(path)
+    read = fields.clean_features(csv_text(spark, paths), LINE_FEATURES)
+    return read.withColumns({n: F.col(n).cast("bigint") for n in LINE_KEYS})
+
+
 def _csv_declared(spark, path):
     return csv_typed(
         spark,
@@ -147,7 +159,12 @@ def _memory_used(spark, folder):
 
 
 def _sample_rows(spark, folder):
-    return sample_rows(line_features(spark, folder))
+    # How many rows come, and how many of them the table has.
+    table = line_features(spark, folder)
+    sample = sample_rows(table)
+    sampled = sample.agg(F.count("*")).scalar()
+    known = sample.join(table, table.columns, "left_semi").agg(F.count("*")).scalar()
+    return spark.range(1).select(sampled.alias("sampled"), known.alias("in_table"))
 
 
 QUERIES = {
@@ -159,6 +176,7 @@ QUERIES = {
     "csv_text_features": _csv(csv_text),
     "csv_typed_features": _csv(_csv_declared),
     "csv_inferred_features": _csv(csv_typed),
+    "csv_two_orders": _csv_by_name,
     "metric_row_clean": _metric_row_clean,
     "disk_filter": _disk_filter,
     "memory_used": _memory_used,
@@ -198,6 +216,8 @@ ORACLE = {
     "csv_text_features": _CSV_DUCK,
     "csv_typed_features": _CSV_DUCK,
     "csv_inferred_features": _CSV_DUCK,
+    "csv_two_orders": _CSV_DUCK,
+    "sample_rows": "SELECT least(5, count(*)) AS sampled, least(5, count(*)) AS in_table FROM lineitem",
     "metric_row_clean": f"""
         WITH t AS (SELECT event_id, {_METRIC_DUCK} FROM events),
              c AS (SELECT event_id, {', '.join(

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +40,13 @@ def r6(expression: str) -> str:
     return f"(round_even(({expression})::DOUBLE * 1e6::DOUBLE, 0) / 1e6::DOUBLE + 0.0)"
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder; a local one only if none is set."""
+def scratch_folder(spark: SparkSession, folder: str, name: str) -> str:
+    """The session's folder for tables of ``folder``, shared: for checkpoints or else the warehouse.
+
+    One per folder and name, to be overwritten. A local warehouse will do for a local session only.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="millrace-")
-    return f"{base}/millrace-{uuid.uuid4().hex}"
+    base = (shared or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    if not shared and base.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{base}/millrace-{spark.sparkContext.applicationId}/{crc32(folder.encode()):08x}/{name}"

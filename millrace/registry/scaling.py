@@ -84,22 +84,47 @@ def _vector_stats(spark, folder):
 
 
 def _vector_scale(spark, folder):
-    table = parquet_table(spark, folder, "embeddings").select("vec_id", "embedding")
-    width = 64  # the width of the table's embeddings
-    scaled = ops.scale_array(table, "embedding", width, with_mean=True)
+    return _scaled_slots(parquet_table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+def _vector_scale_ragged(spark, folder):
+    # Arrays of 60 to 64 slots, every third with one slot more than the others have.
+    table = parquet_table(spark, folder, "embeddings")
+    cut = F.slice("embedding", 1, (60 + F.col("vec_id") % 5).cast("int"))
+    more = F.concat("embedding", F.array((F.col("vec_id") % 7).cast("float")))
+    return _scaled_slots(table.select("vec_id", F.when(F.col("vec_id") % 3 == 0, more).otherwise(cut).alias("embedding")))
+
+
+def _scaled_slots(table):
+    scaled = ops.scale_array(table, "embedding", with_mean=True)
     # The outer form: the inner one adds a filter that scales every vector again.
     slots = scaled.select("vec_id", F.posexplode_outer("embedding").alias("slot", "value"))
     return round_columns(slots, "value")
 
 
 def _repartitioned_scale(spark, folder):
-    table = repartitioned(line_features(spark, folder), 16)
-    return round_columns(ops.scale_columns(table, LINE_FEATURES, True, True), *LINE_FEATURES)
+    # Fitted on the table as it lies: only the rows to scale are shuffled.
+    table = line_features(spark, folder)
+    scaled = ops.scale_columns(repartitioned(table, 16), LINE_FEATURES, True, True, fitted_on=table)
+    return round_columns(scaled, *LINE_FEATURES)
 
 
 def _cached_scale(spark, folder):
-    table = held(line_features(spark, folder), warm=False)
-    return round_columns(ops.scale_columns(table, LINE_FEATURES, True, True), *LINE_FEATURES)
+    # Held while statistics are taken, released before the result is returned.
+    table = line_features(spark, folder)
+    stored = held(table)
+    try:
+        model = ops.fit_scaler(stored, LINE_FEATURES)
+    finally:
+        stored.unpersist()
+    return round_columns(model.transform(table, True, True), *LINE_FEATURES)
+
+
+def _zscore_constant(spark, folder):
+    # A constant column, with nulls: nothing over nothing is NaN, null stays null.
+    five = F.when(F.col("l_linenumber") != 3, F.lit(5.0))
+    table = line_features(spark, folder).select(*LINE_KEYS, five.alias("five"))
+    return ops.zscore_columns(table, ["five"])
 
 
 def _materialised_rows(spark, folder):
@@ -146,6 +171,8 @@ QUERIES = {
     "null_fill_scale": _null_fill_scale,
     "vector_stats": _vector_stats,
     "vector_scale": _vector_scale,
+    "vector_scale_ragged": _vector_scale_ragged,
+    "zscore_constant_column": _zscore_constant,
     "repartitioned_scale": _repartitioned_scale,
     "cached_scale": _cached_scale,
     "materialised_rows": _materialised_rows,
@@ -190,6 +217,16 @@ ORACLE = {
              s AS (SELECT slot, avg(value) AS m, stddev_samp(value) AS d FROM v GROUP BY slot)
         SELECT vec_id, slot::INTEGER AS slot, {r6('(value - m) / d')} AS value
         FROM v JOIN s USING (slot)""",
+    "vector_scale_ragged": f"""
+        WITH e AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN list_append(embedding, (vec_id % 7)::FLOAT)
+                                       ELSE embedding[1:60 + vec_id % 5] END AS embedding FROM embeddings),
+             v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS value,
+                          generate_subscripts(embedding, 1) - 1 AS slot FROM e),
+             s AS (SELECT slot, avg(value) AS m, stddev_samp(value) AS d FROM v GROUP BY slot)
+        SELECT vec_id, slot::INTEGER AS slot, {r6('(value - m) / d')} AS value
+        FROM v JOIN s USING (slot)""",
+    "zscore_constant_column": f"""
+        SELECT {KEYS_SQL}, CASE WHEN l_linenumber <> 3 THEN 'NaN'::DOUBLE END AS five FROM lineitem""",
     "repartitioned_scale": _BOTH,
     "cached_scale": _BOTH,
     "materialised_rows": "SELECT count(*) AS rows FROM lineitem",

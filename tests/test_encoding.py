@@ -66,9 +66,13 @@ def test_dense_widths(spark, width):
         assert r.v == [float(r.i == s) for s in range(width)]
 
 
-def test_dense_width_is_checked(small):
-    with pytest.raises(ValueError, match="sparse"):
-        encoding.dense_slots("c", encoding.MAX_DENSE_WIDTH + 1)
+def test_wide_null_and_too_large_indices(spark, small):
+    df = spark.createDataFrame([(4999,), (None,)], "i int")
+    rows = df.select(encoding.dense_slots("i", 5000).alias("v")).collect()
+    assert [sum(r.v) for r in rows] == [1.0, 0.0] and rows[0].v[4999] == 1.0
+    large = spark.createDataFrame([(float(1 << 31),)], "c double")
+    with pytest.raises(ValueError, match="column c"):
+        encoding.fit_one_hot(large, ["c"])
     wide = encoding.OneHotModel(("c",), (10_000_000,))
     assert wide.sparse(small).first().c_vec["size"] == 10_000_000
 

@@ -117,6 +117,11 @@ def test_subsets_are_nested_and_stable(spark):
         subsets.subset_fraction(df, ["id"], 1.5)
 
 
+def test_small_target_of_a_large_table(spark):
+    few = subsets.subset_to_size(spark.range(20_000_000), ["id"], 100, 1_000_000_000)
+    assert 0 < few.count() < 12  # two expected, at a fraction of 1e-7
+
+
 def test_scaling_run(spark, write):
     path = write("trips.csv", TRIPS)
     run = preparation.scaling_run(spark, path, with_std=True, partitions=3, cache=True, run_id="r1")

@@ -72,7 +72,7 @@ def test_statistics_of_another_table(spark, small):
 
 def test_array_slots(spark):
     df = spark.createDataFrame([(0, [1.0, 5.0]), (1, [2.0, 5.0]), (2, [4.0, 5.0])], "i int, v array<double>")
-    rows = scaling.scale_array(df, "v", 2, True, True).orderBy("i").collect()
+    rows = scaling.scale_array(df, "v", True, True).orderBy("i").collect()
     assert [r.v[0] for r in rows] == pytest.approx([-0.872872, -0.218218, 1.091089], abs=1e-6)
     assert [r.v[1] for r in rows] == [0.0, 0.0, 0.0]
 
