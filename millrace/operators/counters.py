@@ -5,8 +5,9 @@ readings, so a window over whole nodes could end in one task. Readings are
 therefore windowed within ``(node, stretch of time)``; the last reading of each
 stretch, one small row found by a partial aggregate, is copied into the node's
 next non-empty stretch. The result is the same as over whole nodes, and the only
-per-node window runs over the copies. How long a stretch may be is measured:
-``fit_stretch`` shortens it until the fullest one fits a task.
+per-node window runs over the copies. Stretches are an hour long; where one node has
+more readings in one than fit a task, only that stretch is cut, at quantiles of its
+times. Readings without a time have no place in the order and are left out.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LONGEST_STRETCH = 3600.0
+STRETCH_SECONDS = 3600.0
 ROWS_PER_STRETCH = 1_000_000
+_CUTS = 255
 
 # Disk counters count 512-byte sectors; rates are in KB of 1024.
 SECTOR_BYTES = 512
@@ -40,23 +42,23 @@ def _clock(column: Column, data_type: str) -> tuple[Column, float]:
     return column.cast("double"), 1.0
 
 
-def fit_stretch(
-    df: DataFrame, node: str = "node", ts: str = "ts", rows: int = ROWS_PER_STRETCH
-) -> float:
-    """Seconds per stretch so that no node has more than ``rows`` readings in one.
+def overfull_stretches(
+    df: DataFrame, stretch: Column, time: Column, node: str = "node", rows: int | None = None
+) -> DataFrame | None:
+    """``(node, __stretch, __cuts)`` of stretches with more than ``rows`` readings (by default
+    ``ROWS_PER_STRETCH``); None without any.
 
-    Counts readings per node and stretch (partial counts, no readings move) and
-    shortens the stretch by what the fullest one exceeds. Ends at a microsecond:
-    readings at the same instant stay together.
+    Counts readings per node and stretch (partial counts, no readings move). Only the
+    overfull ones are looked at again, for the quantiles at which they are cut.
     """
-    time, per_second = _clock(F.col(ts), dict(df.dtypes)[ts])
-    seconds = LONGEST_STRETCH
-    while True:
-        stretch = F.floor(time / F.lit(seconds * per_second)).alias("stretch")
-        fullest = df.groupBy(node, stretch).count().agg(F.max("count")).first()[0] or 0
-        if fullest <= rows or seconds <= SHORTEST_STEP:
-            return seconds
-        seconds = max(SHORTEST_STEP, seconds / (2 * -(-fullest // rows)))
+    timed = df.select(node, stretch.alias("__stretch"), time.alias("__time"))
+    most = ROWS_PER_STRETCH if rows is None else rows
+    overfull = timed.groupBy(node, "__stretch").count().where(F.col("count") > most)
+    if overfull.isEmpty():
+        return None
+    grid = [(k + 1) / (_CUTS + 1) for k in range(_CUTS)]
+    within = timed.join(overfull, [node, "__stretch"], "left_semi")
+    return within.groupBy(node, "__stretch").agg(F.percentile_approx("__time", F.lit(grid), 4096).alias("__cuts"))
 
 
 def with_previous(
@@ -71,19 +73,21 @@ def with_previous(
 
     ``ts`` is a timestamp or a number of seconds. ``tie`` orders readings with the
     same time. A node's first reading has a null ``previous``. Without
-    ``stretch_seconds`` one is fitted, which reads the two columns now.
+    ``stretch_seconds`` overfull stretches are cut, which reads the two columns now.
     """
-    if stretch_seconds is None:
-        stretch_seconds = fit_stretch(df, node, ts)
+    df = df.where(F.col(ts).isNotNull())
     time, per_second = _clock(F.col(ts), dict(df.dtypes)[ts])
     order = [ts, *tie]
     kept = [F.col(f"`{name}`") for name in df.columns]
     reading = F.struct(*[F.col(name) for name in dict.fromkeys([*order, *values])])
-    staged = df.select(
-        *kept,
-        F.floor(time / F.lit(stretch_seconds * per_second)).alias("__stretch"),
-        F.lit(False).alias("__copied"),
-    )
+    stretch = F.floor(time / F.lit((stretch_seconds or STRETCH_SECONDS) * per_second))
+    cuts = None if stretch_seconds else overfull_stretches(df, stretch, time, node)
+    staged = df.select(*kept, stretch.alias("__stretch"), F.lit(False).alias("__copied"))
+    piece = F.lit(0)
+    if cuts is not None:
+        staged = staged.join(cuts, [node, "__stretch"], "left")
+        piece = F.coalesce(F.size(F.filter("__cuts", lambda cut: cut <= time)), F.lit(0))
+    staged = staged.select(*kept, F.struct("__stretch", piece.alias("piece")).alias("__stretch"), "__copied")
 
     groups = staged.groupBy(node, "__stretch")
     if tie:
@@ -161,9 +165,6 @@ def disk_rates(
     Expects ``(node, ts, device, sectors_read, sectors_written)``, already limited
     to the devices to count.
     """
-    if stretch_seconds is None:
-        # Of the devices' readings, at least as many as totals: saves grouping twice.
-        stretch_seconds = fit_stretch(device_readings, node, ts)
     totals = device_readings.groupBy(node, ts).agg(
         F.sum("sectors_read").alias("sectors_read"),
         F.sum("sectors_written").alias("sectors_written"),

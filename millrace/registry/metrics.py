@@ -83,7 +83,7 @@ def _summary_json(spark, folder):
 
 def _summary_document(spark, folder):
     summary = _summary(spark, folder)
-    no_run = spark.range(0).select(F.from_json(F.lit("{}"), summaries.RESULT_SCHEMA).alias("result"))
+    no_run = spark.createDataFrame([], "payload string, result struct<run_id: string>")
     document = summaries.summary_document(summary, nodestats.roll_up_nodes(summary), no_run)
     metric = "struct<avg: double, peak: double>"
     schema = (

@@ -88,10 +88,13 @@ _PAYLOAD_SQL = """
     END"""
 
 
+_TAKEN = "struct<run_id: string, rows: bigint, timing: struct<job_seconds: double>>"
+
+
 def _payloads(spark, folder):
     text = _PAYLOAD_SQL.format(text="STRING")
     return lines(spark, folder).select(
-        *LINE_KEYS, parse_result(F.expr(text)).alias("result")
+        *LINE_KEYS, parse_result(F.expr(text), _TAKEN).alias("result")
     )
 
 

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions.readings import fixed_decimals
 from millrace.operators.nodestats import METRICS
-from millrace.sources.runlogs import RESULT_SCHEMA
-
-# One document holds all its nodes in one row, so their number is checked.
-MAX_DOCUMENT_NODES = 10_000
 
 # Report columns and their decimals.
 REPORT_COLUMNS = (
@@ -40,14 +36,13 @@ def _node_entry() -> Column:
 
 
 def summary_document(summary: DataFrame, roll_up: DataFrame, result: DataFrame) -> DataFrame:
-    """One row, one column ``document``: the whole run summary as indented JSON.
+    """One row per log, one column ``document``: the whole run summary as indented JSON.
 
-    ``result`` holds at most one row with a ``result`` struct. For more nodes than
-    fit one document use ``summary_rows``.
+    ``result`` holds ``payload`` and ``result`` of each log; a payload that is a result
+    goes in whole, with fields the schema does not name. Without logs there is one
+    document without a run. A document names every node; ``summary_rows`` writes them as
+    rows of their own.
     """
-    nodes = summary.count()
-    if nodes > MAX_DOCUMENT_NODES:
-        raise ValueError(f"{nodes} nodes do not fit one document; write summary_rows instead")
     entries = summary.agg(
         F.map_from_entries(F.array_sort(F.collect_list(_node_entry()))).alias("nodes")
     )
@@ -64,13 +59,13 @@ def summary_document(summary: DataFrame, roll_up: DataFrame, result: DataFrame)
         ],
         F.max("num_nodes").alias("num_nodes"),
     ).select(F.struct(*METRICS, "num_nodes").alias("overall_avg"))
-    nothing = F.from_json(F.lit("{}"), RESULT_SCHEMA)
-    run = result.agg(F.coalesce(F.first("result", ignorenulls=True), nothing).alias("spark"))
-    return (
-        run.crossJoin(entries)
-        .crossJoin(overall)
-        .select(F.to_json(F.struct("spark", "nodes", "overall_avg"), {"pretty": "true"}).alias("document"))
+    run = F.parse_json(F.coalesce(F.when(F.col("result").isNotNull(), F.col("payload")), F.lit("{}")))
+    one = summary.sparkSession.range(1).select(
+        entries.scalar().alias("nodes"), overall.scalar().alias("overall_avg")
     )
+    runs = one.join(result.select("payload", "result"), F.lit(True), "left")
+    parts = F.struct(run.alias("spark"), "nodes", "overall_avg")
+    return runs.select(F.to_json(parts, {"pretty": "true"}).alias("document"))
 
 
 def write_summary_document(document: DataFrame, folder: str) -> None:

@@ -41,8 +41,9 @@ def typed_metrics(raw: DataFrame) -> DataFrame:
 
     Metric fields are typed by ``clean_readings``, which also decides which rows count.
     """
+    file = "file_name" if "file_name" in raw.columns else "_metadata.file_name"
     return raw.select(
-        node_of_file(F.col("_metadata.file_name")).alias("node"),
+        node_of_file(F.col(file)).alias("node"),
         F.timestamp_millis((F.col("ts").try_cast("double") * 1000).cast("bigint")).alias("ts"),
         *[F.col(n) for n in METRICS_FIELDS if n not in ("ts", "devices")],
         F.filter(F.split("devices", ";"), lambda d: d != "").alias("devices"),
@@ -50,15 +51,37 @@ def typed_metrics(raw: DataFrame) -> DataFrame:
 
 
 def read_node_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """All ``metrics_<node>.csv`` files of a folder. A foreign header is an error."""
-    raw = (
-        spark.read.schema(METRICS_SCHEMA)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("pathGlobFilter", METRICS_GLOB)
-        .csv(folder)
+    """All ``metrics_<node>.csv`` files of a folder, columns taken by name.
+
+    Every file has its own header: columns may come in any order, unknown ones are
+    ignored, absent ones are null (and count as empty).
+    """
+    lines = (
+        spark.read.option("pathGlobFilter", METRICS_GLOB)
+        .text(folder)
+        .select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_name").alias("file_name"),
+            F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+            "value",
+        )
+        .where(F.trim("value") != "")
     )
-    return typed_metrics(raw)
+    headers = lines.groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    widest = headers.agg(F.max(F.size(F.split("header", ",")))).first()[0] or 1
+    fields = ", ".join(f"c{k} string" for k in range(widest))
+
+    def cells(column: str) -> Column:
+        row = F.from_csv(column, fields)
+        return F.array(*[F.trim(row[f"c{k}"]) for k in range(widest)])
+
+    rows = lines.join(headers, "path").where(F.col("value") != F.col("header"))
+    split = rows.select("file_name", cells("value").alias("cells"), cells("header").alias("names"))
+    named = [
+        F.when(F.array_position("names", name) > 0, F.get("cells", F.array_position("names", name).cast("int") - 1))
+        for name in METRICS_FIELDS
+    ]
+    return typed_metrics(split.select("file_name", *[c.alias(n) for c, n in zip(named, METRICS_FIELDS)]))
 
 
 def read_node_names(spark: SparkSession, folder: str) -> DataFrame:

@@ -212,11 +212,13 @@ def test_summary_of_missing_inputs(spark, tmp_path):
     assert read_json(tmp_path / "out" / "summary") == {"spark": {}, "nodes": {}, "overall_avg": {}}
 
 
-def test_document_checks_its_size(spark, finished_run, monkeypatch):
-    monkeypatch.setattr(summaries, "MAX_DOCUMENT_NODES", 1)
-    summary = summarize_run(spark, *finished_run)
-    with pytest.raises(ValueError, match="nodes do not fit"):
-        summary.document()
+def test_one_document_per_log_with_all_its_fields(spark, finished_run, write):
+    log, metrics = finished_run
+    write("run/more.log", records.RESULT_MARKER + '{"run_id": "b", "extra": {"deep": [1, 2.5]}}\n')
+    summary = summarize_run(spark, log.replace("driver.log", "*.log"), metrics)
+    runs = [json.loads(r.document)["spark"] for r in summary.document().collect()]
+    assert sorted(r["run_id"] for r in runs) == ["a", "b"]
+    assert {"run_id": "b", "extra": {"deep": [1, 2.5]}} in runs
     assert summaries.summary_rows(summary.nodes).count() == 2
 
 
