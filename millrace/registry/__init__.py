@@ -5,9 +5,9 @@ Each module has ``QUERIES`` (name -> function of session and folder) and
 pick arbitrary rows.
 """
 
-from millrace.registry import cleaning, encoding, layout, metrics, runs, scaling
+from millrace.registry import cleaning, encoding, files, layout, metrics, runs, scaling
 
-MODULES = (scaling, cleaning, encoding, layout, metrics, runs)
+MODULES = (scaling, cleaning, encoding, layout, metrics, runs, files)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}

@@ -16,7 +16,7 @@ from millrace.sources.tables import parquet_table
 
 # Thirds: averages of round numbers often end exactly in a 5 where they are
 # rounded, and the engines round those differently.
-_METRIC_SQL = {
+METRIC_SQL = {
     "cpu_util_pct": "least(value / 3, 90)",
     "mem_used_mb": "user_id / 3.0e0",
     "disk_read_kbps": "CAST(regexp_extract(props, '[0-9]+', 0) AS DOUBLE) / 3",
@@ -31,7 +31,7 @@ def _readings(spark, folder, node="event_type"):
         F.col(node).alias("node"),
         "ts",
         "event_id",
-        *[F.expr(sql).alias(n) for n, sql in _METRIC_SQL.items()],
+        *[F.expr(sql).alias(n) for n, sql in METRIC_SQL.items()],
     )
 
 
@@ -186,13 +186,13 @@ QUERIES = {
 }
 
 _READINGS_SQL = (
-    f"SELECT {{node}} AS node, ts, event_id, {', '.join(f'{s} AS {n}' for n, s in _METRIC_SQL.items())} "
+    f"SELECT {{node}} AS node, ts, event_id, {', '.join(f'{s} AS {n}' for n, s in METRIC_SQL.items())} "
     "FROM events"
 )
 _AGGREGATES = ", ".join(f"avg({m}) AS {m}_avg, max({m}) AS {m}_peak" for m in METRICS)
 
 
-def _summary_sql(node="event_type"):
+def summary_sql(node="event_type"):
     return (
         f"SELECT node, {_AGGREGATES}, count(*) AS samples "
         f"FROM ({_READINGS_SQL.format(node=node)}) GROUP BY node"
@@ -210,37 +210,37 @@ _LAG = "lag({0}) OVER (PARTITION BY event_type ORDER BY ts, event_id)"
 _SECONDS = f"greatest(1e-6, (epoch_us(ts) - {_LAG.format('epoch_us(ts)')}) / 1e6)"
 
 ORACLE = {
-    "node_summary": f"SELECT node, {_ROUNDED}, samples FROM ({_summary_sql()})",
+    "node_summary": f"SELECT node, {_ROUNDED}, samples FROM ({summary_sql()})",
     "node_summary_listed": f"""
-        WITH s AS ({_summary_sql('user_id')})
+        WITH s AS ({summary_sql('user_id')})
         SELECT c_custkey AS node, {', '.join(f'coalesce({r6(c)}, 0.0) AS {c}' for c in _FIGURES)},
                coalesce(samples, 0) AS samples
         FROM customer LEFT JOIN s ON s.node = c_custkey""",
     "node_metric_rows": " UNION ALL ".join(
         f"SELECT node, '{m}' AS metric, {r6(f'{m}_avg')} AS avg, {r6(f'{m}_peak')} AS peak, samples "
-        f"FROM ({_summary_sql()})"
+        f"FROM ({summary_sql()})"
         for m in METRICS
     ),
     "cluster_rollup": " UNION ALL ".join(
         f"SELECT '{m}' AS metric, {', '.join(f'{r6(e)} AS {n}' for e, n in zip(_ROLL_SQL[m], _ROLLED))}, "
-        f"count(*) AS num_nodes FROM ({_summary_sql()})"
+        f"count(*) AS num_nodes FROM ({summary_sql()})"
         for m in METRICS
     ),
     "node_report": (
-        f"SELECT node, {_REPORT_SQL}, CAST(samples AS VARCHAR) AS samples FROM ({_summary_sql()})"
+        f"SELECT node, {_REPORT_SQL}, CAST(samples AS VARCHAR) AS samples FROM ({summary_sql()})"
     ),
     "overall_report": " UNION ALL ".join(
         f"SELECT {order} AS position, "
         + f"printf('{s}_avg{u.replace('%', '%%')}=%.{p}f {s}_peak_avg{u.replace('%', '%%')}=%.{p}f "
         f"{s}_max_peak{u.replace('%', '%%')}=%.{p}f', {', '.join(_ROLL_SQL[m])}) AS line "
-        f"FROM ({_summary_sql()})"
+        f"FROM ({summary_sql()})"
         for order, (m, s, u, p) in enumerate(summaries.OVERALL_LABELS)
     ),
     "summary_json": f"""
         SELECT node, {r6('cpu_util_pct_avg')} AS cpu_avg, {r6('cpu_util_pct_peak')} AS cpu_peak, samples
-        FROM ({_summary_sql('user_id')})""",
+        FROM ({summary_sql('user_id')})""",
     "summary_document": f"""
-        WITH s AS ({_summary_sql()})
+        WITH s AS ({summary_sql()})
         SELECT node, {r6('mem_used_mb_avg')} AS mem_avg, samples,
                (SELECT {r6('avg(mem_used_mb_avg)')} FROM s) AS mem_avg_of_nodes,
                (SELECT count(*) FROM s) AS num_nodes
