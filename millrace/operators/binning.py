@@ -4,15 +4,17 @@ Splits are exact order statistics: split ``i`` of ``n`` is the value at rank
 ``ceil(i * rows / n)``. They are found by narrowing instead of sorting the
 table:
 
-1. While a bracket of values around a wanted rank may hold many rows, one pass
-   counts exactly the rows below and inside each bracket and summarises the
-   inside. Summaries are merged within ``_SALTS`` groups first, so no single
-   task receives one per input task.
-2. One pass counts the rows between brackets and, inside them, the rows per
+1. A first pass counts and summarises every column, which gives a bracket of values
+   around each wanted rank. Summaries are merged within ``_SALTS`` groups first, so
+   no single task receives one per input task.
+2. As long as brackets may hold more values than a task should order, a pass counts
+   exactly the rows below and inside each bracket and summarises the inside.
+3. A last pass counts the rows between brackets and, inside them, the rows per
    value (map-side combined, so a value held by a third of all rows costs one
-   row per task). Cumulative counts give the exact value.
+   row per task). Counts per region tell the region of each rank, and cumulative
+   counts within that region the exact value.
 
-Both passes notice a rank outside its bracket and go on where it must lie. Only
+Passes notice a rank outside its bracket and go on where it must lie. Only
 bracket ends, counts and splits reach the driver.
 """
 
@@ -93,20 +95,80 @@ def _double(number: float) -> str:
     return f"double('{number!r}')"
 
 
-def _measure(values: DataFrame, bins: int) -> _Sizes:
-    row = values.agg(
+def _first_look(values: DataFrame, bins: int) -> tuple[_Sizes, list[_Bracket]]:
+    """One pass: rows and range of every column, and a bracket for every rank."""
+    grid = F.lit([step / _GRID for step in range(_GRID + 1)])
+    cells = [
+        F.struct(
+            F.lit(number).alias("span"),
+            F.count(name).alias("inside"),
+            F.min(name).alias("low"),
+            F.max(name).alias("high"),
+            F.percentile_approx(name, grid, _ACCURACY).alias("grid"),
+        )
+        for number, name in enumerate(values.columns)
+    ]
+    salted = _by_salt(values, cells).persist()  # columns x _SALTS rows
+    try:
+        measures = {
+            values.columns[row["span"]]: row
+            for row in salted.groupBy("span")
+            .agg(F.sum("inside").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high"))
+            .collect()
+            if row["rows"]
+        }
+        sizes = _Sizes(bins, *({n: row[f] for n, row in measures.items()} for f in ("rows", "low", "high")))
+        whole = {
+            values.columns.index(n): [
+                (_Bracket(n, number, sizes.low[n], sizes.high[n]), number / bins) for number in range(1, bins)
+            ]
+            for n in sizes.rows
+        }
+        return sizes, _around_ranks(salted, whole)
+    finally:
+        salted.unpersist()
+
+
+def _by_salt(values: DataFrame, cells: list[Column]) -> DataFrame:
+    return (
+        values.groupBy(F.pmod(F.spark_partition_id(), F.lit(_SALTS)).alias("salt"))
+        .agg(F.array(*cells).alias("cells"))
+        .select(F.inline("cells"))
+    )
+
+
+def _around_ranks(salted: DataFrame, open_at: dict[int, list[tuple[_Bracket, float]]]) -> list[_Bracket]:
+    """Narrower brackets around shares of the rows inside a span, by the summaries of its salts."""
+    if not any(open_at.values()):
+        return []
+    # A grid value stands for the same share of the rows of its salt group.
+    points = salted.where(F.col("inside") > 0).select(
+        "span", F.explode("grid").alias("value"), F.col("inside").alias("weight")
+    )
+    margin = _SHRINK / 2
+    shares = {
+        number: [min(1.0, max(0.0, share + side)) for _, share in members for side in (-margin, margin)]
+        for number, members in open_at.items()
+        if members
+    }
+    ends = points.agg(
         *[
-            F.struct(F.count(n).alias("rows"), F.min(n).alias("low"), F.max(n).alias("high")).alias(n)
-            for n in values.columns
+            F.percentile(F.when(F.col("span") == number, F.col("value")), F.lit(wanted), F.col("weight")).alias(
+                f"span_{number}"
+            )
+            for number, wanted in shares.items()
         ]
     ).first()
-    filled = [n for n in values.columns if row[n]["rows"]]
-    return _Sizes(
-        bins,
-        {n: row[n]["rows"] for n in filled},
-        {n: row[n]["low"] for n in filled},
-        {n: row[n]["high"] for n in filled},
-    )
+    narrower = []
+    for number in shares:
+        for order, (bracket, share) in enumerate(open_at[number]):
+            low, high = ends[f"span_{number}"][2 * order : 2 * order + 2]
+            narrower.append(
+                bracket.between(
+                    low if share > margin else bracket.low, high if share < 1 - margin else bracket.high
+                )
+            )
+    return narrower
 
 
 def _narrow(values: DataFrame, sizes: _Sizes, brackets: list[_Bracket]):
@@ -131,11 +193,7 @@ def _narrow(values: DataFrame, sizes: _Sizes, brackets: list[_Bracket]):
                 F.count_if(value <= F.lit(high)).alias("upto_high"),
             )
         )
-    salted = (
-        values.groupBy(F.pmod(F.spark_partition_id(), F.lit(_SALTS)).alias("salt"))
-        .agg(F.array(*cells).alias("cells"))
-        .select(F.inline("cells"))
-    )
+    salted = _by_salt(values, cells)
     # Spans x _SALTS rows; kept so that the table is not read again for the second look.
     salted = salted.persist()
     try:
@@ -166,37 +224,7 @@ def _narrow(values: DataFrame, sizes: _Sizes, brackets: list[_Bracket]):
                 share = (rank - count["upto_low"]) / count["inside"]
                 open_at.setdefault(number, []).append((bracket, share))
                 to_order[bracket.column] += int(count["inside"] * _SHRINK) + 1
-        if open_at:
-            # A grid value stands for the same share of the rows of its salt group.
-            points = salted.where(F.col("inside") > 0).select(
-                "span", F.explode("grid").alias("value"), F.col("inside").alias("weight")
-            )
-            margin = _SHRINK / 2
-            ends = points.agg(
-                *[
-                    F.percentile(
-                        F.when(F.col("span") == number, F.col("value")),
-                        F.lit(
-                            [
-                                min(1.0, max(0.0, share + side))
-                                for _, share in members
-                                for side in (-margin, margin)
-                            ]
-                        ),
-                        F.col("weight"),
-                    ).alias(f"span_{number}")
-                    for number, members in open_at.items()
-                ]
-            ).first()
-            for number, members in open_at.items():
-                for order, (bracket, share) in enumerate(members):
-                    low, high = ends[f"span_{number}"][2 * order : 2 * order + 2]
-                    narrower.append(
-                        bracket.between(
-                            low if share > margin else bracket.low,
-                            high if share < 1 - margin else bracket.high,
-                        )
-                    )
+        narrower += _around_ranks(salted, open_at)
     finally:
         salted.unpersist()
     return known, narrower, max(to_order.values())
@@ -242,20 +270,36 @@ def _settle(values: DataFrame, sizes: _Sizes, brackets: list[_Bracket]):
         .groupBy("cell.column", "cell.region", "cell.value")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    wanted = [(columns.index(b.column), b.number, sizes.rank(b)) for b in brackets]
-    ranks = F.broadcast(
-        values.sparkSession.createDataFrame(wanted, "column int, number int, rank bigint")
-    )
-    # Regions follow the values. One outside all brackets is a single count, after
-    # the rows that equal the end it starts at.
-    running = Window.partitionBy("column").orderBy("region", F.col("value").asc_nulls_last())
-    hits = (
-        counts.withColumn("upto", F.sum("rows").over(running))
-        .join(ranks, "column")
-        .where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("rows")))
-        .select("column", "number", "region", "value")
-        .collect()
-    )
+    counts = counts.persist()  # brackets hold few values by now
+    try:
+        totals: dict[str, dict[int, int]] = {n: {} for n in columns}
+        for row in counts.groupBy("column", "region").agg(F.sum("rows").alias("rows")).collect():
+            totals[columns[row["column"]]][row["region"]] = row["rows"]
+        wanted = []
+        for bracket in brackets:
+            below = 0
+            for region, rows in sorted(totals[bracket.column].items()):
+                if sizes.rank(bracket) <= below + rows:
+                    wanted.append((columns.index(bracket.column), bracket.number, region, sizes.rank(bracket) - below))
+                    break
+                below += rows
+        # brackets x 4 numbers
+        ranks = F.broadcast(
+            values.sparkSession.createDataFrame(wanted, "column int, number int, region int, rank bigint")
+        )
+        # The rows of a region outside all brackets are a single count, after those that
+        # equal the end it starts at.
+        running = Window.partitionBy("column", "region").orderBy(F.col("value").asc_nulls_last())
+        hits = (
+            counts.join(ranks.select("column", "region").distinct(), ["column", "region"], "left_semi")
+            .withColumn("upto", F.sum("rows").over(running))
+            .join(ranks, ["column", "region"])
+            .where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("rows")))
+            .select("column", "number", "region", "value")
+            .collect()
+        )
+    finally:
+        counts.unpersist()
     known, missed = {}, []
     for row in hits:
         name, region = columns[row["column"]], row["region"]
@@ -276,14 +320,9 @@ def fit_bins(df: DataFrame, columns: Sequence[str], bins: int = 10) -> BinModel:
             for name in columns
         ]
     )
-    sizes = _measure(values, bins)
     splits: dict[tuple[str, int], float] = {}
-    brackets = [
-        _Bracket(n, number, sizes.low[n], sizes.high[n])
-        for n in sizes.rows
-        for number in range(1, bins)
-    ]
-    to_order = max(sizes.rows.values(), default=0)
+    sizes, brackets = _first_look(values, bins)
+    to_order = max((int(n * _SHRINK * bins) for n in sizes.rows.values()), default=0)
     while brackets:
         if to_order > _ORDERABLE:
             known, brackets, to_order = _narrow(values, sizes, brackets)

@@ -38,7 +38,7 @@ def test_splits_are_exact(spark, monkeypatch, name, values, orderable):
 def test_wrong_brackets_are_noticed(spark, monkeypatch):
     values = [float(v) for v in range(1000)]
     df = spark.createDataFrame([(v,) for v in values], "x double").repartition(2)
-    sizes = binning._measure(df, 10)
+    sizes, _ = binning._first_look(df, 10)
     aside = [binning._Bracket("x", 5, 700.0, 800.0), binning._Bracket("x", 9, 10.0, 20.0)]
     known, missed = binning._settle(df, sizes, aside)
     assert known == {} and {(b.number, b.low, b.high) for b in missed} == {(5, 20.0, 700.0), (9, 800.0, 999.0)}
