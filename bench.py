@@ -12,15 +12,16 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 from pyspark.sql import functions as F
 
 from millrace.functions.fields import split_names
 from millrace.operators.binning import bin_columns
+from millrace.operators.subsets import stored_bytes
 from millrace.plans import preparation
 from millrace.registry import QUERIES
+from millrace.registry.common import scratch_folder
 from millrace.session import local_session
 from millrace.sinks.execution import materialise
 
@@ -53,7 +54,7 @@ def bench_queries(spark) -> dict[str, float]:
 
 def bench_csv(spark, megabytes: int) -> dict[str, float]:
     """The scaling and encoding jobs on CSV text, first run, reading included."""
-    folder = tempfile.mkdtemp(prefix="bench-csv-")
+    folder = scratch_folder(spark, FOLDER, "bench-csv")
     lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
     rename = {
         "l_linenumber": "passenger_count",
@@ -65,14 +66,14 @@ def bench_csv(spark, megabytes: int) -> dict[str, float]:
     bytes_per_copy = lines.count() * 72  # a line item is about 72 bytes of CSV
     copies = max(1, round(megabytes * 1e6 / bytes_per_copy))
     many = trips.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).repartition(16)
-    many.write.option("header", True).csv(plain)
+    many.write.mode("overwrite").option("header", True).csv(plain)
     features = list(rename.values())
     ready = bin_columns(trips, features)
     ready = ready.select(*[F.col(n + "_bin").alias(n) for n in features],
                          *[n for n in trips.columns if n not in features])
-    ready.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).repartition(16).write.option(
-        "header", True
-    ).csv(binned)
+    ready.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).repartition(16).write.mode(
+        "overwrite"
+    ).option("header", True).csv(binned)
 
     seconds = {}
     for mode, flags in (("std", (False, True)), ("mean_std", (True, True))):
@@ -84,7 +85,7 @@ def bench_csv(spark, megabytes: int) -> dict[str, float]:
     seconds["onehot_fitted"] = round(run.result["timing"]["job_seconds"], 3)
     run = preparation.fixed_encoding_run(spark, binned)
     seconds["onehot_fixed"] = round(run.result["timing"]["job_seconds"], 3)
-    size = sum(f.stat().st_size for f in os.scandir(plain))
+    size = stored_bytes(spark, plain)
     print(f"rows {run.result['rows']} bytes {size}", file=sys.stderr)
     return seconds
 
