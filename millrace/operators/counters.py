@@ -6,8 +6,8 @@ therefore windowed within ``(node, stretch of time)``; the last reading of each
 stretch, one small row found by a partial aggregate, is copied into the node's
 next non-empty stretch. The result is the same as over whole nodes, and the only
 per-node window runs over the copies. Stretches are an hour long; where one node has
-more readings in one than fit a task, only that stretch is cut, at quantiles of its
-times. Readings without a time have no place in the order and are left out.
+more readings in one than fit a task, only that stretch is cut, at places drawn from
+its readings. Readings without a time have no place in the order and are left out.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 STRETCH_SECONDS = 3600.0
 ROWS_PER_STRETCH = 1_000_000
-_CUTS = 255
 
 # Disk counters count 512-byte sectors; rates are in KB of 1024.
 SECTOR_BYTES = 512
@@ -43,22 +42,23 @@ def _clock(column: Column, data_type: str) -> tuple[Column, float]:
 
 
 def overfull_stretches(
-    df: DataFrame, stretch: Column, time: Column, node: str = "node", rows: int | None = None
+    df: DataFrame, stretch: Column, order: Column, node: str = "node", rows: int | None = None
 ) -> DataFrame | None:
-    """``(node, __stretch, __cuts)`` of stretches with more than ``rows`` readings (by default
-    ``ROWS_PER_STRETCH``); None without any.
+    """``(node, __stretch, __cuts)`` of stretches with more than ``rows`` readings; None without any.
 
     Counts readings per node and stretch (partial counts, no readings move). Only the
-    overfull ones are looked at again, for the quantiles at which they are cut.
+    overfull ones are looked at again: readings drawn by a hash, two per ``rows`` (by
+    default ``ROWS_PER_STRETCH``), say where they are cut. Cuts are places in the order
+    of readings, so that one instant is cut as well where ties are told apart.
     """
-    timed = df.select(node, stretch.alias("__stretch"), time.alias("__time"))
     most = ROWS_PER_STRETCH if rows is None else rows
-    overfull = timed.groupBy(node, "__stretch").count().where(F.col("count") > most)
+    placed = df.select(node, stretch.alias("__stretch"), order.alias("__order"))
+    overfull = placed.groupBy(node, "__stretch").count().where(F.col("count") > most)
     if overfull.isEmpty():
         return None
-    grid = [(k + 1) / (_CUTS + 1) for k in range(_CUTS)]
-    within = timed.join(overfull, [node, "__stretch"], "left_semi")
-    return within.groupBy(node, "__stretch").agg(F.percentile_approx("__time", F.lit(grid), 4096).alias("__cuts"))
+    drawn = F.pmod(F.xxhash64("__order"), F.lit(most)) < 2
+    within = placed.where(drawn).join(overfull, [node, "__stretch"], "left_semi")
+    return within.groupBy(node, "__stretch").agg(F.array_sort(F.collect_set("__order")).alias("__cuts"))
 
 
 def with_previous(
@@ -68,6 +68,7 @@ def with_previous(
     ts: str = "ts",
     tie: Sequence[str] = (),
     stretch_seconds: float | None = None,
+    rows_per_stretch: int | None = None,
 ) -> DataFrame:
     """Append ``previous``: a struct of ``ts`` and ``values`` of the node's reading before.
 
@@ -81,12 +82,13 @@ def with_previous(
     kept = [F.col(f"`{name}`") for name in df.columns]
     reading = F.struct(*[F.col(name) for name in dict.fromkeys([*order, *values])])
     stretch = F.floor(time / F.lit((stretch_seconds or STRETCH_SECONDS) * per_second))
-    cuts = None if stretch_seconds else overfull_stretches(df, stretch, time, node)
+    place = F.struct(time.alias("time"), *tie)
+    cuts = None if stretch_seconds else overfull_stretches(df, stretch, place, node, rows_per_stretch)
     staged = df.select(*kept, stretch.alias("__stretch"), F.lit(False).alias("__copied"))
     piece = F.lit(0)
     if cuts is not None:
         staged = staged.join(cuts, [node, "__stretch"], "left")
-        piece = F.coalesce(F.size(F.filter("__cuts", lambda cut: cut <= time)), F.lit(0))
+        piece = F.coalesce(F.size(F.filter("__cuts", lambda cut: cut <= place)), F.lit(0))
     staged = staged.select(*kept, F.struct("__stretch", piece.alias("piece")).alias("__stretch"), "__copied")
 
     groups = staged.groupBy(node, "__stretch")
@@ -135,6 +137,7 @@ def counter_rates(
     tie: Sequence[str] = (),
     stretch_seconds: float | None = None,
     unit: float = 1.0,
+    rows_per_stretch: int | None = None,
 ) -> DataFrame:
     """Change per second of each counter ``{output: counter}``, in ``unit``s.
 
@@ -143,7 +146,7 @@ def counter_rates(
     """
     data_type = dict(readings.dtypes)[ts]
     names = list(dict.fromkeys(counters.values()))
-    paired = with_previous(readings, names, node, ts, tie, stretch_seconds).where(
+    paired = with_previous(readings, names, node, ts, tie, stretch_seconds, rows_per_stretch).where(
         F.col("previous").isNotNull()
     )
     return paired.withColumns(

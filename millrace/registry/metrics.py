@@ -113,6 +113,18 @@ def _counter_rate(spark, folder):
     return round_columns(kept, "value_rate", "user_rate")
 
 
+def _counter_rate_hot(spark, folder):
+    # A third of the readings share one instant, some have no time; stretches are cut small.
+    moved = F.when(F.col("event_id") % 50 == 1, None).when(
+        F.col("event_id") % 3 == 0, F.to_timestamp_ntz(F.lit("2024-01-02 00:00:00"))
+    ).otherwise(F.col("ts").cast("timestamp_ntz"))
+    readings = events(spark, folder).select("event_type", moved.alias("ts"), "event_id", "value")
+    rates = counters.counter_rates(
+        readings, {"value_rate": "value"}, node="event_type", tie=["event_id"], rows_per_stretch=100
+    )
+    return round_columns(rates.select("event_type", "event_id", "value_rate"), "value_rate")
+
+
 def _disk_rates(spark, folder):
     # Several events of a node in one minute are its devices at that reading.
     devices = events(spark, folder).select(
@@ -179,6 +191,7 @@ QUERIES = {
     "summary_json": _summary_json,
     "summary_document": _summary_document,
     "counter_rate": _counter_rate,
+    "counter_rate_hot": _counter_rate_hot,
     "disk_rates": _disk_rates,
     "cpu_util": _cpu_util,
     "series_buckets": _series,
@@ -252,6 +265,15 @@ ORACLE = {
                      {_LAG.format('event_id')} AS before
               FROM events)
         WHERE before IS NOT NULL""",
+    "counter_rate_hot": f"""
+        WITH e AS (SELECT event_type, event_id, value, CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-01-02 00:00:00'
+                                                            ELSE ts END AS ts
+                   FROM events WHERE event_id % 50 <> 1)
+        SELECT event_type, event_id, {r6('dv / dt')} AS value_rate
+        FROM (SELECT event_type, event_id, value - {_LAG.format('value')} AS dv, {_SECONDS} AS dt,
+                     {_LAG.format('event_id')} AS before
+              FROM e)
+        WHERE before IS NOT NULL""",
     "disk_rates": f"""
         WITH t AS (SELECT event_type AS node, date_trunc('minute', ts)::TIMESTAMP AS ts,
                           sum(event_id * 8)::BIGINT AS rd, sum(user_id)::BIGINT AS wr
