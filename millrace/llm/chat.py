@@ -2,8 +2,8 @@
 
 A template is any function from a list of (role, text) turns to a text. The turns of a
 conversation pass in order; before and after each turn the turns so far are rendered, and what
-the second output adds to the first is the turn's span. Rendering the turn once more with an
-empty text tells header and footer from content, hence the part under the loss mask. A template
+the second output adds to the first is the turn's span. Rendering the turn once more with two
+one-letter texts tells header and footer from content, hence the part under the loss mask. A template
 whose second output does not begin with the first rewrites history: the turn is marked.
 
 A rendering starts at most ``CONTEXT`` turns back, so a conversation costs in proportion to its
@@ -70,17 +70,13 @@ def parse_turns(formatted: str) -> Turns:
 def render_turn(render: Callable[[Turns], str], before: Turns, turn: tuple[str, str]) -> tuple[str, int, int, bool]:
     """The text a turn adds, begin and end of its content there, and whether history was rewritten."""
     earlier, later = (render(before) if before else ""), render([*before, turn])
-    empty = render([*before, (turn[0], "")])
     shared = len(os.path.commonprefix([earlier, later]))
-    rewritten = shared < len(earlier)
-    piece, bare = later[shared:], empty[shared:] if empty.startswith(later[:shared]) else empty
-    begin = len(os.path.commonprefix([piece, bare]))
-    footer = len(os.path.commonprefix([piece[begin:][::-1], bare[::-1]]))
-    # with an empty text the header runs into the footer, so the common start may be too long
-    while begin and begin + footer < len(bare):
-        footer += 1
-    begin = min(begin, len(bare) - footer)
-    return piece, begin, len(piece) - footer, rewritten
+    # two texts of one letter differ in nothing but their content
+    probes = [render([*before, (turn[0], letter)]) for letter in "ab"]
+    header = max(0, len(os.path.commonprefix(probes)) - shared)
+    footer = len(os.path.commonprefix([p[::-1] for p in probes]))
+    piece = later[shared:]
+    return piece, min(header, len(piece)), max(header, len(piece) - footer), shared < len(earlier)
 
 
 FORMATTED = "turn_rank long, role string, piece string, begin long, mask_begin long, mask_end long, rewritten boolean"

@@ -174,6 +174,18 @@ def test_escaping_is_reversible():
         assert chat.parse_turns(chat.marked_turns([(text, text), ("user", "")])) == [(text, text), ("user", "")]
 
 
+def test_content_is_told_from_header_and_footer():
+    rnd = random.Random(7)
+    texts = ["", "a", "b", "\n", "x\n", "<", "<|im_end|>", "assistant\n", "\n<|im_end|>\n", "<|im_start|>assistant\n"]
+    texts += ["".join(rnd.choice("<|>\\ab\nim_startend") for _ in range(rnd.randint(0, 12))) for _ in range(300)]
+    for k, text in enumerate(texts):
+        for role in ("assistant", "user", "<|im_start|>"):
+            before = [("user", texts[k - 1])] * (k % 3)
+            piece, begin, end, rewritten = chat.render_turn(chat.marked_turns, before, (role, text))
+            assert piece == chat.marked_turns([(role, text)]) and not rewritten
+            assert piece[begin:end] == chat.escape(text)
+
+
 def test_pieces_add_up_and_masks_hold_content(spark):
     rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"text {t} <|im_end|>") for t in range(30)]
     rows += [(1, 5, "assistant", None), (1, 5, "assistant", None), (None, None, None, "x"), (2, 1, "assistant", "")]
