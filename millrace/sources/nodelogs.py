@@ -71,17 +71,20 @@ def read_node_metrics(spark: SparkSession, folder: str) -> DataFrame:
     widest = headers.agg(F.max(F.size(F.split("header", ",")))).first()[0] or 1
     fields = ", ".join(f"c{k} string" for k in range(widest))
 
-    def cells(column: str) -> Column:
-        row = F.from_csv(column, fields)
-        return F.array(*[F.trim(row[f"c{k}"]) for k in range(widest)])
-
-    rows = lines.join(headers, "path").where(F.col("value") != F.col("header"))
-    split = rows.select("file_name", cells("value").alias("cells"), cells("header").alias("names"))
-    named = [
-        F.when(F.array_position("names", name) > 0, F.get("cells", F.array_position("names", name).cast("int") - 1))
-        for name in METRICS_FIELDS
-    ]
-    return typed_metrics(split.select("file_name", *[c.alias(n) for c, n in zip(named, METRICS_FIELDS)]))
+    def cells(row: str) -> Column:
+        return F.array(*[F.col(f"{row}.c{k}") for k in range(widest)])
+
+    # Where each field stands is worked out once per file, the lines are parsed once each.
+    names = F.transform(cells("names"), lambda name: F.trim(name))
+    position = {n: F.array_position(names, n).cast("int") for n in METRICS_FIELDS}
+    places = headers.select("path", "header", F.from_csv("header", fields).alias("names")).select(
+        "path", "header", *[F.when(at > 0, at - 1).alias(f"at_{n}") for n, at in position.items()]
+    )
+    parsed = lines.select("path", "file_name", "value", F.from_csv("value", fields).alias("row"))
+    rows = parsed.join(places, "path").where(F.col("value") != F.col("header"))
+    return typed_metrics(
+        rows.select("file_name", *[F.trim(F.get(cells("row"), F.col(f"at_{n}"))).alias(n) for n in METRICS_FIELDS])
+    )
 
 
 def read_node_names(spark: SparkSession, folder: str) -> DataFrame:
