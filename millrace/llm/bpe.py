@@ -10,8 +10,8 @@ Two tokens can stand side by side when merging the symbols of both gives just th
 Special tokens in a text are cut out first; normalisation and splitting into words are the
 tokenizer file's own, done by the library for any text that is not plain Latin.
 
-Bounded: a trie holds the new words of one portion of texts; what a worker
-remembers is dropped when it comes to ``KNOWN_WORDS``. A branch that only one word takes is not stored but walked
+Bounded: a trie holds the new words of one portion of texts (``PORTION_BYTES``); what a worker
+remembers is dropped when it comes to ``KNOWN_WORDS`` or ``KNOWN_PAIRS``. A branch that only one word takes is not stored but walked
 along the word, so a long word costs its length.
 
 Defined cases: a null or empty text has no tokens and decodes to the empty text. An id outside
@@ -37,7 +37,9 @@ from tokenizers import Tokenizer
 from millrace.llm.common import portions, table
 
 TOKENIZER_PATH = public_tokenizers.path("word_bpe_49k.json")
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 200_000
+KNOWN_PAIRS = 400_000
+PORTION_BYTES = 2 << 20
 
 # The normaliser and splitter of the file named above. With these, a text of ASCII
 # (no control characters but white space) and Latin letters splits by _PLAIN_WORD after
@@ -85,8 +87,14 @@ class TrieEncoder:
         self.ids = {plain(token): i for token, i in vocabulary.items()}
         self.ranks = {(plain(a), plain(b)): rank for rank, (a, b) in enumerate(merges)}
         self.longest = max(map(len, self.ids), default=1)
+        self.reach: dict[str, int] = {}  # by last three symbols, length of the longest token
+        for token in self.ids:
+            if len(token) > 2:
+                self.reach[token[-3:]] = max(len(token), self.reach.get(token[-3:], 0))
         self.origins: dict[str, tuple[int, str, str] | None] = {}
-        self.neighbours: dict[tuple[str, str], bool] = {}
+        self.names = {i: token for token, i in self.ids.items()}
+        self.span = max(self.names, default=0) + 1
+        self.neighbours: dict[int, bool] = {}  # by id before * span + id
 
     def _origin(self, token: str) -> tuple[int, str, str] | None:
         """Rank and parts of the last merge that makes a token; rank -1 for one symbol.
@@ -126,23 +134,26 @@ class TrieEncoder:
             else:
                 until, left = left_rank, left_end
 
-    def _last_token(self, recent: str, lasts: list[str | None]) -> str:
+    def _fits(self, before: int, token: int) -> bool:
+        """Whether a prefix that ends in token ``before`` (-1 for none) may go on with ``token``."""
+        name = self.names[token]
+        if self._origin(name) is None:
+            return False
+        return before < 0 or self._side_by_side(self.names[before], name)
+
+    def _last_token(self, recent: str, lasts: list[int]) -> int:
         """The last token of the prefix that ends in ``recent``, given those of shorter ones."""
         depth = len(lasts)
-        for size in range(len(recent), 0, -1):
-            token = recent[-size:]
-            if token not in self.ids:
+        for size in range(min(len(recent), self.reach.get(recent[-3:], 2)), 0, -1):
+            token = self.ids.get(recent[-size:])
+            if token is None:
                 continue
-            before = lasts[depth - size]
-            if before is None:
-                fits = self._origin(token) is not None
-            else:
-                fits = self.neighbours.get((before, token))
-                if fits is None:
-                    fits = self._origin(token) is not None and self._side_by_side(before, token)
-                    if len(self.neighbours) >= KNOWN_WORDS:
-                        self.neighbours.clear()
-                    self.neighbours[before, token] = fits
+            pair = lasts[depth - size] * self.span + token
+            fits = self.neighbours.get(pair)
+            if fits is None:
+                if len(self.neighbours) >= KNOWN_PAIRS:
+                    self.neighbours.clear()
+                fits = self.neighbours[pair] = self._fits(lasts[depth - size], token)
             if fits:
                 return token
         raise ValueError(f"no token of the vocabulary ends {recent!r}")
@@ -153,7 +164,7 @@ class TrieEncoder:
         for word in words:
             _insert(trie, _closed(word))
         encoded = {}
-        lasts: list[str | None] = [None]  # by length of prefix; nothing precedes the first token
+        lasts = [-1]  # by length of prefix; nothing precedes the first token
         open_edges = [(symbol, child, 0, "") for symbol, child in trie.items()]
         while open_edges:
             symbol, child, depth, recent = open_edges.pop()
@@ -169,8 +180,8 @@ class TrieEncoder:
                 lasts.append(self._last_token(recent, lasts))
             tokens, end = [], len(word)
             while end:
-                tokens.append(self.ids[lasts[end]])
-                end -= len(lasts[end])
+                tokens.append(lasts[end])
+                end -= len(self.names[lasts[end]])
             encoded[word[:-1] + chr(ord(word[-1]) - _LAST)] = tuple(reversed(tokens))
         return encoded
 
@@ -283,7 +294,7 @@ def encode_texts(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(shared.value)
         for batch in batches:
-            for part in portions(batch, text):
+            for part in portions(batch, text, PORTION_BYTES):
                 ids = coder.encode(part.column(1).to_pylist())
                 columns = [part.column(0), _lists(ids)]
                 if decode:
