@@ -10,7 +10,7 @@ documents, where the windows are hashed again and marked ones merge into maximal
 Memory: a collection holds about ``COLLECTED`` windows, a range of hashes about those of
 ``RANGE_BYTES`` of text; the number of ranges follows the measured size of the table, so ranges
 stay alike at any size. Hashes have 64 bits: among n different windows about n^2 / 2^65 pairs
-share one by chance (0.0005 pairs for the 125 million windows of 0.9 GB of text).
+share one by chance (0.0004 pairs for the 125 million windows of 0.9 GB of text).
 
 Defined cases: null and empty texts have no words and lose none. A row with a null id keeps all
 words and makes no other row lose any. Rows with the same id do not count as earlier than one
