@@ -1,14 +1,15 @@
 """Connected components of a graph of links, by union-find in the tasks and hooking between them.
 
-Each round the tasks merge the links they hold with a union-find forest, so that every node
-points at one root there. Nodes with several roots then link these to the least of them, all
-others jump to the root of their root. Rounds end when nothing moves; a chain of n nodes needs
-about log n of them. Links stay distributed all the time and every round is cut off by a
-checkpoint.
+Each round the tasks, one per ``PER_FOREST`` links, merge the links they hold with a union-find
+forest, so that every node points at one root there. Nodes with several roots, at most one per
+task, then link these to the least of them, all others jump to the root of their root. Rounds
+end when nothing moves; a chain of n nodes needs about log n of them. Links stay distributed
+all the time and every round is cut off by a checkpoint.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import checkpointed
 
-PER_FOREST = 1_000_000
+PER_FOREST = 200_000
 
 
 class Forest:
@@ -64,20 +65,17 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     ``links`` has two long columns; both ends of a link may be the same or come in any order.
     """
-    edges = links.select(F.col(links.columns[0]).alias("node"), F.col(links.columns[1]).alias("root"))
+    edges = checkpointed(links.select(F.col(links.columns[0]).alias("node"), F.col(links.columns[1]).alias("root")))
     while True:
-        merged = edges.mapInArrow(_merge, "node long, root long").where("node <> root").distinct()
-        low = merged.groupBy("node").agg(F.min("root").alias("low"))
-        hooks = (
-            merged.join(low, "node")
-            .where("root <> low")
-            .select(F.col("root").alias("node"), F.col("low").alias("root"), F.lit(True).alias("moved"))
-        )
+        tasks = max(1, math.ceil(edges.count() / PER_FOREST))
+        merged = edges.coalesce(tasks).mapInArrow(_merge, "node long, root long").where("node <> root")
+        low = merged.groupBy("node").agg(F.min("root").alias("low"), F.collect_set("root").alias("roots"))
+        hooks = low.select(F.explode("roots").alias("node"), F.col("low").alias("root"), F.lit(True).alias("moved"))
         above = low.select(F.col("node").alias("low"), F.col("low").alias("higher"))
         jumps = low.join(above, "low", "left").select(
             "node", F.coalesce("higher", "low").alias("root"), F.col("higher").isNotNull().alias("moved")
         )
-        edges = checkpointed(jumps.unionByName(hooks))
+        edges = checkpointed(jumps.unionByName(hooks.where("node <> root")))
         moved = edges.agg(F.max("moved")).first()[0]
         edges = edges.drop("moved")
         if not moved:
