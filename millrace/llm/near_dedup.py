@@ -45,6 +45,7 @@ from millrace.llm.hashing import WordHashes, mixed, window_hashes
 BANDS = 32
 ROWS = 4
 HUB_PORTION = 500
+HUB_SALTS = 32
 BLOCK_SHINGLES = 200_000
 BLOCK_CLASSES = 400
 COLUMNS_AT_ONCE = 4096
@@ -175,8 +176,12 @@ def hub_links(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> Data
     """Columns a, b: the pairs (hub, member) that are links."""
     portions = F.ceil(F.count("*") / HUB_PORTION).cast("int")
     hubs = pairs.groupBy("hub").agg(portions.alias("portions"))
+    # members of one hub are looked up in as many tasks as there are salts
+    salted = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(HUB_SALTS - 1))))
+    salt = F.pmod(F.xxhash64("member", F.lit(9)), F.lit(HUB_SALTS)).cast("int")
     portion = F.pmod(F.xxhash64("member"), F.col("portions").cast("long")).cast("int")
-    members = pairs.join(hubs, "hub").select("hub", portion.alias("portion"), "member")
+    members = pairs.withColumn("salt", salt).join(salted, ["hub", "salt"])
+    members = members.select("hub", portion.alias("portion"), "member")
     members = members.join(sets, members["member"] == sets["id"]).select("hub", "portion", "member", "shingles")
     centers = hubs.join(sets, hubs["hub"] == sets["id"]).select(
         "hub",
