@@ -45,7 +45,7 @@ from millrace.llm.hashing import WordHashes, mixed, window_hashes
 BANDS = 32
 ROWS = 4
 HUB_PORTION = 500
-HUB_SALTS = 32
+SALTS = 32
 BLOCK_SHINGLES = 200_000
 BLOCK_CLASSES = 400
 COLUMNS_AT_ONCE = 4096
@@ -177,8 +177,8 @@ def hub_links(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> Data
     portions = F.ceil(F.count("*") / HUB_PORTION).cast("int")
     hubs = pairs.groupBy("hub").agg(portions.alias("portions"))
     # members of one hub are looked up in as many tasks as there are salts
-    salted = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(HUB_SALTS - 1))))
-    salt = F.pmod(F.xxhash64("member", F.lit(9)), F.lit(HUB_SALTS)).cast("int")
+    salted = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("member", F.lit(9)), F.lit(SALTS)).cast("int")
     portion = F.pmod(F.xxhash64("member"), F.col("portions").cast("long")).cast("int")
     members = pairs.withColumn("salt", salt).join(salted, ["hub", "salt"])
     members = members.select("hub", portion.alias("portion"), "member")
@@ -282,7 +282,10 @@ def block_links(classes: DataFrame, sets: DataFrame, similarity: Similarity) ->
         blocks(F.col("size") - F.col("top.size"), F.col("weight") - F.col("main_weight")).alias("others"),
         blocks(F.col("top.size"), F.col("main_weight")).alias("mains"),
     )
-    joined = classes.join(open_clusters, "cluster").join(sets, "id")
+    # classes of one cluster are looked up in as many tasks as there are salts
+    salted = open_clusters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(SALTS)).cast("int")
+    joined = classes.withColumn("salt", salt).join(salted, ["cluster", "salt"]).join(sets, "id")
     is_main = F.col("part") == F.col("main")
     own = F.pmod(F.xxhash64("id", F.lit(5)), F.when(is_main, F.col("mains")).otherwise(F.col("others")).cast("long"))
     placed = joined.withColumn("own", own.cast("int")).withColumn("is_main", is_main)
