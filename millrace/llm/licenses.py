@@ -1,7 +1,7 @@
 """License scans: canonical digests of entire texts against those of known licences.
 
-A text is brought to a canonical form by SQL functions: lower case, no copyright lines,
-equivalent spellings made one, every run of punctuation and white space one space. The digest
+A text is brought to a canonical form by SQL functions: lower case, no copyright notices (however
+the text is wrapped; prose about copyright holders or notices stays), equivalent spellings made one, every run of punctuation and white space one space. The digest
 of the whole canonical text is hash-joined to the digests of the known texts, brought to the
 same form. A document is looked up as a whole and, since notices usually stand on a line of
 their own, line by line, each line as an entire text.
@@ -89,7 +89,35 @@ SPELLINGS = (
     ("http", "https"),
 )
 
-_COPYRIGHT = r"(?m)^[^0-9a-z\n]*(copyright|\(c\)|©)[^\n]*$"
+# A notice names a year, a (c), a holder ("by", "holder:", "the ... authors"); the word alone is prose.
+_YEAR = r"[\[<{(]?(?:(?:19|20)[0-9]{2}|year|yyyy)\b"
+_SIGN = r"(?:\(c\)|©|&copy;)"
+_HEAD = rf"\bcopyright[ \t:,]*(?:{_SIGN}|{_YEAR})|{_SIGN}[ \t]*(?:copyright\b[ \t:,]*)?{_YEAR}"
+_HEAD_OF_LINE = (
+    rf"{_HEAD}|{_SIGN}[ \t]*(?:copyright|by)\b|©|copyright[ \t]+(?:by\b|(?:holders?|owners?)[ \t]*:)"
+    r"|copyright[ \t]+the[ \t][^\n]*\b(?:authors|contributors|developers|project|foundation)\b"
+)
+#: How licences and notices begin, lower case: a copyright notice on the same line ends before them.
+OPENINGS = (
+    "permission is hereby granted",
+    "permission to use",
+    "redistribution and use",
+    "redistributions? of source code",
+    "this is free and unencumbered",
+    "boost software licen[sc]e",
+    "(?:th(?:is|e) (?:software|work|program|project|file|library|code) (?:is|may|can)\\b)",
+    "this source code form",
+    "licen[sc]ed (?:under|to)",
+    "released under",
+    "distributed under",
+    "available under",
+    "spdx-licen[sc]e-identifier",
+)
+_OPENING = "\\b(?:" + "|".join(OPENINGS).replace(" ", "[ \\t]+") + ")"
+# At the head of a line a notice reaches to the line's end or an opening; within a line, to an opening.
+_COPYRIGHT = (
+    rf"(?m)^[^0-9a-z\n]*(?:{_HEAD_OF_LINE})[^\n]*?(?=$|{_OPENING})|(?:{_HEAD})[^\n]*?(?=\s*{_OPENING})"
+)
 _BETWEEN = r"[\x00-\x2f\x3a-\x60\x7b-\x7f\x{a0}-\x{bf}\x{2010}-\x{2027}]+"
 
 
@@ -133,12 +161,16 @@ def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(table(spark, folder, "documents"))
 
 
+# The SQL drops whole lines that begin with the word: the same on texts without such prose.
+_SQL_COPYRIGHT = r"(?m)^[^0-9a-z\n]*(copyright|\(c\)|©)[^\n]*$"
+
+
 def _sql_text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
 def _sql_canonical(text: str) -> str:
-    plain = f"regexp_replace(lower(coalesce({text}, '')), '{_COPYRIGHT}', '', 'g')"
+    plain = f"regexp_replace(lower(coalesce({text}, '')), '{_SQL_COPYRIGHT}', '', 'g')"
     plain = f"' ' || regexp_replace({plain}, '{_BETWEEN}', ' ', 'g') || ' '"
     for spelling, usual in SPELLINGS:
         plain = f"replace({plain}, ' {spelling} ', ' {usual} ')"

@@ -289,6 +289,23 @@ def test_licenses(spark):
     assert licenses.scan_licenses(odd(spark, [])).count() == 0
 
 
+def test_licence_texts_in_any_wrap(spark):
+    words = licenses._MIT.split()
+    notice = "Copyright (c) 2020-2024 Some Body <a@b.example>"
+    at = words.index("COPYRIGHT")
+    wraps = [" ".join(words[:at]) + "\n" + " ".join(words[at:]), " ".join(words[: at + 1]) + "\n" + " ".join(words[at + 1 :])]
+    wraps += ["\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n)) for n in (1, 7, 12, len(words))]
+    texts = [f"{notice}\n\n{w}" for w in wraps] + [f"MIT License\n{notice}\n{w}" for w in wraps]
+    one = " ".join(words)
+    texts += [f"{notice} {one}", f"{notice}. All rights reserved. {one}", f"MIT License {notice} {one}"]
+    texts += [f"MIT License {notice}\n{one}", f"© 2020 A\n(c) Copyright B\nCopyright by C\nCopyright The D Authors\n{one}"]
+    others = ["copyright holders be liable", "(c) you must retain notices", "Copyright notices stay", "copyright law", "x"]
+    docs = spark.createDataFrame(list(enumerate(texts + others)), "doc_id long, text string")
+    found = licenses.scan_licenses(docs).orderBy("doc_id").collect()
+    assert [r["licence"] for r in found] == ["MIT"] * len(texts) + [None] * len(others)
+    assert len({r["text_sha256"] for r in found[len(texts) :]}) == len(others)
+
+
 # near dedup
 
 
