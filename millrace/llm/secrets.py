@@ -5,7 +5,9 @@ outside the base spans and counts its tokens under a byte-pair vocabulary: ordin
 few tokens, random strings many. A run with fewer than ``RATIO`` characters per token is a
 secret of kind ``random``, unless it is a known digest (hexadecimal of a usual length, alone or
 behind an algorithm's name) or an identifier (UUID, number, date, address, words joined by
-separators or capitals).
+separators or capitals). What a base span leaves of a run is tested like a run. Where a whole run
+passes, its stretches between known words, digests and UUIDs are tested, and windows of ``WINDOW``
+characters within these, so that ordinary words beside a secret do not hide it.
 
 Positions are code points, ends exclusive. Every text is scanned whole; runs are tokenised in
 pieces of ``PIECE`` characters, so that a run of any length costs in proportion.
@@ -33,6 +35,7 @@ from millrace.llm.common import table
 RANKS_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 RATIO = 2.2
 SHORTEST = 20
+WINDOW, STRIDE = 40, 10
 PIECE = 256
 KINDS = ("assign", "access", "hex", "random")
 
@@ -48,8 +51,10 @@ _DIGEST = re.compile(
     re.IGNORECASE,
 )
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+_KNOWN_PART = re.compile(rf"(?<![A-Za-z0-9])(?:{_UUID.pattern}|{_DIGEST.pattern})(?![A-Za-z0-9])", re.IGNORECASE)
 _NUMBERS = re.compile(r"[0-9+/_=-]+")
 _SEPARATORS = re.compile(r"[+/_=-]+")
+_PART = re.compile(r"[^+/_=-]+")
 _WORD = re.compile(r"[A-Za-z]*[0-9]{0,4}")
 _HUMP = re.compile(r"[A-Z]+[a-z]*|[a-z]+")
 
@@ -91,6 +96,59 @@ def characters_per_token(run: str, encoding: tiktoken.Encoding) -> float:
     return len(run) / sum(len(encoding.encode_ordinary(piece)) for piece in pieces)
 
 
+def _hides_random(part: str, encoding: tiktoken.Encoding, ratio: float) -> bool:
+    """Whether a window of a long part is spelled badly."""
+    return len(part) > WINDOW and any(
+        characters_per_token(part[i : i + WINDOW], encoding) < ratio
+        for i in range(0, len(part) - WINDOW + STRIDE, STRIDE)
+    )
+
+
+def _stretches(run: str, encoding: tiktoken.Encoding, ratio: float) -> Iterator[tuple[int, int]]:
+    """Begin and end of what lies between the names of a run, known digests and UUIDs."""
+    begin = end = -1
+    pieces = [(m.start(), m.end(), True) for m in _KNOWN_PART.finditer(run)]
+    edges = [0, *(edge for piece in pieces for edge in piece[:2]), len(run)]
+    for low, high in zip(edges[::2], edges[1::2]):
+        pieces += [(low + m.start(), low + m.end(), False) for m in _PART.finditer(run[low:high])]
+    for low, high, known in sorted(pieces):
+        part = run[low:high]
+        if not known and len(part) <= 4:
+            continue  # too short to tell, and to end a stretch
+        if known or part.isdigit() or (_is_name(part) and not _hides_random(part, encoding, ratio)):
+            if begin >= 0:
+                yield begin, end
+            begin = -1
+            continue
+        begin, end = (low if begin < 0 else begin), high
+    if begin >= 0:
+        yield begin, end
+
+
+def _random_parts(run: str, encoding: tiktoken.Encoding, ratio: float) -> list[tuple[int, int]]:
+    """Spans of random strings in a run: all of it, or stretches or windows of it."""
+    if len(run) < SHORTEST or is_benign(run) and not any(_hides_random(p, encoding, ratio) for p in _PART.findall(run)):
+        return []
+    if not is_benign(run) and characters_per_token(run, encoding) < ratio:
+        return [(0, len(run))]
+    spans: list[tuple[int, int]] = []
+    for begin, end in _stretches(run, encoding, ratio):
+        stretch = run[begin:end]
+        if len(stretch) < SHORTEST or is_benign(stretch) and not _hides_random(stretch, encoding, ratio):
+            continue
+        if characters_per_token(stretch, encoding) < ratio:
+            spans.append((begin, end))
+            continue
+        for low in range(begin, end - WINDOW + STRIDE, STRIDE):
+            high = min(low + WINDOW, end)
+            if high - low >= SHORTEST and characters_per_token(run[low:high], encoding) < ratio:
+                if spans and low <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], high)
+                else:
+                    spans.append((low, high))
+    return spans
+
+
 def find_secrets(text: str | None, encoding: tiktoken.Encoding, ratio: float = RATIO) -> list[tuple[int, int, str]]:
     """All spans of a text: by start, then kind as in ``KINDS``."""
     if not text:
@@ -99,13 +157,14 @@ def find_secrets(text: str | None, encoding: tiktoken.Encoding, ratio: float = R
     taken = sorted(span[:2] for span in spans)
     passed, covered = 0, 0  # base spans that begin before the run ends, and how far they reach
     for match in _RUN.finditer(text):
-        begin, end = match.span()
+        at, end = match.span()
+        at = max(at, covered)
         while passed < len(taken) and taken[passed][0] < end:
-            covered = max(covered, taken[passed][1])
-            passed += 1
-        run = match[0]
-        if covered <= begin and not is_benign(run) and characters_per_token(run, encoding) < ratio:
-            spans.append((begin, end, "random"))
+            low, high = taken[passed]
+            spans += [(at + b, at + e, "random") for b, e in _random_parts(text[at:low], encoding, ratio)]
+            at, covered, passed = max(at, high), max(covered, high), passed + 1
+        if at < end:
+            spans += [(at + b, at + e, "random") for b, e in _random_parts(text[at:end], encoding, ratio)]
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
