@@ -5,7 +5,7 @@ outside the base spans and counts its tokens under a byte-pair vocabulary: ordin
 few tokens, random strings many. A run with fewer than ``RATIO`` characters per token is a
 secret of kind ``random``, unless it is a known digest (hexadecimal of a usual length, alone or
 behind an algorithm's name) or an identifier (UUID, number, date, address, words joined by
-separators or capitals). What a base span leaves of a run is tested like a run. Where a whole run
+separators or capitals, if the vocabulary spells them in few tokens). What a base span leaves of a run is tested like a run. Where a whole run
 passes, its stretches between known words, digests and UUIDs are tested, and windows of ``WINDOW``
 characters within these, so that ordinary words beside a secret do not hide it.
 
@@ -67,16 +67,33 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return spans
 
 
-def is_benign(run: str) -> bool:
+def is_benign(run: str, encoding: tiktoken.Encoding, ratio: float = RATIO) -> bool:
     """Whether a run of key characters is a known digest or an identifier."""
     if any(p.fullmatch(run) for p in (_DIGEST, _UUID, _NUMBERS)):
         return True
-    return all(map(_is_name, _SEPARATORS.split(run)))
+    return all(_is_name(part, encoding, ratio) for part in _SEPARATORS.split(run))
 
 
-def _is_name(part: str) -> bool:
-    """Letters in one case or in humps of three on average, with few digits behind them."""
-    return bool(_WORD.fullmatch(part)) and 3 * len(_HUMP.findall(part)) <= max(3, len(part))
+def _is_name(part: str, encoding: tiktoken.Encoding, ratio: float) -> bool:
+    """Letters with few digits behind them whose humps are words: few tokens spell them.
+
+    A hump counts as it stands or in lower case behind a space, whichever takes fewer tokens;
+    a part of up to four characters is too short to tell.
+    """
+    if not _WORD.fullmatch(part):
+        return False
+    humps = _HUMP.findall(part)
+    if len(part) <= 4 or not humps:
+        return True
+    return sum(map(len, humps)) >= ratio * sum(_hump_tokens(hump, encoding) for hump in humps)
+
+
+def _hump_tokens(hump: str, encoding: tiktoken.Encoding) -> int:
+    tokens = 0
+    for i in range(0, len(hump), PIECE):
+        piece = hump[i : i + PIECE]
+        tokens += min(len(encoding.encode_ordinary(s)) for s in (piece, " " + piece.lower()))
+    return tokens
 
 
 @lru_cache(maxsize=2)
@@ -115,7 +132,7 @@ def _stretches(run: str, encoding: tiktoken.Encoding, ratio: float) -> Iterator[
         part = run[low:high]
         if not known and len(part) <= 4:
             continue  # too short to tell, and to end a stretch
-        if known or part.isdigit() or (_is_name(part) and not _hides_random(part, encoding, ratio)):
+        if known or part.isdigit() or (_is_name(part, encoding, ratio) and not _hides_random(part, encoding, ratio)):
             if begin >= 0:
                 yield begin, end
             begin = -1
@@ -127,14 +144,14 @@ def _stretches(run: str, encoding: tiktoken.Encoding, ratio: float) -> Iterator[
 
 def _random_parts(run: str, encoding: tiktoken.Encoding, ratio: float) -> list[tuple[int, int]]:
     """Spans of random strings in a run: all of it, or stretches or windows of it."""
-    if len(run) < SHORTEST or is_benign(run) and not any(_hides_random(p, encoding, ratio) for p in _PART.findall(run)):
+    if len(run) < SHORTEST or is_benign(run, encoding, ratio) and not any(_hides_random(p, encoding, ratio) for p in _PART.findall(run)):
         return []
-    if not is_benign(run) and characters_per_token(run, encoding) < ratio:
+    if not is_benign(run, encoding, ratio) and characters_per_token(run, encoding) < ratio:
         return [(0, len(run))]
     spans: list[tuple[int, int]] = []
     for begin, end in _stretches(run, encoding, ratio):
         stretch = run[begin:end]
-        if len(stretch) < SHORTEST or is_benign(stretch) and not _hides_random(stretch, encoding, ratio):
+        if len(stretch) < SHORTEST or is_benign(stretch, encoding, ratio) and not _hides_random(stretch, encoding, ratio):
             continue
         if characters_per_token(stretch, encoding) < ratio:
             spans.append((begin, end))

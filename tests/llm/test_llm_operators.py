@@ -70,6 +70,18 @@ def test_words_beside_a_secret_do_not_hide_it():
         assert secrets.find_secrets(run, encoding) == [], run
 
 
+def test_random_letters_are_no_names():
+    encoding, rnd = secrets.vocabulary(secrets._ranks(secrets.RANKS_PATH)), random.Random(9)
+    for letters in (string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters):
+        for digits in ("", "2024"):
+            runs = ["".join(rnd.choices(letters, k=32)) + digits for _ in range(300)]
+            found = sum(secrets.find_secrets(run, encoding) == [(0, len(run), "random")] for run in runs)
+            assert found >= 297, (letters, digits, found)
+    for run in ("internationalization_and_localization", "MAX_CONNECTION_TIMEOUT_SECONDS", "getElementsByClassNameOrTag",
+                "src/main/java/org/example/ApplicationContext", "Geschwindigkeitsbegrenzung_Verordnung"):
+        assert secrets.find_secrets(run, encoding) == [], run
+
+
 def test_secrets_on_odd_rows(spark):
     rows = secrets.scan_secrets(odd(spark)).collect()
     assert len(rows) == len(TEXTS) + 3 and all(r["secrets"] == [] for r in rows)
