@@ -36,9 +36,6 @@ UNKNOWN = "und"
 
 _LETTERS_ONLY = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _SETTINGS = {
-    "window_log": 18,
-    "hash_log": 14,
-    "chain_log": 15,
     "search_log": 4,
     "min_match": 4,
     "strategy": zstandard.STRATEGY_LAZY2,
@@ -47,6 +44,12 @@ _SETTINGS = {
 }
 
 
+def settings(content: bytes) -> zstandard.ZstdCompressionParameters:
+    """Tables and a window that hold all of a dictionary and a piece of text."""
+    log = max(14, (len(content) + PIECE_BYTES - 1).bit_length())
+    return zstandard.ZstdCompressionParameters(window_log=log, hash_log=log, chain_log=log, **_SETTINGS)
+
+
 def letters(text: str) -> bytes:
     return text.lower().encode().translate(_LETTERS_ONLY)
 
@@ -61,12 +64,10 @@ class LanguageModel:
         """Function of a text giving language, score and whether the margin is wide enough."""
         compressors = []
         for name, content in self.dictionaries:
-            settings = zstandard.ZstdCompressionParameters(**_SETTINGS)
+            chosen = settings(content)
             dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            dictionary.precompute_compress(compression_params=settings)
-            compressors.append(
-                (name, zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings))
-            )
+            dictionary.precompute_compress(compression_params=chosen)
+            compressors.append((name, zstandard.ZstdCompressor(dict_data=dictionary, compression_params=chosen)))
 
         def classify(text: str | None) -> tuple[str, float]:
             if not compressors or not text or not any(c.isalpha() for c in text):

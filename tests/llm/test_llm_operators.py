@@ -425,6 +425,16 @@ def test_components_of_chains_and_stars(spark, monkeypatch):
 # language
 
 
+def test_all_of_a_dictionary_is_used():
+    rnd = random.Random(10)
+    for size in (20_000, 131_072, 390_000):
+        content = " ".join("".join(rnd.choices(string.ascii_lowercase, k=7)) for _ in range(size // 8)).encode()
+        classify = language_id.LanguageModel((("a", content), ("b", b"0"))).classifier()
+        at = [0, len(content) // 3, len(content) // 2, len(content) - 500]
+        margins = [classify(content[i : i + 500].decode())[1] for i in at]
+        assert min(margins) > 0.8, (size, margins)
+
+
 def test_languages_on_odd_rows(spark):
     docs = odd(spark, TEXTS + ["der die das und nicht ist"] * 2)
     model = language_id.fit_languages(docs)
