@@ -6,11 +6,16 @@ the second output adds to the first is the turn's span. Rendering the turn once
 one-letter texts tells header and footer from content, hence the part under the loss mask. A template
 whose second output does not begin with the first rewrites history: the turn is marked.
 
-A rendering starts at most ``CONTEXT`` turns back, so a conversation costs in proportion to its
-turns. Conversations are hashed over the tasks and sorted by turn there (spilling), and then
-stream: no conversation is gathered, whatever its length. The digest of a conversation is one
-chain of its turns, so its turns pass one task in order; nothing of them but ``CONTEXT`` turns
-and one batch is held.
+The turns before a turn are rendered from the first: a template may number turns, need the system
+turn or rewrite turns long past. Such a conversation is held in its task and costs the square of
+its turns. A template that renders every turn by at most so many turns before it may declare so
+by an attribute ``context``, as ``marked_turns`` does; renderings then start so many turns back
+and a conversation costs in proportion to its turns. Up to turn ``CHECKED`` of a conversation (or
+four times ``context``, if that is more) the declaration is checked against the whole prefix, and a template that breaks it is refused.
+
+Conversations are hashed over the tasks and sorted by turn there (spilling), and then stream. The
+digest of a conversation is one chain of its turns, so its turns pass one task in order; of a
+declared template's nothing but these turns and one batch is held.
 
 Defined cases: a null text or role is empty. Turns are ordered by turn (null first), role, text;
 repeated rows are turns of their own; rows with a null conversation id form one conversation.
@@ -32,6 +37,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import table
 
 CONTEXT = 8
+CHECKED = 32
 TRAINED = ("assistant",)
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -62,6 +68,9 @@ def marked_turns(turns: Turns) -> str:
     return "".join(f"{START}{_escape_role(role)}\n{escape(text)}{END}\n" for role, text in turns)
 
 
+marked_turns.context = CONTEXT
+
+
 def parse_turns(formatted: str) -> Turns:
     """Turns of a text made by ``marked_turns``."""
     return [(_unescape_role(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
@@ -90,13 +99,17 @@ def format_conversations(
     turn: str = "turn",
     role: str = "role",
     text: str = "text",
-    context: int = CONTEXT,
+    context: int | None = None,
 ) -> DataFrame:
     """Per turn the piece of formatted text, where it begins, and its part under the loss mask.
 
-    Positions are code points in the conversation's whole text; turns that are not trained on
+    Every turn is rendered after all turns before it, or after the last ``context`` of them if that
+    is given or declared by the template. Positions are code points in the conversation's whole text; turns that are not trained on
     have no mask. Rows of a conversation lie in one partition, in order.
     """
+    if context is None:
+        context = getattr(render, "context", None)
+    checked = 0 if context is None else max(CHECKED, 4 * context)
     turns = rows.select(
         F.col(key).alias("key"),
         F.col(turn).alias("turn"),
@@ -108,6 +121,7 @@ def format_conversations(
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: object = shape  # no key equals this
         before: deque = deque(maxlen=context)
+        prefix: Turns = []  # of a declared template, while it is checked
         rank = length = 0
         for batch in batches:
             out = []
@@ -115,7 +129,13 @@ def format_conversations(
                 if key_ != current:
                     current, rank, length = key_, 0, 0
                     before.clear()
-                piece, begin, end, rewritten = render_turn(render, list(before), (role_, text_))
+                    prefix.clear()
+                rendered = render_turn(render, list(before), (role_, text_))
+                if rank < checked:
+                    if rank > context and rendered != render_turn(render, prefix, (role_, text_)):
+                        raise ValueError(f"the template looks further back than {context} turns")
+                    prefix.append((role_, text_))
+                piece, begin, end, rewritten = rendered
                 mask = (length + begin, length + end) if role_ in trained else (None, None)
                 out.append((rank, role_, piece, length, *mask, rewritten))
                 before.append((role_, text_))

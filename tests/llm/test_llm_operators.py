@@ -228,6 +228,32 @@ def test_pieces_add_up_and_masks_hold_content(spark):
     assert chat.read_back(chat.format_conversations(turns.limit(0))).count() == 0
 
 
+def test_templates_see_the_whole_prefix(spark):
+    def numbered(turns):
+        return "".join(f"{k}:{x};" for k, (_, x) in enumerate(turns))
+
+    def rewriting(turns):
+        first = "gone" if len(turns) > 12 else turns[0][1]
+        return "".join(f"[{x}]" for x in (first, *(x for _, x in turns[1:])))
+
+    def alternating(turns):
+        assert turns[0][0] == "system" and all(r == ("user", "assistant")[k % 2] for k, (r, _) in enumerate(turns[1:]))
+        return "".join(f"{r}:{x}\n" for r, x in turns)
+
+    rows = [(c, t, "system" if not t else ("assistant", "user")[t % 2], f"text {t}") for c in (1, 2) for t in range(40)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+
+    def done(render, **more):
+        found = chat.format_conversations(turns, render, **more).orderBy("conv_id", "turn_rank").collect()
+        return [r for r in found if r["conv_id"] == 1]
+
+    assert "".join(r["piece"] for r in done(numbered)) == numbered([(r, x) for c, _, r, x in rows if c == 1])
+    assert [r["turn_rank"] for r in done(rewriting) if r["rewritten"]] == [12]
+    assert len(done(alternating)) == 40
+    with pytest.raises(Exception, match="looks further back"):
+        done(numbered, context=8)
+
+
 def test_rewriting_template_is_detected():
     def forgetful(turns):
         return "".join(f"[{r}]{x if k == len(turns) - 1 else '...'}" for k, (r, x) in enumerate(turns))
