@@ -64,8 +64,11 @@ _PRE_TOKENIZER = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
-_PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*")
-_PLAIN_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^0-9a-z\u00df-\u00f6\u00f8-\u024f]+")
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u024f"
+_PLAIN_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
+# Latin letters whose lower case is one letter of the same class; schwa and others have theirs outside.
+_LATIN = [c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and re.fullmatch(f"[{_LETTERS}]", c.lower())]
+_PLAIN = re.compile(f"[\t-\r -~{''.join(_LATIN)}]*")
 # Byte-level symbols: printable bytes stand for themselves, the others for 256 and on, in order.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _SYMBOLS = {byte: 256 + k for k, byte in enumerate(b for b in range(256) if b not in _PRINTABLE)}

@@ -176,6 +176,16 @@ def test_codec_equals_the_library():
         assert coder.decode(ids.tolist()) == library.decode(ids.tolist(), skip_special_tokens=False)
 
 
+def test_codec_equals_the_library_on_every_plain_letter():
+    with open(bpe.TOKENIZER_PATH, encoding="utf-8") as file:
+        definition = file.read()
+    library, coder = Tokenizer.from_str(definition), bpe.codec(definition)
+    texts = [f"AZ{chr(c)}RBAYCAN a{chr(c)} {chr(c)}b {chr(c)}" for c in (*range(0x20, 0x7F), *range(0xA0, 0x250))]
+    assert len(bpe._LATIN) > 300
+    for text, ids in zip(texts, coder.encode(texts)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_bpe_on_odd_rows(spark):
     done = bpe.encode_texts(odd(spark), decode=True)
     rows = done.collect()
