@@ -40,8 +40,7 @@ INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS
 AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
 PERFORMANCE OF THIS SOFTWARE."""
 
-#: Known texts: licence name and entire text, a full licence or a customary notice.
-KNOWN = (
+_FIRST = (
     ("MIT", _MIT),
     ("MIT", "MIT License\n" + _MIT),
     ("MIT", "The MIT License (MIT)\n" + _MIT),
@@ -72,6 +71,161 @@ KNOWN = (
     ("proprietary", "All rights reserved."),
 )
 
+_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met:"""
+_BSD_CLAUSES = (
+    """Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.""",
+    """Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.""",
+    """Neither the name of the copyright {one} nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.""",
+)
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT {other} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF
+USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED
+OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it
+and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you
+use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as
+a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all
+present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF
+OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSL = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and
+transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is
+furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and
+the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of
+the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by
+a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE
+COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT,
+TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+language governing permissions and limitations under the License."""
+_GPL_HEADER = """This {kind} is free software{colon} you can redistribute it and/or modify it under the terms of the {name} as
+published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version.
+This {kind} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty
+of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details.
+You should have received a copy of the {name} along with this {kind}. If not, see <https://www.gnu.org/licenses/>."""
+_MPL_HEADER = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+
+
+def _bsd(clauses: int) -> list[str]:
+    """A BSD text with numbered or bulleted clauses, holders or owners, with and without reserved rights."""
+    texts = []
+    for one in ("holder", "owner"):
+        for other in ("HOLDER", "HOLDERS", "OWNER"):
+            for numbered in (True, False):
+                listed = [f"{k}. {c}" if numbered else f"* {c}" for k, c in enumerate(_BSD_CLAUSES[:clauses], 1)]
+                text = "\n".join([_BSD_HEAD, *listed, _BSD_END]).format(one=one, other=other)
+                texts += [text, "All rights reserved.\n" + text]
+    return texts
+
+
+def _gpl(name: str, version: str) -> list[str]:
+    kinds = ("program", "library", "software", "file")
+    return [_GPL_HEADER.format(kind=k, name=name, version=version, colon=":", comma=",") for k in kinds]
+
+
+#: By licence: titles that may stand above the text, and its texts.
+_FULL = {
+    "BSD-2-Clause": (("BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License"), _bsd(2)),
+    "BSD-3-Clause": (("BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License"), _bsd(3)),
+    "Zlib": (("zlib License", "The zlib License", "The zlib/libpng License"), [_ZLIB]),
+    "Unlicense": (
+        ("The Unlicense", "Unlicense"),
+        [_UNLICENSE + end for end in ("", *(f"\nFor more information, please refer to <http{x}://unlicense.org{y}>" for x in ("", "s") for y in ("", "/")))],
+    ),
+    "BSL-1.0": (("Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License 1.0"), [_BSL]),
+    "Apache-2.0": ((), [_APACHE_HEADER]),
+    "GPL-2.0": ((), _gpl("GNU General Public License", "2")),
+    "GPL-3.0": ((), _gpl("GNU General Public License", "3")),
+    "LGPL-2.1": ((), _gpl("GNU Lesser General Public License", "2.1")),
+    "LGPL-3.0": ((), _gpl("GNU Lesser General Public License", "3")),
+    "AGPL-3.0": ((), _gpl("GNU Affero General Public License", "3")),
+    "MPL-2.0": ((), [_MPL_HEADER]),
+}
+
+
+def _gnu(short: str, name: str, version: str) -> tuple[str, ...]:
+    return tuple(f"{name}{v}" for v in (f", version {version}", f" version {version}", f" v{version}")) + (
+        f"{short}-{version}", f"{short} {version}", f"{short}v{version}", f"{short} v{version}",
+    )
+
+
+#: By licence: how notices name it.
+_NAMES = {
+    "MIT": ("MIT License", "MIT"),
+    "ISC": ("ISC License", "ISC"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0", "Apache-2.0", "Apache 2.0 License"),
+    "GPL-2.0": _gnu("GPL", "GNU General Public License", "2"),
+    "GPL-3.0": _gnu("GPL", "GNU General Public License", "3"),
+    "LGPL-2.1": _gnu("LGPL", "GNU Lesser General Public License", "2.1"),
+    "LGPL-3.0": _gnu("LGPL", "GNU Lesser General Public License", "3"),
+    "AGPL-3.0": _gnu("AGPL", "GNU Affero General Public License", "3"),
+    "BSD-2-Clause": ("2-Clause BSD License", "BSD 2-Clause License", "BSD-2-Clause", "Simplified BSD License"),
+    "BSD-3-Clause": ("3-Clause BSD License", "BSD 3-Clause License", "BSD-3-Clause", "New BSD License"),
+    "MPL-2.0": ("Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "MPL 2.0", "MPL-2.0"),
+    "Zlib": ("zlib License", "zlib"),
+    "Unlicense": ("Unlicense",),
+    "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0", "BSL-1.0"),
+    "CC0-1.0": ("CC0 1.0", "CC0-1.0", "CC0 1.0 Universal"),
+}
+for _terms, _long in (
+    ("BY", "Attribution"),
+    ("BY-SA", "Attribution-ShareAlike"),
+    ("BY-NC", "Attribution-NonCommercial"),
+    ("BY-ND", "Attribution-NoDerivatives"),
+    ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+):
+    _cc = f"Creative Commons {_long} 4.0"
+    _NAMES[f"CC-{_terms}-4.0"] = (
+        f"CC {_terms} 4.0", f"CC-{_terms}-4.0", _cc, f"{_cc} International", f"{_cc} License", f"{_cc} International License",
+    )
+#: Wordings of notices, to be followed by a name.
+_WORDINGS = tuple(
+    f"{what}{verb} under {article}"
+    for what in ("", *(f"This {thing} is " for thing in ("work", "software", "project", "file", "code", "program")))
+    for verb in ("licensed", "released", "distributed", "available")
+    for article in ("", "the ", "a ", "the terms of the ")
+)
+#: SPDX identifiers that are not the licence's name here.
+_SPDX = {name: tuple(f"{name}{end}" for end in ("", "-only", "-or-later", "+")) for name in _NAMES if "GPL" in name}
+
+#: Known texts: licence name and entire text, a full licence, a standard header or a customary notice.
+KNOWN = (
+    *_FIRST,
+    *((name, above + text) for name, (titles, texts) in _FULL.items() for text in texts
+      for above in ("", *(f"{title}\n" for title in titles))),
+    *((name, f"{wording}{called}") for name, names in _NAMES.items() for called in names for wording in _WORDINGS),
+    *((name, f"SPDX-License-Identifier: {x}") for name in _NAMES for x in _SPDX.get(name, (name,))),
+)
+
 #: Spellings that mean the same; the second stands in the canonical form.
 SPELLINGS = (
     ("licence", "license"),
@@ -161,7 +315,8 @@ def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(table(spark, folder, "documents"))
 
 
-# The SQL drops whole lines that begin with the word: the same on texts without such prose.
+# The SQL drops whole lines that begin with the word and knows the first texts only: the same on
+# tables without such prose and with no other licences.
 _SQL_COPYRIGHT = r"(?m)^[^0-9a-z\n]*(copyright|\(c\)|©)[^\n]*$"
 
 
@@ -177,7 +332,7 @@ def _sql_canonical(text: str) -> str:
     return f"trim({plain}, ' ')"
 
 
-_SQL_KNOWN = ", ".join(f"({_sql_text(name)}, {_sql_text(text)})" for name, text in KNOWN)
+_SQL_KNOWN = ", ".join(f"({_sql_text(name)}, {_sql_text(text)})" for name, text in _FIRST)
 
 QUERIES = {"op8_licenses": op8_licenses}
 ORACLE = {

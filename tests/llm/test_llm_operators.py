@@ -368,6 +368,22 @@ def test_licence_texts_in_any_wrap(spark):
     assert len({r["text_sha256"] for r in found[len(texts) :]}) == len(others)
 
 
+def test_whole_licences_headers_and_notices(spark):
+    cases = [(name, f"Copyright (c) 2021, A B\n\n{texts[0]}") for name, (_, texts) in licenses._FULL.items()]
+    cases += [(name, f"{titles[0]}\n\nCopyright (c) 2021 A\n{texts[-1]}") for name, (titles, texts) in licenses._FULL.items() if titles]
+    cases += [
+        ("GPL-3.0", "This work is released under the GNU General Public License, version 3."),
+        ("GPL-2.0", "Licensed under the GNU General Public License, version 2"),
+        ("MIT", "This work is released under the MIT Licence."),
+        ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+        ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+        (None, "This work is licensed under terms nobody knows."),
+    ]
+    docs = spark.createDataFrame([(i, c[1]) for i, c in enumerate(cases)], "doc_id long, text string")
+    found = [r["licence"] for r in licenses.scan_licenses(docs).orderBy("doc_id").collect()]
+    assert found == [c[0] for c in cases]
+
+
 # near dedup
 
 
