@@ -6,6 +6,7 @@ from millrace.llm import (
     decontamination,
     language_id,
     licenses,
+    line_dedup,
     near_dedup,
     quality,
     secrets,
@@ -24,6 +25,7 @@ MODULES = (
     licenses,
     near_dedup,
     language_id,
+    line_dedup,
 )
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
