@@ -3,6 +3,7 @@
 from millrace.llm import (
     bpe,
     chat,
+    conversation_repair,
     decontamination,
     language_id,
     licenses,
@@ -25,6 +26,7 @@ MODULES = (
     licenses,
     near_dedup,
     language_id,
+    conversation_repair,
     line_dedup,
 )
 
