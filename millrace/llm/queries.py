@@ -5,6 +5,7 @@ from millrace.llm import (
     chat,
     conversation_repair,
     decontamination,
+    hard_negatives,
     language_id,
     licenses,
     line_dedup,
@@ -26,6 +27,7 @@ MODULES = (
     licenses,
     near_dedup,
     language_id,
+    hard_negatives,
     conversation_repair,
     line_dedup,
 )
