@@ -34,7 +34,7 @@ def documents():
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
     assert set(ORACLE) <= set(contract.oracle_sql())
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
