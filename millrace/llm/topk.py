@@ -1,9 +1,11 @@
 """Exact top-k search by inner product, in tiles.
 
-Vectors are turned into whole numbers, floor(``scale`` * x). The queries are cut into blocks of
-a fixed size in bytes; each block goes to every task, which multiplies it with its own rows
-tile by tile, keeps the best k of a tile by partial selection and folds them into the lists it
-carries. The lists of the tasks are merged in two levels, first in branches, then per query.
+Vectors are turned into whole numbers, floor(``scale`` * x). The queries are dealt into blocks,
+all rows into shards of tiles (``tiles``), and each block meets each shard in a group of its
+own: the block is multiplied with the shard tile by tile, the best k of a tile are taken by
+partial selection and folded into the lists that the group carries. The lists of the groups
+are merged in two levels, first in branches of shards, then per query. Neither queries nor rows
+pass the driver.
 
 Products are exact: 64-bit floats while every product stays below 2^50, integers (modulo 2^64)
 beyond. Ties go to the smaller id.
@@ -17,30 +19,17 @@ searched once. With no query or no candidate the result is empty.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import table
+from millrace.llm.tiles import BLOCK_BYTES, BLOCK_ROWS, SHARD_BYTES, Best, read_tiles, searched, tiles_of, whole_vectors, written_tiles
 
-BLOCK_BYTES = 16 << 20
-TILE_ROWS = 4096
-QUERY_ROWS = 256
 BRANCHES = 16
 EXACT = 1 << 50
-
-
-def whole_vectors(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """Columns id and v (array<long>) of the rows that take part."""
-    value = F.col(vector).cast("array<double>")
-    finite = F.forall(value, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))  # NaN is larger
-    return vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & finite).select(
-        F.col(key).cast("long").alias("id"), F.transform(value, lambda x: F.floor(x * scale)).alias("v")
-    )
+LISTS = "query_id long, branch int, vec_id long, score long"
 
 
 def _products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -51,79 +40,20 @@ def _products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return left @ right.T
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, valid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of each row: highest score first, ties to the smaller id."""
-    if scores.shape[1] > 4 * k:
-        # every score that may be among the k best, ties of the k-th included
-        low = np.where(valid, scores, np.iinfo(np.int64).min)
-        edge = np.partition(low, -k, axis=1)[:, -k]
-        chosen = valid & (low >= edge[:, None])
-        width = int(chosen.sum(axis=1).max(initial=0))
-        if width < scores.shape[1]:
-            at = np.argsort(~chosen, axis=1, kind="stable")[:, :width]
-            scores, ids = np.take_along_axis(scores, at, 1), np.take_along_axis(ids, at, 1)
-            valid = np.take_along_axis(chosen, at, 1)
-    order = np.lexsort((ids, ~scores, ~valid), axis=1)[:, :k]  # ~s falls as s rises, without overflow
-    return tuple(np.take_along_axis(a, order, 1) for a in (scores, ids, valid))
-
-
-class QueryBlock:
-    """Queries of one block, grouped by length; carries no state between tasks."""
-
-    def __init__(self, number: int, rows: list[tuple[int, list[int]]]):
-        self.number = number
-        self.groups: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size in sorted({len(v) for _, v in rows}):
-            same = [(i, v) for i, v in rows if len(v) == size]
-            self.groups[size] = (
-                np.array([i for i, _ in same], np.int64),
-                np.array([v for _, v in same], np.int64).reshape(len(same), size),
-            )
-
-    def search(self, batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Query id with the scores and ids of its best rows within the batches."""
-        lists = {size: None for size in self.groups}
-        for batch in batches:
-            for begin in range(0, batch.num_rows, TILE_ROWS):
-                part = batch.slice(begin, TILE_ROWS)
-                sizes = part.column(1).value_lengths().to_numpy()
-                ids = part.column(0).to_numpy()
-                flat = part.column(1).flatten().to_numpy()
-                starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-                for size in set(sizes.tolist()) & set(self.groups):
-                    rows = np.flatnonzero(sizes == size)
-                    tile = flat[starts[rows][:, None] + np.arange(size)] if size else np.empty((len(rows), 0), np.int64)
-                    lists[size] = self._fold(lists[size], size, ids[rows], tile, k)
-        for size, kept in lists.items():
-            if kept is not None:
-                scores, ids, valid = kept
-                for q, query in enumerate(self.groups[size][0].tolist()):
-                    if valid[q].any():
-                        yield query, scores[q][valid[q]], ids[q][valid[q]]
-
-    def _fold(self, kept, size: int, ids: np.ndarray, tile: np.ndarray, k: int):
-        queries, matrix = self.groups[size]
-        found = []
-        for begin in range(0, len(queries), QUERY_ROWS):
-            own = queries[begin : begin + QUERY_ROWS]
-            scores = _products(matrix[begin : begin + QUERY_ROWS], tile)
-            all_ids = np.broadcast_to(ids, scores.shape)
-            found.append(_best(scores, all_ids, all_ids != own[:, None], k))
-        width = max(f[0].shape[1] for f in found)
-        tops = [np.concatenate([np.pad(f[i], ((0, 0), (0, width - f[i].shape[1]))) for f in found]) for i in range(3)]
-        if kept is None:
-            return tuple(tops)
-        return _best(*(np.concatenate([a, b], axis=1) for a, b in zip(kept, tops)), k)
-
-
-def query_blocks(queries: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[QueryBlock]:
-    """Blocks over all queries, each of about ``block_bytes`` at most."""
-    total = queries.agg(F.sum(8 * (F.size("v") + 2))).first()[0] or 0
-    blocks = math.ceil(total / block_bytes)
-    block = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(max(1, blocks)))
-    for number in range(blocks):
-        rows = queries.where(block == number).distinct().collect()  # bounded by block_bytes
-        yield QueryBlock(number, [(r["id"], r["v"]) for r in rows])
+def _searcher(k: int):
+    def search(key: tuple, queries: pa.Table, tiles: pa.Table) -> pa.Table:
+        best, ids = Best(k), np.empty(0, np.int64)
+        for _, own, _ in tiles_of(queries):  # of one length
+            ids = own.ids
+            for tile in read_tiles(tiles):
+                for begin in range(0, len(ids), BLOCK_ROWS):
+                    part = slice(begin, begin + BLOCK_ROWS)
+                    scores = _products(own.vectors[part], tile.vectors)
+                    best.offer(begin, scores, tile.ids, ids[part][:, None] != tile.ids)
+        branch = np.full(len(best.rows), key[2].as_py() % BRANCHES, np.int32)
+        return pa.table([ids[best.rows], branch, best.ids, best.scores], names=[n.split()[0] for n in LISTS.split(", ")])
+
+    return search
 
 
 def _ranked(lists: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -133,57 +63,16 @@ def _ranked(lists: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 def top_k(
     vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: int = 64,
-    block_bytes: int = BLOCK_BYTES,
+    block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """Columns query_id, rank, vec_id, score: for each query its k best rows among all others."""
-    rows = whole_vectors(vectors, key, vector, scale)
-    queries = whole_vectors(vectors.where(is_query), key, vector, scale)
-    schema = "query_id long, branch int, scores array<long>, ids array<long>"
-    lists = None
-    for block in query_blocks(queries, block_bytes):
-        found = rows.mapInArrow(_searcher(vectors.sparkSession, block, k), schema)
-        lists = found if lists is None else lists.unionAll(found)
-    if lists is None:
-        return rows.where(F.lit(False)).select(
-            F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score")
-        )
-    pairs = lists.select("query_id", "branch", F.explode(F.arrays_zip("ids", "scores")).alias("p")).select(
-        "query_id", "branch", F.col("p.ids").alias("vec_id"), F.col("p.scores").alias("score")
-    )
-    branches = _ranked(pairs, ["query_id", "branch"], k).drop("rank", "branch")
+    tiles = written_tiles(whole_vectors(vectors, key, vector, scale))
+    queries = whole_vectors(vectors.where(is_query), key, vector, scale).distinct()
+    lists = searched(queries, tiles, _searcher(k), LISTS, block_bytes, shard_bytes)
+    branches = _ranked(lists, ["query_id", "branch"], k).drop("rank", "branch")
     return _ranked(branches, ["query_id"], k).select("query_id", "rank", "vec_id", "score")
 
 
-def _searcher(spark: SparkSession, block: QueryBlock, k: int):
-    shared = spark.sparkContext.broadcast(block)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = next(batches, None)
-        if first is None:
-            return
-
-        def all_batches():
-            yield first
-            yield from batches
-
-        # the same rows always give the same branch, also when a task runs again
-        branch = int(first.column(0)[0].as_py() % BRANCHES) if first.num_rows else 0
-        found = list(shared.value.search(all_batches(), k))
-        for begin in range(0, len(found), 1024):
-            part = found[begin : begin + 1024]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([q for q, _, _ in part], pa.int64()),
-                    pa.array([branch] * len(part), pa.int32()),
-                    pa.array([s for _, s, _ in part], pa.list_(pa.int64())),
-                    pa.array([i for _, _, i in part], pa.list_(pa.int64())),
-                ],
-                names=["query_id", "branch", "scores", "ids"],
-            )
-
-    return search
-
-
 def op3_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 best rows of every vector whose id is divisible by 20."""
     return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
