@@ -1,18 +1,21 @@
 """BPE encoding and decoding over a trie of words.
 
-The distinct words of a portion of documents go into a trie. A depth-first walk gives every
-node the last token of the encoding of its prefix: the token ``t`` for which the prefix
-without ``t`` ends in a token that can stand before ``t``. Exactly one token fits, since every
-prefix of a byte-pair encoding is the encoding of what it spells. Prefixes that words share are
-thus encoded once, and a word is read off by stepping back from its last token.
+The distinct words of a portion of documents go into a trie, which is held as the sorted words
+and the lengths of the prefixes that neighbours share: in this order a word is the branch that
+leaves the path of the word before it. The depth-first walk gives every node the last token
+of the encoding of its prefix: the token ``t`` for which the prefix without ``t`` ends in a
+token that can stand before ``t``. Exactly one token fits, since every prefix of a byte-pair
+encoding is the encoding of what it spells. Prefixes that words share are thus encoded once,
+and a word is read off by stepping back from its last token.
 
 Two tokens can stand side by side when merging the symbols of both gives just these two.
 Special tokens in a text are cut out first; normalisation and splitting into words are the
 tokenizer file's own, done by the library for any text that is not plain Latin.
 
-Bounded: a trie holds the new words of one portion of texts (``PORTION_BYTES``); what a worker
-remembers is dropped when it comes to ``KNOWN_WORDS`` or ``KNOWN_PAIRS``. A branch that only one word takes is not stored but walked
-along the word, so a long word costs its length.
+Bounded: a trie holds the new words of one portion of texts (``PORTION_BYTES``). A worker
+remembers words, and stretches of text between white space, in two generations of about
+``KNOWN_SYMBOLS`` symbols each: when the younger is full it becomes the older, and what was
+not asked for meanwhile is forgotten. A long word costs its length.
 
 Defined cases: a null or empty text has no tokens and decodes to the empty text. An id outside
 the vocabulary decodes to nothing, as in the library. Repeated rows are encoded one by one;
@@ -22,6 +25,7 @@ columns beside key and text are ignored.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -37,8 +41,9 @@ from tokenizers import Tokenizer
 from millrace.llm.common import portions, table
 
 TOKENIZER_PATH = public_tokenizers.path("word_bpe_49k.json")
-KNOWN_WORDS = 200_000
+KNOWN_SYMBOLS = 4_000_000
 KNOWN_PAIRS = 400_000
+KNOWN_ENDS = 200_000
 PORTION_BYTES = 2 << 20
 
 # The normaliser and splitter of the file named above. With these, a text of ASCII
@@ -72,6 +77,9 @@ _PLAIN = re.compile(f"[\t-\r -~{''.join(_LATIN)}]*")
 # Byte-level symbols: printable bytes stand for themselves, the others for 256 and on, in order.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _SYMBOLS = {byte: 256 + k for k, byte in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+END = 4  # symbols by which the lengths of possible last tokens are looked up
+HEAD = 24  # symbols of words that are compared all at once
+EACH = 8  # what an entry costs beside its symbols
 _LAST = 0x10000  # added to the code point of a word's last symbol, which carries the word end
 
 
@@ -89,11 +97,11 @@ class TrieEncoder:
 
         self.ids = {plain(token): i for token, i in vocabulary.items()}
         self.ranks = {(plain(a), plain(b)): rank for rank, (a, b) in enumerate(merges)}
-        self.longest = max(map(len, self.ids), default=1)
-        self.reach: dict[str, int] = {}  # by last three symbols, length of the longest token
+        self.sizes: dict[str, tuple[int, ...]] = {}  # by last symbols, lengths of tokens that may end there
+        self.long_sizes: dict[str, set[int]] = {}
         for token in self.ids:
-            if len(token) > 2:
-                self.reach[token[-3:]] = max(len(token), self.reach.get(token[-3:], 0))
+            if len(token) > END:
+                self.long_sizes.setdefault(token[-END:], set()).add(len(token))
         self.origins: dict[str, tuple[int, str, str] | None] = {}
         self.names = {i: token for token, i in self.ids.items()}
         self.span = max(self.names, default=0) + 1
@@ -144,65 +152,88 @@ class TrieEncoder:
             return False
         return before < 0 or self._side_by_side(self.names[before], name)
 
-    def _last_token(self, recent: str, lasts: list[int]) -> int:
-        """The last token of the prefix that ends in ``recent``, given those of shorter ones."""
-        depth = len(lasts)
-        for size in range(min(len(recent), self.reach.get(recent[-3:], 2)), 0, -1):
-            token = self.ids.get(recent[-size:])
-            if token is None:
-                continue
-            pair = lasts[depth - size] * self.span + token
-            fits = self.neighbours.get(pair)
-            if fits is None:
-                if len(self.neighbours) >= KNOWN_PAIRS:
-                    self.neighbours.clear()
-                fits = self.neighbours[pair] = self._fits(lasts[depth - size], token)
-            if fits:
-                return token
-        raise ValueError(f"no token of the vocabulary ends {recent!r}")
+    def _sizes(self, end: str) -> tuple[int, ...]:
+        """Lengths of the tokens that can end a prefix that ends so, longest first."""
+        sizes = self.sizes.get(end)
+        if sizes is None:
+            short = [n for n in range(1, len(end) + 1) if end[-n:] in self.ids]
+            if len(self.sizes) >= KNOWN_ENDS:
+                self.sizes.clear()
+            sizes = self.sizes[end] = tuple(sorted({*short, *self.long_sizes.get(end, ())}, reverse=True))
+        return sizes
+
+    def _pair_fits(self, pair: int) -> bool:
+        if len(self.neighbours) >= KNOWN_PAIRS:
+            self.neighbours.clear()
+        before, token = divmod(pair, self.span)
+        fits = self.neighbours[pair] = self._fits(before, token)
+        return fits
 
     def encode(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """Token ids of every distinct non-empty word."""
-        trie: dict = {}
-        for word in words:
-            _insert(trie, _closed(word))
+        trie = sorted(map(_closed, words))
         encoded = {}
         lasts = [-1]  # by length of prefix; nothing precedes the first token
-        open_edges = [(symbol, child, 0, "") for symbol, child in trie.items()]
-        while open_edges:
-            symbol, child, depth, recent = open_edges.pop()
-            del lasts[depth + 1 :]
-            recent = (recent + symbol)[-self.longest :]
-            lasts.append(self._last_token(recent, lasts))
-            if isinstance(child, dict):
-                open_edges += [(s, c, depth + 1, recent) for s, c in child.items()]
-                continue
-            word, at = child  # nobody shares the rest of this word
-            for symbol in word[at:]:
-                recent = (recent + symbol)[-self.longest :]
-                lasts.append(self._last_token(recent, lasts))
-            tokens, end = [], len(word)
-            while end:
-                tokens.append(lasts[end])
-                end -= len(self.names[lasts[end]])
+        id_of, sizes_of, known, names, span = self.ids.get, self.sizes.get, self.neighbours.get, self.names, self.span
+        for word, shared in zip(trie, _shared_prefixes(trie)):
+            del lasts[shared + 1 :]
+            for at in range(shared + 1, len(word) + 1):
+                end = word[at - END : at] if at > END else word[:at]
+                for size in sizes_of(end) or self._sizes(end):
+                    if size <= at and (token := id_of(word[at - size : at])) is not None:
+                        pair = lasts[at - size] * span + token
+                        fits = known(pair)
+                        if fits or (fits is None and self._pair_fits(pair)):
+                            lasts.append(token)
+                            break
+                else:
+                    raise ValueError(f"no token of the vocabulary ends {end!r}")
+            tokens, at = [], len(word)
+            while at:
+                tokens.append(lasts[at])
+                at -= len(names[lasts[at]])
             encoded[word[:-1] + chr(ord(word[-1]) - _LAST)] = tuple(reversed(tokens))
         return encoded
 
 
-def _insert(trie: dict, word: str) -> None:
-    """Put a closed word into the trie; a leaf is the word and where its own rest begins."""
-    node, at = trie, 0
-    while True:
-        child = node.get(word[at])
-        if child is None:
-            node[word[at]] = (word, at + 1)
-            return
-        if isinstance(child, tuple):
-            other, rest = child
-            if other == word:
-                return
-            child = node[word[at]] = {other[rest]: (other, rest + 1)}
-        node, at = child, at + 1
+def _shared_prefixes(words: list[str]) -> list[int]:
+    """How many first symbols each word shares with the one before it."""
+    if not words:
+        return []
+    heads = np.array(words, f"<U{HEAD}").view(np.uint32).reshape(len(words), HEAD)
+    differ = heads[1:] != heads[:-1]
+    shared = [0, *np.where(differ.any(axis=1), differ.argmax(axis=1), HEAD).tolist()]
+    for k, n in enumerate(shared):
+        if n == HEAD:
+            shared[k] = len(os.path.commonprefix(words[k - 1 : k + 1]))
+    return shared
+
+
+class Memory:
+    """What was found by text; forgets what was not asked for while ``limit`` symbols of others came in."""
+
+    def __init__(self, limit: int):
+        self.limit, self.held = limit, 0
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+
+    def unknown(self, texts: set[str]) -> set[str]:
+        """Those not remembered; the others are young again."""
+        missing = texts.difference(self.young)
+        again = missing.intersection(self.old)
+        for text in again:
+            self.young[text] = self.old[text]
+            self.held += len(text) + EACH
+        return missing - again
+
+    def add(self, found: dict[str, object]) -> None:
+        self.young.update(found)
+        self.held += sum(map(len, found)) + EACH * len(found)
+
+    def age(self) -> None:
+        """Between portions, when nothing is in use."""
+        if self.held >= self.limit:
+            self.old, self.young, self.held = self.young, {}, 0
 
 
 class BpeCodec:
@@ -229,8 +260,7 @@ class BpeCodec:
         self.cut = re.compile("(" + "|".join(map(re.escape, by_length)) + ")").split if added else None
         self.pieces = {i: t for t, i in chain(model["vocab"].items(), self.special.items())}
         self.usual = (content["normalizer"], content["pre_tokenizer"]) == (_NORMALIZER, _PRE_TOKENIZER)
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.words, self.chunks = Memory(KNOWN_SYMBOLS), Memory(KNOWN_SYMBOLS)
 
     def _chunks(self, text: str) -> list[str]:
         """A text as keys of ``chunks``: plain stretches between white space, or else " " and a
@@ -249,23 +279,33 @@ class BpeCodec:
         """Words of a chunk, in the symbols of the vocabulary."""
         if chunk.startswith("  "):
             return [chunk[2:]]
-        words = _PLAIN_WORD.findall(chunk)
+        words = [chunk] if chunk.isalpha() else _PLAIN_WORD.findall(chunk)
         return words if chunk.isascii() else [w.encode().decode("latin-1").translate(_SYMBOLS) for w in words]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [self._chunks(text) if text else [] for text in texts]
-        if len(self.chunks) >= KNOWN_WORDS:
-            self.chunks.clear()
-            self.words.clear()
-        if not self.chunks:
-            self.chunks.update({" " + t: (i,) for t, i in self.special.items()})
-        new = {c: self._words(c) for c in set(chain.from_iterable(split)).difference(self.chunks)}
-        self.words.update(self.encoder.encode(set(chain.from_iterable(new.values())).difference(self.words)))
-        for chunk, words in new.items():
-            self.chunks[chunk] = self.words[words[0]] if len(words) == 1 else sum(map(self.words.get, words), ())
-        take = self.chunks.__getitem__
+        take = self._ids(set(chain.from_iterable(split))).__getitem__
         return [np.fromiter(chain.from_iterable(map(take, chunks)), np.int32) for chunks in split]
 
+    def _ids(self, chunks: set[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of every chunk."""
+        for memory in (self.words, self.chunks):
+            memory.age()
+        new = self.chunks.unknown(chunks)
+        ids = {c: self.chunks.young[c] for c in chunks - new}
+        words = {}
+        for chunk in new:
+            if chunk[0] == " " != chunk[1]:
+                ids[chunk] = (self.special[chunk[1:]],)
+            else:
+                words[chunk] = self._words(chunk)
+        self.words.add(self.encoder.encode(self.words.unknown(set(chain.from_iterable(words.values())))))
+        ids_of = self.words.young
+        for chunk, own in words.items():
+            ids[chunk] = ids_of[own[0]] if len(own) == 1 else tuple(chain.from_iterable([ids_of[w] for w in own]))
+        self.chunks.add({c: ids[c] for c in new})
+        return ids
+
     def decode(self, ids: Iterable[int]) -> str:
         pieces = self.pieces
         return " ".join([pieces[i] for i in ids if i in pieces])
