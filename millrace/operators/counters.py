@@ -1,13 +1,14 @@
 """Rates from running counters.
 
-A rate needs the reading before. One node may hold a large share of all
-readings, so a window over whole nodes could end in one task. Readings are
-therefore windowed within ``(node, stretch of time)``; the last reading of each
-stretch, one small row found by a partial aggregate, is copied into the node's
-next non-empty stretch. The result is the same as over whole nodes, and the only
-per-node window runs over the copies. Stretches are an hour long; where one node has
-more readings in one than fit a task, only that stretch is cut, at places drawn from
-its readings. Readings without a time have no place in the order and are left out.
+A rate needs the reading before. One node may hold a large share of all readings, so a window
+over whole nodes could end in one task. Readings are therefore cut into ranges of one order,
+by node and time, wherever that falls: places drawn from all readings by a hash say where a
+range ends. Each range is windowed on its own; its readings after the last place drawn in it,
+the last one among them, also stand at the head of the next range, which adds a few per cent.
+The result is the same as over whole nodes, in one shuffle.
+
+Where ties are told apart an instant is cut as well. Readings without a time have no place in
+the order and are left out. Nothing is run while the plan is built.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STRETCH_SECONDS = 3600.0
-ROWS_PER_STRETCH = 1_000_000
+#: Ranges per shuffle partition, so that partitions come out even, and places drawn per range.
+RANGES_PER_PARTITION = 16
+DRAWN_PER_RANGE = 32
 
 # Disk counters count 512-byte sectors; rates are in KB of 1024.
 SECTOR_BYTES = 512
@@ -41,24 +43,38 @@ def _clock(column: Column, data_type: str) -> tuple[Column, float]:
     return column.cast("double"), 1.0
 
 
-def overfull_stretches(
-    df: DataFrame, stretch: Column, order: Column, node: str = "node", rows: int | None = None
-) -> DataFrame | None:
-    """``(node, __stretch, __cuts)`` of stretches with more than ``rows`` readings; None without any.
+def _range_ends(places: DataFrame, ranges: int) -> Column:
+    """Where ranges end, as one value: an array of ``(cut, before)`` in order, fewer than ``ranges``.
 
-    Counts readings per node and stretch (partial counts, no readings move). Only the
-    overfull ones are looked at again: readings drawn by a hash, two per ``rows`` (by
-    default ``ROWS_PER_STRETCH``), say where they are cut. Cuts are places in the order
-    of readings, so that one instant is cut as well where ties are told apart.
+    ``cut`` is the first place of the next range, ``before`` a place of the range itself with
+    few others between. Places are drawn by a hash, about ``DRAWN_PER_RANGE`` per range; equal
+    ones count once.
     """
-    most = ROWS_PER_STRETCH if rows is None else rows
-    placed = df.select(node, stretch.alias("__stretch"), order.alias("__order"))
-    overfull = placed.groupBy(node, "__stretch").count().where(F.col("count") > most)
-    if overfull.isEmpty():
-        return None
-    drawn = F.pmod(F.xxhash64("__order"), F.lit(most)) < 2
-    within = placed.where(drawn).join(overfull, [node, "__stretch"], "left_semi")
-    return within.groupBy(node, "__stretch").agg(F.array_sort(F.collect_set("__order")).alias("__cuts"))
+    names = places.columns
+    count = places.agg(F.count(F.lit(1)).cast("double")).scalar()
+    share = F.lit(float(ranges * DRAWN_PER_RANGE)) / F.greatest(F.lit(1.0), count)
+    drawn = places.where(F.pmod(F.xxhash64(*names), F.lit(1 << 32)) < share * F.lit(float(1 << 32)))
+    ordered = drawn.agg(F.array_sort(F.collect_set(F.struct(*names))).alias("p"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(max(1, ranges - 1))), lambda i: F.floor(i * F.size("p") / F.lit(ranges)))
+    inner = F.array_distinct(F.filter(at, lambda k: k >= 1))
+    return ordered.select(
+        F.transform(inner, lambda k: F.struct(F.get("p", k.cast("int")).alias("cut"), F.get("p", (k - 1).cast("int")).alias("before")))
+    ).scalar()
+
+
+def _ranged(df: DataFrame, ends: Column, ranges: int) -> DataFrame:
+    """``df`` with ``__range``, the number of the range of ``__place``, and ``__late``, by binary search.
+
+    Late places, the last of their range among them, are not before ``before``. A column per step,
+    as one expression would repeat all steps before it.
+    """
+    df = df.withColumns({"__ends": ends, "__range": F.lit(0)})
+    for power in reversed(range(max(1, ranges).bit_length())):
+        further = F.col("__range") + F.lit(1 << power)
+        beyond = F.coalesce(F.get("__ends", further - 1)["cut"] <= F.col("__place"), F.lit(False))
+        df = df.withColumn("__range", F.when(beyond, further).otherwise(F.col("__range")))
+    before = F.get("__ends", F.col("__range"))["before"]
+    return df.withColumn("__late", F.coalesce(F.col("__place") >= before, F.lit(False))).drop("__ends")
 
 
 def with_previous(
@@ -67,59 +83,30 @@ def with_previous(
     node: str = "node",
     ts: str = "ts",
     tie: Sequence[str] = (),
-    stretch_seconds: float | None = None,
-    rows_per_stretch: int | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Append ``previous``: a struct of ``ts`` and ``values`` of the node's reading before.
 
-    ``ts`` is a timestamp or a number of seconds. ``tie`` orders readings with the
-    same time. A node's first reading has a null ``previous``. Without
-    ``stretch_seconds`` overfull stretches are cut, which reads the two columns now.
+    ``ts`` is a timestamp or a number of seconds. ``tie`` orders readings with the same time,
+    then ``values`` do. A node's first reading has a null ``previous``. ``ranges`` is how many
+    ranges the readings are cut into, by default some per shuffle partition.
     """
+    if ranges is None:
+        ranges = RANGES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     df = df.where(F.col(ts).isNotNull())
-    time, per_second = _clock(F.col(ts), dict(df.dtypes)[ts])
-    order = [ts, *tie]
+    time, _ = _clock(F.col(ts), dict(df.dtypes)[ts])
     kept = [F.col(f"`{name}`") for name in df.columns]
-    reading = F.struct(*[F.col(name) for name in dict.fromkeys([*order, *values])])
-    stretch = F.floor(time / F.lit((stretch_seconds or STRETCH_SECONDS) * per_second))
-    place = F.struct(time.alias("time"), *tie)
-    cuts = None if stretch_seconds else overfull_stretches(df, stretch, place, node, rows_per_stretch)
-    staged = df.select(*kept, stretch.alias("__stretch"), F.lit(False).alias("__copied"))
-    piece = F.lit(0)
-    if cuts is not None:
-        staged = staged.join(cuts, [node, "__stretch"], "left")
-        piece = F.coalesce(F.size(F.filter("__cuts", lambda cut: cut <= place)), F.lit(0))
-    staged = staged.select(*kept, F.struct("__stretch", piece.alias("piece")).alias("__stretch"), "__copied")
-
-    groups = staged.groupBy(node, "__stretch")
-    if tie:
-        last = groups.agg(F.max(reading).alias("__last"))
-    else:
-        # Plain numbers in the buffer keep this a hash aggregate; a struct needs a sort.
-        newest = groups.agg(
-            F.max(ts).alias("__ts"), *[F.max_by(v, ts).alias(f"__{i}") for i, v in enumerate(values)]
-        )
-        last = newest.select(
-            node,
-            "__stretch",
-            F.struct(
-                F.col("__ts").alias(ts), *[F.col(f"__{i}").alias(v) for i, v in enumerate(values)]
-            ).alias("__last"),
-        )
-    following = F.lead("__stretch").over(Window.partitionBy(node).orderBy("__stretch"))
-    copies = (
-        last.withColumn("__stretch", following)
-        .where(F.col("__stretch").isNotNull())
-        .select(node, "__last.*", "__stretch", F.lit(True).alias("__copied"))
-    )
-
-    within = Window.partitionBy(node, "__stretch").orderBy(F.desc("__copied"), *order)
-    carried = F.struct(ts, *values)
+    place = [c.alias(f"__{i}") for i, c in enumerate((F.col(node), time, *map(F.col, tie)))]
+    ranged = _ranged(df.select(*kept, F.struct(*place).alias("__place")), _range_ends(df.select(*place), ranges), ranges)
+    # late readings also stand at the head of the next range
+    own, head = (F.struct((F.col("__range") + n).alias("range"), F.lit(n)) for n in (0, 1))
+    dealt = ranged.withColumn("__in", F.explode(F.when(F.col("__late"), F.array(own, head)).otherwise(F.array(own))))
+    order = Window.partitionBy("__in.range").orderBy("__place", *values)
+    before = F.lag(F.struct(F.col(node).alias("node"), F.struct(ts, *values).alias("reading"))).over(order)
     return (
-        staged.unionByName(copies, allowMissingColumns=True)
-        .withColumn("previous", F.lag(carried).over(within))
-        .where(~F.col("__copied"))
-        .select(*kept, "previous")
+        dealt.withColumn("__before", before)
+        .where(F.col("__in.range") == F.col("__range"))
+        .select(*kept, F.when(F.col("__before.node").eqNullSafe(F.col(node)), F.col("__before.reading")).alias("previous"))
     )
 
 
@@ -135,9 +122,8 @@ def counter_rates(
     node: str = "node",
     ts: str = "ts",
     tie: Sequence[str] = (),
-    stretch_seconds: float | None = None,
     unit: float = 1.0,
-    rows_per_stretch: int | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Change per second of each counter ``{output: counter}``, in ``unit``s.
 
@@ -146,9 +132,7 @@ def counter_rates(
     """
     data_type = dict(readings.dtypes)[ts]
     names = list(dict.fromkeys(counters.values()))
-    paired = with_previous(readings, names, node, ts, tie, stretch_seconds, rows_per_stretch).where(
-        F.col("previous").isNotNull()
-    )
+    paired = with_previous(readings, names, node, ts, tie, ranges).where(F.col("previous").isNotNull())
     return paired.withColumns(
         {
             output: (F.col(name) - F.col(f"previous.{name}")) / F.lit(unit) / _step(ts, data_type)
@@ -161,7 +145,7 @@ def disk_rates(
     device_readings: DataFrame,
     node: str = "node",
     ts: str = "ts",
-    stretch_seconds: float | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """KB/s read and written per node, from sector counters per device.
 
@@ -177,8 +161,8 @@ def disk_rates(
         {"disk_read_kbps": "sectors_read", "disk_write_kbps": "sectors_written"},
         node,
         ts,
-        stretch_seconds=stretch_seconds,
         unit=KB / SECTOR_BYTES,
+        ranges=ranges,
     )
 
 
@@ -198,7 +182,7 @@ def cpu_utilisation(
     node: str = "node",
     ts: str = "ts",
     tie: Sequence[str] = (),
-    stretch_seconds: float | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """``cpu_util_pct`` from running CPU time counters; waiting for I/O counts as idle.
 
@@ -208,9 +192,7 @@ def cpu_utilisation(
     if iowait is not None:
         rest = rest + F.coalesce(F.col(iowait), F.lit(0))
     staged = readings.withColumn("__rest", rest)
-    paired = with_previous(staged, [total, "__rest"], node, ts, tie, stretch_seconds).where(
-        F.col("previous").isNotNull()
-    )
+    paired = with_previous(staged, [total, "__rest"], node, ts, tie, ranges).where(F.col("previous").isNotNull())
     return paired.withColumn(
         "cpu_util_pct",
         busy_percent(

@@ -114,13 +114,13 @@ def _counter_rate(spark, folder):
 
 
 def _counter_rate_hot(spark, folder):
-    # A third of the readings share one instant, some have no time; stretches are cut small.
+    # A third of the readings share one instant, some have no time; many ranges.
     moved = F.when(F.col("event_id") % 50 == 1, None).when(
         F.col("event_id") % 3 == 0, F.to_timestamp_ntz(F.lit("2024-01-02 00:00:00"))
     ).otherwise(F.col("ts").cast("timestamp_ntz"))
     readings = events(spark, folder).select("event_type", moved.alias("ts"), "event_id", "value")
     rates = counters.counter_rates(
-        readings, {"value_rate": "value"}, node="event_type", tie=["event_id"], rows_per_stretch=100
+        readings, {"value_rate": "value"}, node="event_type", tie=["event_id"], ranges=1000
     )
     return round_columns(rates.select("event_type", "event_id", "value_rate"), "value_rate")
 

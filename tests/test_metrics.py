@@ -101,8 +101,8 @@ def test_cpu_counters(spark):
     values = [(1000, 800), (1100, 850), (1100, 850), (1200, 960), (1300, 900)]
     df = spark.createDataFrame([("a", float(i), t, d) for i, (t, d) in enumerate(values)],
                                "node string, ts double, total bigint, idle bigint")
-    for stretch in (1, 2, 3600):
-        out = counters.cpu_utilisation(df, stretch_seconds=stretch).orderBy("ts").collect()
+    for ranges in (None, 1, 2, 50):
+        out = counters.cpu_utilisation(df, ranges=ranges).orderBy("ts").collect()
         assert [r.cpu_util_pct for r in out] == pytest.approx([50, 0, 0, 100])
 
 
@@ -123,15 +123,15 @@ def test_disk_counters(spark):
     assert [r.disk_write_kbps for r in rows] == [0.0, 0.0]
 
 
-@pytest.mark.parametrize("stretch, most", [(1, 10), (100_000, 10), (None, 10), (None, 100_000)])
-def test_previous_equals_brute_force_with_a_hot_node(spark, monkeypatch, stretch, most):
-    monkeypatch.setattr(counters, "ROWS_PER_STRETCH", most)
+@pytest.mark.parametrize("ranges, drawn", [(None, 32), (1, 32), (7, 1), (7, 32), (300, 4)])
+def test_previous_equals_brute_force_with_a_hot_node(spark, monkeypatch, ranges, drawn):
+    monkeypatch.setattr(counters, "DRAWN_PER_RANGE", drawn)
     rng = random.Random(3)
     rows = [("hot" if rng.random() < 0.5 else rng.choice("abc"), float(rng.randrange(9000)), i, rng.randrange(99))
             for i in range(600)] + [(None, 5.0, 900, 1), (None, 205.0, 901, 2)]
-    rows += [("hot", 777.0, 1000 + i, i) for i in range(50)]  # more at one instant than fit a stretch
+    rows += [("hot", 777.0, 1000 + i, i) for i in range(50)]
     df = spark.createDataFrame([*rows, ("hot", None, 1, 1)], "node string, ts double, seq int, v int").repartition(5)
-    out = counters.with_previous(df, ["v"], tie=["seq"], stretch_seconds=stretch).collect()
+    out = counters.with_previous(df, ["v"], tie=["seq"], ranges=ranges).collect()
     expected = {}
     last = {}
     for node, ts, seq, v in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
@@ -141,19 +141,28 @@ def test_previous_equals_brute_force_with_a_hot_node(spark, monkeypatch, stretch
     assert {r.seq: tuple(r.previous) if r.previous else None for r in out} == expected
 
 
-def test_only_overfull_stretches_are_cut(spark):
-    rows = [("a", 10.0 + i / 1000) for i in range(900)] + [("b", 4000.0 * i) for i in range(100)]
-    df = spark.createDataFrame(rows, "node string, ts double")
-    stretch, order = F.floor(F.col("ts") / 3600), F.struct("ts")
-    assert counters.overfull_stretches(df, stretch, order) is None
-    (cut,) = counters.overfull_stretches(df, stretch, order, rows=50).collect()
-    assert cut.node == "a" and len(cut["__cuts"]) > 10
+def test_no_readings_and_equal_readings(spark):
+    schema = "node string, ts double, v int"
+    assert counters.with_previous(spark.createDataFrame([], schema), ["v"]).collect() == []
+    df = spark.createDataFrame([("a", 1.0, 5)] * 400 + [("b", 2.0, 1)], schema)
+    out = counters.with_previous(df, ["v"], ranges=20).collect()
+    assert len(out) == 401
+    assert sum(r.previous is None for r in out) == 2 and all(tuple(r.previous) == (1.0, 5) for r in out if r.previous)
 
 
-def test_one_instant_is_cut_by_its_ties(spark):
-    df = spark.range(2000).select(F.lit("a").alias("node"), F.lit(5.0).alias("ts"), F.col("id").alias("seq"))
-    (cut,) = counters.overfull_stretches(df, F.lit(0), F.struct("ts", "seq"), rows=50).collect()
-    assert len(cut["__cuts"]) > 20 and cut["__cuts"] == sorted(cut["__cuts"])
+@pytest.mark.parametrize("hot", ["node", "instant"])
+def test_ranges_are_even(spark, hot):
+    df = spark.range(40_000).select(
+        F.when(F.col("id") % 10 == 0, F.lit("b")).otherwise(F.lit("a")).alias("__node"),
+        (F.lit(5.0) if hot == "instant" else F.col("id") / 7).alias("__time"),
+        F.col("id").alias("__tie0"),
+    )
+    placed = df.select(F.struct(*df.columns).alias("__place"))
+    ranged = counters._ranged(placed, counters._range_ends(df, 16), 16)
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("n"), F.sum(F.col("__late").cast("int")).alias("late")).collect()
+    assert sorted(r["__range"] for r in sizes) == list(range(16))
+    assert max(r.n for r in sizes) < 2 * 40_000 / 16
+    assert all((1 if r["__range"] < 15 else 0) <= r.late < r.n / 3 for r in sizes)
 
 
 def test_rates_of_timestamps(spark):
