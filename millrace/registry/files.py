@@ -18,6 +18,11 @@ from millrace.registry.metrics import METRIC_SQL
 from millrace.sinks import records, summaries
 from millrace.sources import nodelogs, runlogs
 
+#: A node or log of the files: an event type and a stretch of events, so that files stay alike at any size.
+_STRETCH = 50_000
+_KEY = f"event_type || '-' || event_id DIV {_STRETCH}"
+_KEY_SQL = f"event_type || '-' || (event_id // {_STRETCH})"
+
 _FIGURES = tuple(f"{m}_{f}" for m in METRICS for f in ("avg", "peak"))
 
 
@@ -43,7 +48,7 @@ def _metrics_folder(spark, folder):
     # Files of two nodes have their columns in another order and one more.
     base = scratch_folder(spark, folder, "metrics")
     readings = events(spark, folder).select(
-        F.col("event_type").alias("key"), "event_id", *[F.expr(sql).alias(n) for n, sql in METRIC_SQL.items()]
+        F.expr(_KEY).alias("key"), "event_id", *[F.expr(sql).alias(n) for n, sql in METRIC_SQL.items()]
     )
     names = list(METRICS)
     other = ["more", *reversed(names)]
@@ -71,7 +76,7 @@ _LOG_SQL = (
 
 def _results(spark, folder):
     base = scratch_folder(spark, folder, "logs")
-    rows = events(spark, folder).select(F.col("event_type").alias("key"), "event_id", F.expr(_LOG_SQL).alias("value"))
+    rows = events(spark, folder).select(F.expr(_KEY).alias("key"), "event_id", F.expr(_LOG_SQL).alias("value"))
     _one_file_each(spark, rows, base, "", ".log", ["event_id"])
     return runlogs.read_results(spark, base)
 
@@ -153,14 +158,14 @@ QUERIES = {
     "run_record": _run_record,
 }
 
-_FIRST = """
-    SELECT event_type AS log, min(event_id) AS id, arg_min(user_id, event_id) AS rows
-    FROM events WHERE event_id % 7 = 3 GROUP BY event_type"""
+_FIRST = f"""
+    SELECT {_KEY_SQL} AS log, min(event_id) AS id, arg_min(user_id, event_id) AS rows
+    FROM events WHERE event_id % 7 = 3 GROUP BY 1"""
 _PAYLOAD = """'{"run_id": "r' || id || '", "rows": ' || rows || ', "other": [1], "timing": {"job_seconds": '
     || (id % 100) || '.5}, "partition_balance": {"before": {"num_partitions": ' || (id % 9) || '}}}'"""
 
 ORACLE = {
-    "metrics_folder_summary": metrics.ORACLE["node_summary"],
+    "metrics_folder_summary": metrics.node_summary_sql(_KEY_SQL),
     "log_results": f"SELECT log, {_PAYLOAD} AS payload, 'r' || id AS run_id, rows FROM ({_FIRST})",
     "run_report": f"""
         SELECT 'job_seconds' AS label, (id % 100) || '.5' AS text FROM ({_FIRST})

@@ -213,6 +213,12 @@ def summary_sql(node="event_type"):
 
 
 _ROUNDED = ", ".join(f"{r6(c)} AS {c}" for c in _FIGURES)
+
+
+def node_summary_sql(node="event_type"):
+    return f"SELECT node, {_ROUNDED}, samples FROM ({summary_sql(node)})"
+
+
 _REPORT_SQL = ", ".join(
     f"printf('%.{places}f', {column}) AS \"{name}\"" for name, column, places in summaries.REPORT_COLUMNS
 )
@@ -223,7 +229,7 @@ _LAG = "lag({0}) OVER (PARTITION BY event_type ORDER BY ts, event_id)"
 _SECONDS = f"greatest(1e-6, (epoch_us(ts) - {_LAG.format('epoch_us(ts)')}) / 1e6)"
 
 ORACLE = {
-    "node_summary": f"SELECT node, {_ROUNDED}, samples FROM ({summary_sql()})",
+    "node_summary": node_summary_sql(),
     "node_summary_listed": f"""
         WITH s AS ({summary_sql('user_id')})
         SELECT c_custkey AS node, {', '.join(f'coalesce({r6(c)}, 0.0) AS {c}' for c in _FIGURES)},

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources import files
 from millrace.sources.tables import listed_files, path_missing
 
 # The columns of a metrics file and its name.
@@ -41,9 +42,9 @@ def typed_metrics(raw: DataFrame) -> DataFrame:
 
     Metric fields are typed by ``clean_readings``, which also decides which rows count.
     """
-    file = "file_name" if "file_name" in raw.columns else "_metadata.file_name"
+    node = F.col("node") if "node" in raw.columns else node_of_file(F.col("_metadata.file_name"))
     return raw.select(
-        node_of_file(F.col(file)).alias("node"),
+        node.alias("node"),
         F.timestamp_millis((F.col("ts").try_cast("double") * 1000).cast("bigint")).alias("ts"),
         *[F.col(n) for n in METRICS_FIELDS if n not in ("ts", "devices")],
         F.filter(F.split("devices", ";"), lambda d: d != "").alias("devices"),
@@ -54,8 +55,19 @@ def read_node_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """All ``metrics_<node>.csv`` files of a folder, columns taken by name.
 
     Every file has its own header: columns may come in any order, unknown ones are
-    ignored, absent ones are null (and count as empty).
+    ignored, absent ones are null (and count as empty). The folder is read once, when
+    the result is.
     """
+    if not files.opens(folder):
+        return _by_spark(spark, folder)
+    if not files.exists(folder):
+        return spark.read.text(folder)  # Spark's own error
+    rows = files.load(spark, files.RowsByHeader, folder, names=METRICS_GLOB, fields=",".join(METRICS_FIELDS))
+    return typed_metrics(rows.withColumn("node", F.regexp_extract("file_name", METRICS_NAME_PATTERN, 1)))
+
+
+def _by_spark(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of a store that only Spark opens: headers are found first, then joined to their lines."""
     lines = (
         spark.read.option("pathGlobFilter", METRICS_GLOB)
         .text(folder)
@@ -83,14 +95,22 @@ def read_node_metrics(spark: SparkSession, folder: str) -> DataFrame:
     parsed = lines.select("path", "file_name", "value", F.from_csv("value", fields).alias("row"))
     rows = parsed.join(places, "path").where(F.col("value") != F.col("header"))
     return typed_metrics(
-        rows.select("file_name", *[F.trim(F.get(cells("row"), F.col(f"at_{n}"))).alias(n) for n in METRICS_FIELDS])
+        rows.select(
+            node_of_file(F.col("file_name")).alias("node"),
+            *[F.trim(F.get(cells("row"), F.col(f"at_{n}"))).alias(n) for n in METRICS_FIELDS],
+        )
     )
 
 
 def read_node_names(spark: SparkSession, folder: str) -> DataFrame:
     """``node`` for every metrics file, including files that hold no readings."""
-    files = listed_files(spark, folder, METRICS_GLOB)
-    return files.select(node_of_file(F.element_at(F.split("path", "/"), -1)).alias("node"))
+    if not files.opens(folder):
+        names = F.element_at(F.split("path", "/"), -1)
+        return listed_files(spark, folder, METRICS_GLOB).select(node_of_file(names).alias("node"))
+    if not files.exists(folder):
+        return spark.read.text(folder)  # Spark's own error
+    named = files.load(spark, files.NamedFiles, folder, names=METRICS_GLOB)
+    return named.select(F.regexp_extract("name", METRICS_NAME_PATTERN, 1).alias("node"))
 
 
 def read_folder_or_none(read, spark: SparkSession, folder: str) -> DataFrame | None:

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources import files
 from millrace.sources.tables import listed_files, path_missing
 
 # The marker before a result, and the fields of a result.
@@ -74,8 +75,22 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     """``(path, payload, result)`` for every log: its first marked line.
 
     A log without a marked line, or whose first one is malformed, has a null
-    result. A missing path gives no rows.
+    result. A missing path gives no rows. Logs are searched once, by pieces, each up to
+    its first marked line.
     """
+    if files.opens(path):
+        if not files.exists(path):
+            return spark.createDataFrame([], f"path string, payload string, result {RESULT_SCHEMA}")
+        marked = files.load(spark, files.MarkedLines, path, marker=RESULT_MARKER)
+        first = marked.groupBy("path").agg(F.min_by("line", "at").alias("line"))
+        found = first.select("path", F.regexp_extract("line", _MARKED_LINE, 1).alias("payload"))
+    else:
+        found = _found_by_spark(spark, path)
+    return found.select("path", "payload", parse_result(F.col("payload")).alias("result"))
+
+
+def _found_by_spark(spark: SparkSession, path: str) -> DataFrame:
+    """The same of a store that only Spark opens: files are listed first, then joined to their marked lines."""
     try:
         listing = listed_files(spark, path).select(plain_path(F.col("path")).alias("path"))
         # Split at line feeds only; a trailing \r is left for the JSON parser to skip.
@@ -83,7 +98,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     except AnalysisException as error:
         if not path_missing(error):
             raise
-        return spark.createDataFrame([], f"path string, payload string, result {RESULT_SCHEMA}")
+        return spark.createDataFrame([], "path string, payload string")
     # A log may be read in several splits: the offset of the split orders those,
     # the growing row id orders the lines of one.
     lines = text.select(
@@ -94,9 +109,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
         ).alias("at"),
         "value",
     )
-    return listing.join(first_marked_line(lines), "path", "left").select(
-        "path", "payload", parse_result(F.col("payload")).alias("result")
-    )
+    return listing.join(first_marked_line(lines), "path", "left").select("path", "payload")
 
 
 def read_scaling_records(spark: SparkSession, path: str) -> DataFrame:
