@@ -1,41 +1,37 @@
 """Equal-frequency binning of numeric columns into 1..n.
 
 Splits are exact order statistics: split ``i`` of ``n`` is the value at rank
-``ceil(i * rows / n)``. They are found by narrowing instead of sorting the
-table:
-
-1. A first pass counts and summarises every column, which gives a bracket of values
-   around each wanted rank. Summaries are merged within ``_SALTS`` groups first, so
-   no single task receives one per input task.
-2. As long as brackets may hold more values than a task should order, a pass counts
-   exactly the rows below and inside each bracket and summarises the inside.
-3. A last pass counts the rows between brackets and, inside them, the rows per
-   value (map-side combined, so a value held by a third of all rows costs one
-   row per task). Counts per region tell the region of each rank, and cumulative
-   counts within that region the exact value.
-
-Passes notice a rank outside its bracket and go on where it must lie. Only
-bracket ends, counts and splits reach the driver.
+``ceil(i * rows / n)``. They are found by narrowing instead of sorting the table, by the same
+passes at every size:
+
+1. A first pass makes a KLL sketch, a count and the range of every column. These merge, so they
+   can be kept per file or per day and the pass then reads new files only. A sketch gives a
+   bracket of values around each wanted rank, for any number of bins.
+2. Each further pass counts exactly the rows below and inside each bracket and sketches the
+   inside. A sketch of at most ``SKETCH_SIZE`` values holds them all, and the value at the rank
+   is read off it; a larger inside gives a bracket of some 0.3 % of it. Two passes do for
+   3 million rows, three for 10^9, five for 10^14.
+
+Passes notice a rank outside its bracket and go on where it must lie. A value that fills a third
+of the table ends up as the end of a bracket, where rows are only counted. Sketches are merged
+within ``_SALTS`` groups first, so no single task receives one per input task. Only bracket
+ends, counts and splits reach the driver.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer, QuantileDiscretizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import QuantileDiscretizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SALTS = 256
-_GRID = 512
-_ACCURACY = 4096
-# Share of the inside of a bracket that the next, narrower bracket can hold: the
-# grid step plus the summary error on both sides, doubled for the merge.
-_SHRINK = 4 * (1 / _GRID + 1 / _ACCURACY)
-# Distinct values of one column that the last pass may order in one task.
-_ORDERABLE = 2_000_000
+#: Values a sketch holds before it starts to forget some.
+SKETCH_SIZE = 8192
+# Twice the rank error of a sketch, 2.296 / k^0.9021, on either side of a rank.
+_MARGIN = 2 * 2.296 / SKETCH_SIZE**0.9021
 
 
 @dataclass(frozen=True)
@@ -77,6 +73,12 @@ class _Bracket:
     def between(self, low: float, high: float) -> _Bracket:
         return _Bracket(self.column, self.number, low, high)
 
+    def closer(self, share: float, values: Sequence[float]) -> _Bracket:
+        """Between the values a margin below and above a share of the rows inside."""
+        return self.between(
+            values[0] if share > _MARGIN else self.low, values[2] if share < 1 - _MARGIN else self.high
+        )
+
 
 @dataclass(frozen=True)
 class _Sizes:
@@ -95,38 +97,10 @@ def _double(number: float) -> str:
     return f"double('{number!r}')"
 
 
-def _first_look(values: DataFrame, bins: int) -> tuple[_Sizes, list[_Bracket]]:
-    """One pass: rows and range of every column, and a bracket for every rank."""
-    grid = F.lit([step / _GRID for step in range(_GRID + 1)])
-    cells = [
-        F.struct(
-            F.lit(number).alias("span"),
-            F.count(name).alias("inside"),
-            F.min(name).alias("low"),
-            F.max(name).alias("high"),
-            F.percentile_approx(name, grid, _ACCURACY).alias("grid"),
-        )
-        for number, name in enumerate(values.columns)
-    ]
-    salted = _by_salt(values, cells).persist()  # columns x _SALTS rows
-    try:
-        measures = {
-            values.columns[row["span"]]: row
-            for row in salted.groupBy("span")
-            .agg(F.sum("inside").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high"))
-            .collect()
-            if row["rows"]
-        }
-        sizes = _Sizes(bins, *({n: row[f] for n, row in measures.items()} for f in ("rows", "low", "high")))
-        whole = {
-            values.columns.index(n): [
-                (_Bracket(n, number, sizes.low[n], sizes.high[n]), number / bins) for number in range(1, bins)
-            ]
-            for n in sizes.rows
-        }
-        return sizes, _around_ranks(salted, whole)
-    finally:
-        salted.unpersist()
+def _values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as doubles; NaN is null."""
+    doubles = {name: F.col(f"`{name}`").cast("double") for name in columns}
+    return df.select(*[F.when(~F.isnan(value), value).alias(name) for name, value in doubles.items()])
 
 
 def _by_salt(values: DataFrame, cells: list[Column]) -> DataFrame:
@@ -137,51 +111,84 @@ def _by_salt(values: DataFrame, cells: list[Column]) -> DataFrame:
     )
 
 
-def _around_ranks(salted: DataFrame, open_at: dict[int, list[tuple[_Bracket, float]]]) -> list[_Bracket]:
-    """Narrower brackets around shares of the rows inside a span, by the summaries of its salts."""
-    if not any(open_at.values()):
-        return []
-    # A grid value stands for the same share of the rows of its salt group.
-    points = salted.where(F.col("inside") > 0).select(
-        "span", F.explode("grid").alias("value"), F.col("inside").alias("weight")
+def sketch_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One pass: ``(column, rows, low, high, sketch)`` per column, to keep and to merge.
+
+    Nulls and NaN do not count as rows; a column without values has no row.
+    """
+    values = _values(df, columns)
+    cells = [
+        F.struct(
+            F.lit(name).alias("column"),
+            F.count(f"`{name}`").alias("rows"),
+            F.min(f"`{name}`").alias("low"),
+            F.max(f"`{name}`").alias("high"),
+            F.kll_sketch_agg_double(f"`{name}`", F.lit(SKETCH_SIZE)).alias("sketch"),
+        )
+        for name in columns
+    ]
+    return merge_sketches(_by_salt(values, cells))
+
+
+def merge_sketches(sketches: DataFrame) -> DataFrame:
+    """Sketches of several files or days as those of all of them."""
+    return (
+        sketches.where("rows > 0")
+        .groupBy("column")
+        .agg(
+            F.sum("rows").alias("rows"),
+            F.min("low").alias("low"),
+            F.max("high").alias("high"),
+            F.kll_merge_agg_double("sketch").alias("sketch"),
+        )
     )
-    margin = _SHRINK / 2
-    shares = {
-        number: [min(1.0, max(0.0, share + side)) for _, share in members for side in (-margin, margin)]
-        for number, members in open_at.items()
-        if members
-    }
-    ends = points.agg(
-        *[
-            F.percentile(F.when(F.col("span") == number, F.col("value")), F.lit(wanted), F.col("weight")).alias(
-                f"span_{number}"
-            )
-            for number, wanted in shares.items()
-        ]
-    ).first()
-    narrower = []
-    for number in shares:
-        for order, (bracket, share) in enumerate(open_at[number]):
-            low, high = ends[f"span_{number}"][2 * order : 2 * order + 2]
-            narrower.append(
-                bracket.between(
-                    low if share > margin else bracket.low, high if share < 1 - margin else bracket.high
-                )
-            )
-    return narrower
 
 
-def _narrow(values: DataFrame, sizes: _Sizes, brackets: list[_Bracket]):
-    """One pass over the table.
+def _at_shares(sketches: DataFrame, key: str, shares: dict[object, list[float]]) -> dict[object, list[float]]:
+    """Values at shares of the rows of some sketches."""
+    at = None
+    for name, wanted in shares.items():
+        within = F.lit([min(1.0, max(0.0, share)) for share in wanted])
+        found = F.kll_sketch_get_quantile_double("sketch", within)
+        at = F.when(F.col(key) == F.lit(name), found) if at is None else at.when(F.col(key) == F.lit(name), found)
+    if at is None:
+        return {}
+    return {row[key]: row["at"] for row in sketches.select(key, at.alias("at")).collect() if row[key] in shares}
 
-    Returns the splits already known, narrower brackets for the rest, and how many
-    distinct values those of one column can hold between their ends.
-    """
+
+def _around(share: float) -> list[float]:
+    return [share - _MARGIN, share, share + _MARGIN]
+
+
+def _first_look(sketches: DataFrame, bins: int) -> tuple[_Sizes, dict[tuple[str, int], float], list[_Bracket]]:
+    """Rows and range of every column, the splits of columns whose sketch holds all values, brackets for the others."""
+    sketches = sketches.persist()  # a row per column
+    try:
+        rows = sketches.select("column", "rows", "low", "high").collect()
+        sizes = _Sizes(bins, *({r["column"]: r[f] for r in rows} for f in ("rows", "low", "high")))
+        whole = [_Bracket(n, number, sizes.low[n], sizes.high[n]) for n in sizes.rows for number in range(1, bins)]
+        shares = {b.key: (sizes.rank(b) - 0.5) / sizes.rows[b.column] for b in whole}
+        at = _at_shares(
+            sketches, "column", {n: [s for k in range(1, bins) for s in _around(shares[n, k])] for n in sizes.rows} if bins > 1 else {}
+        )
+    finally:
+        sketches.unpersist()
+    known, brackets = {}, []
+    for bracket in whole:
+        values = at[bracket.column][3 * bracket.number - 3 : 3 * bracket.number]
+        if sizes.rows[bracket.column] <= SKETCH_SIZE:
+            known[bracket.key] = values[1]
+        else:
+            brackets.append(bracket.closer(shares[bracket.key], values))
+    return sizes, known, brackets
+
+
+def _narrow(values: DataFrame, sizes: _Sizes, brackets: list[_Bracket]) -> tuple[dict[tuple[str, int], float], list[_Bracket]]:
+    """One pass over the table: the splits now known, and narrower brackets for the rest."""
     spans = sorted({b.span for b in brackets})
-    grid = F.lit([step / _GRID for step in range(_GRID + 1)])
     cells = []
     for number, (name, low, high) in enumerate(spans):
-        value = F.col(name)
+        value = F.col(f"`{name}`")
         strictly_inside = F.when((value > F.lit(low)) & (value < F.lit(high)), value)
         cells.append(
             F.struct(
@@ -189,147 +196,55 @@ def _narrow(values: DataFrame, sizes: _Sizes, brackets: list[_Bracket]):
                 F.count_if(value < F.lit(low)).alias("under_low"),
                 F.count_if(value <= F.lit(low)).alias("upto_low"),
                 F.count(strictly_inside).alias("inside"),
-                F.percentile_approx(strictly_inside, grid, _ACCURACY).alias("grid"),
+                F.kll_sketch_agg_double(strictly_inside, F.lit(SKETCH_SIZE)).alias("sketch"),
                 F.count_if(value <= F.lit(high)).alias("upto_high"),
             )
         )
-    salted = _by_salt(values, cells)
-    # Spans x _SALTS rows; kept so that the table is not read again for the second look.
-    salted = salted.persist()
+    counted = ("under_low", "upto_low", "inside", "upto_high")
+    salted = _by_salt(values, cells).groupBy("span")
+    merged = salted.agg(*[F.sum(n).alias(n) for n in counted], F.kll_merge_agg_double("sketch").alias("sketch"))
+    merged = merged.persist()  # a row per span; kept so that the table is not read again for the second look
     try:
-        counts = {
-            row["span"]: row
-            for row in salted.groupBy("span")
-            .agg(*[F.sum(n).alias(n) for n in ("under_low", "upto_low", "inside", "upto_high")])
-            .collect()
-        }
+        counts = {row["span"]: row for row in merged.select("span", *counted).collect()}
         known: dict[tuple[str, int], float] = {}
         narrower: list[_Bracket] = []
-        open_at: dict[int, list[tuple[_Bracket, float]]] = {}
-        to_order = dict.fromkeys(sizes.rows, 0)
+        asked: dict[int, list[tuple[_Bracket, float]]] = {}
         for bracket in brackets:
             number = spans.index(bracket.span)
             count, rank = counts[number], sizes.rank(bracket)
             if rank <= count["under_low"]:
                 narrower.append(bracket.between(sizes.low[bracket.column], bracket.low))
-                to_order[bracket.column] += count["under_low"]
             elif rank > count["upto_high"]:
                 narrower.append(bracket.between(bracket.high, sizes.high[bracket.column]))
-                to_order[bracket.column] += sizes.rows[bracket.column] - count["upto_high"]
             elif rank <= count["upto_low"]:
                 known[bracket.key] = bracket.low
             elif rank > count["upto_low"] + count["inside"]:
                 known[bracket.key] = bracket.high
             else:
-                share = (rank - count["upto_low"]) / count["inside"]
-                open_at.setdefault(number, []).append((bracket, share))
-                to_order[bracket.column] += int(count["inside"] * _SHRINK) + 1
-        narrower += _around_ranks(salted, open_at)
+                share = (rank - count["upto_low"] - 0.5) / count["inside"]
+                asked.setdefault(number, []).append((bracket, share))
+        at = _at_shares(merged, "span", {n: [s for _, share in own for s in _around(share)] for n, own in asked.items()})
+        for number, own in asked.items():
+            for i, (bracket, share) in enumerate(own):
+                values_at = at[number][3 * i : 3 * i + 3]
+                if counts[number]["inside"] <= SKETCH_SIZE:
+                    known[bracket.key] = values_at[1]
+                else:
+                    narrower.append(bracket.closer(share, values_at))
     finally:
-        salted.unpersist()
-    return known, narrower, max(to_order.values())
+        merged.unpersist()
+    return known, narrower
 
 
-def _settle(values: DataFrame, sizes: _Sizes, brackets: list[_Bracket]):
-    """One pass over the table, for brackets that hold few distinct values.
+def fit_bins(df: DataFrame, columns: Sequence[str], bins: int = 10, sketches: DataFrame | None = None) -> BinModel:
+    """Exact equal-frequency splits. Nulls and NaN do not count as rows.
 
-    Returns the splits and, for a rank outside its bracket, a bracket that holds it.
+    ``sketches`` are those of all rows of ``df``, merged; without them a first pass makes them.
     """
-    columns = [n for n in sizes.rows if any(b.column == n for b in brackets)]
-    own = {n: [b for b in brackets if b.column == n] for n in columns}
-    ends = {n: sorted({e for b in own[n] for e in (b.low, b.high)}) for n in columns}
-    # A region is numbered by the ends at or below it. Looked up by binary search:
-    # the comparisons written out would be too much code for the JVM to compile.
-    regions = Bucketizer(
-        inputCols=columns,
-        outputCols=[f"__region_{n}" for n in columns],
-        splitsArray=[[-math.inf, *ends[n], math.inf] for n in columns],
-        handleInvalid="keep",
-    ).transform(values)
-    cells = []
-    for number, name in enumerate(columns):
-        value, region = F.col(f"`{name}`"), F.col(f"`__region_{name}`").cast("int")
-        within = [
-            any(b.low <= low and high <= b.high for b in own[name])
-            for low, high in zip([-math.inf, *ends[name]], [*ends[name], math.inf])
-        ]
-        kept = F.get(F.lit(within), region) | value.isin(ends[name])
-        cells.append(
-            F.when(
-                value.isNotNull(),
-                F.struct(
-                    F.lit(number).alias("column"),
-                    region.alias("region"),
-                    F.when(kept, value).alias("value"),
-                ),
-            )
-        )
-    counts = (
-        regions.select(F.explode(F.array(*cells)).alias("cell"))
-        .where(F.col("cell").isNotNull())
-        .groupBy("cell.column", "cell.region", "cell.value")
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
-    counts = counts.persist()  # brackets hold few values by now
-    try:
-        totals: dict[str, dict[int, int]] = {n: {} for n in columns}
-        for row in counts.groupBy("column", "region").agg(F.sum("rows").alias("rows")).collect():
-            totals[columns[row["column"]]][row["region"]] = row["rows"]
-        wanted = []
-        for bracket in brackets:
-            below = 0
-            for region, rows in sorted(totals[bracket.column].items()):
-                if sizes.rank(bracket) <= below + rows:
-                    wanted.append((columns.index(bracket.column), bracket.number, region, sizes.rank(bracket) - below))
-                    break
-                below += rows
-        # brackets x 4 numbers
-        ranks = F.broadcast(
-            values.sparkSession.createDataFrame(wanted, "column int, number int, region int, rank bigint")
-        )
-        # The rows of a region outside all brackets are a single count, after those that
-        # equal the end it starts at.
-        running = Window.partitionBy("column", "region").orderBy(F.col("value").asc_nulls_last())
-        hits = (
-            counts.join(ranks.select("column", "region").distinct(), ["column", "region"], "left_semi")
-            .withColumn("upto", F.sum("rows").over(running))
-            .join(ranks, ["column", "region"])
-            .where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("rows")))
-            .select("column", "number", "region", "value")
-            .collect()
-        )
-    finally:
-        counts.unpersist()
-    known, missed = {}, []
-    for row in hits:
-        name, region = columns[row["column"]], row["region"]
-        if row["value"] is not None:
-            known[name, row["number"]] = row["value"]
-        else:
-            low = ends[name][region - 1] if region else sizes.low[name]
-            high = ends[name][region] if region < len(ends[name]) else sizes.high[name]
-            missed.append(_Bracket(name, row["number"], low, high))
-    return known, missed
-
-
-def fit_bins(df: DataFrame, columns: Sequence[str], bins: int = 10) -> BinModel:
-    """Exact equal-frequency splits. Nulls and NaN do not count as rows."""
-    values = df.select(
-        *[
-            F.when(~F.isnan(F.col(name).cast("double")), F.col(name).cast("double")).alias(name)
-            for name in columns
-        ]
-    )
-    splits: dict[tuple[str, int], float] = {}
-    sizes, brackets = _first_look(values, bins)
-    to_order = max((int(n * _SHRINK * bins) for n in sizes.rows.values()), default=0)
+    values = _values(df, columns)
+    sizes, splits, brackets = _first_look(sketch_columns(df, columns) if sketches is None else sketches, bins)
     while brackets:
-        if to_order > _ORDERABLE:
-            known, brackets, to_order = _narrow(values, sizes, brackets)
-        else:
-            known, brackets = _settle(values, sizes, brackets)
-            # A missed bracket may span anything; look before counting values again.
-            to_order = max((sizes.rows[b.column] for b in brackets), default=0)
+        known, brackets = _narrow(values, sizes, brackets)
         splits |= known
     return BinModel(
         tuple(columns),
@@ -340,6 +255,15 @@ def fit_bins(df: DataFrame, columns: Sequence[str], bins: int = 10) -> BinModel:
     )
 
 
+def sketched_bins(sketches: DataFrame, columns: Sequence[str], bins: int = 10) -> BinModel:
+    """Splits from sketches alone: no row is read, ranks are off by 0.07 % at most 99 times in 100.
+
+    Exact for columns of up to ``SKETCH_SIZE`` values.
+    """
+    found = _at_shares(sketches, "column", {n: [i / bins for i in range(1, bins)] for n in columns} if bins > 1 else {})
+    return BinModel(tuple(columns), tuple(tuple(sorted(set(found.get(n, ())))) for n in columns))
+
+
 def bin_columns(df: DataFrame, columns: Sequence[str], bins: int = 10, suffix: str = "_bin") -> DataFrame:
     """Append the bin number 1..bins of every column."""
     return fit_bins(df, columns, bins).transform(df, suffix)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -12,6 +14,10 @@ from pyspark.sql import functions as F
 from millrace.functions.readings import ratio_or
 
 
+#: Slots per partition that keys are hashed into, and the share of a partition above which a key is cut.
+SLOTS = 64
+
+
 def repartitioned(df: DataFrame, partitions: int = 0, *keys: str) -> DataFrame:
     """Spread over ``partitions`` when above zero; otherwise the layout stays as it is."""
     return df.repartition(partitions, *keys) if partitions > 0 else df
@@ -25,6 +31,56 @@ def held(df: DataFrame, warm: bool = True) -> DataFrame:
     return df
 
 
+def _packed(weights: dict[int, int], partitions: int) -> dict[int, int]:
+    """Partition of each slot: heaviest slots first, each to the partition that is lightest then."""
+    heap = [(0, p) for p in range(partitions)]
+    placed = {}
+    for slot in sorted(weights, key=lambda s: (-weights[s], s)):
+        held, partition = heapq.heappop(heap)
+        placed[slot] = partition
+        heapq.heappush(heap, (held + weights[slot], partition))
+    return placed
+
+
+def repartitioned_by_weight(df: DataFrame, partitions: int, *keys: str) -> DataFrame:
+    """Spread over ``partitions`` of equal rows, rows of one key together unless they are too many.
+
+    Keys are weighed now, by partial counts. One with more than the ``SLOTS``-th part of a partition
+    is cut into pieces of that size by a hash of the whole row; the others are hashed into
+    ``SLOTS`` slots per partition. Slots and pieces, some thousand numbers, are packed on the
+    driver, heaviest first.
+    """
+    slots = SLOTS * partitions
+    value = F.struct(*[F.col(k) for k in keys])
+    counts = df.groupBy(value.alias("key")).agg(F.count(F.lit(1)).alias("rows"))
+    counts = counts.persist()  # a row per key
+    try:
+        total = counts.agg(F.sum("rows")).first()[0] or 0
+        most = max(1, total // slots)
+        light = F.pmod(F.xxhash64("key"), F.lit(slots)).alias("slot")
+        heavy = counts.where(F.col("rows") > most).collect()  # fewer than slots
+        weights = {r["slot"]: r["rows"] for r in counts.where(F.col("rows") <= most).groupBy(light).agg(F.sum("rows").alias("rows")).collect()}
+    finally:
+        counts.unpersist()
+    cut, free = [], slots
+    for row in heavy:
+        pieces = math.ceil(row["rows"] / most)
+        cut.append((row["key"], free, pieces))
+        weights |= dict.fromkeys(range(free, free + pieces), row["rows"] // pieces)
+        free += pieces
+    spark = df.sparkSession
+    kind = df.select(value.alias("key")).schema["key"].dataType.simpleString()
+    cuts = F.broadcast(spark.createDataFrame(cut, f"key {kind}, first bigint, pieces bigint"))
+    placed = F.broadcast(spark.createDataFrame(list(_packed(weights, partitions).items()), "slot bigint, partition int"))
+    rows = df.select(value.alias("key"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    dealt = rows.join(cuts, rows["key"].eqNullSafe(cuts["key"]), "left").select(
+        "row", F.coalesce(F.col("first") + F.pmod(F.xxhash64("row"), "pieces"), F.pmod(F.xxhash64(rows["key"]), F.lit(slots))).alias("slot")
+    )
+    # a row that came in after the count may have a slot without a partition
+    number = F.coalesce(F.col("partition"), F.pmod("slot", F.lit(partitions)).cast("int"))
+    return dealt.join(placed, "slot", "left").repartitionById(partitions, number).select("row.*")
+
+
 def partition_rows(df: DataFrame) -> DataFrame:
     """``(partition, rows)`` for every partition, empty ones included.
 

@@ -161,6 +161,61 @@ def fit_scaler(df: DataFrame, columns: Sequence[str]) -> ScalerModel:
     )
 
 
+def scaler_state(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One pass: ``(column, rows, mean, m2)`` per column, to keep as a table and to merge.
+
+    ``m2`` is the sum of squared distances from the mean. Nulls do not count as rows; a column
+    without values has a null mean.
+    """
+    cells = []
+    for name in columns:
+        value = F.col(f"`{name}`").cast("double")
+        rows = F.count(value)
+        spread = F.when(rows > 0, F.var_pop(value) * rows)
+        cells.append(F.struct(F.lit(name).alias("column"), rows.alias("rows"), F.avg(value).alias("mean"), spread.alias("m2")))
+    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """States of parts of a table, of several files or days, as the state of all of it.
+
+    Two parts merge into (n, mean, m2) by their counts and the distance of their means; parts are
+    taken in order of size, which gives the same digits whatever order they come in.
+    """
+    part = F.struct("rows", "mean", "m2")
+    none = F.struct(F.lit(0).cast("bigint").alias("rows"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def both(a: Column, b: Column) -> Column:
+        rows = a["rows"] + b["rows"]
+        step = b["mean"] - a["mean"]
+        share = b["rows"] / rows
+        return F.struct(
+            rows.alias("rows"),
+            (a["mean"] + step * share).alias("mean"),
+            (a["m2"] + b["m2"] + step * step * a["rows"] * share).alias("m2"),
+        )
+
+    merged = (
+        states.groupBy("column")
+        .agg(F.array_sort(F.collect_list(F.when(F.col("rows") > 0, part))).alias("parts"))  # a row per part
+        .select("column", F.aggregate("parts", none, both).alias("s"))
+    )
+    filled = F.col("s.rows") > 0
+    return merged.select("column", "s.rows", *[F.when(filled, F.col(f"s.{n}")).alias(n) for n in ("mean", "m2")])
+
+
+def scaler_of_state(states: DataFrame, columns: Sequence[str]) -> ScalerModel:
+    """The model of a merged state, as ``fit_scaler`` gives it; reads no row of the table itself."""
+    found = {r["column"]: r for r in states.collect()}  # a row per column
+    rows = [found[n]["rows"] for n in columns]
+    return ScalerModel(
+        columns=tuple(columns),
+        means=tuple(found[n]["mean"] for n in columns),
+        stds=tuple((found[n]["m2"] / (k - 1)) ** 0.5 if k > 1 else None for n, k in zip(columns, rows)),
+        rows=tuple(rows),
+    )
+
+
 def slot_moments(df: DataFrame, array_column: str) -> DataFrame:
     """Statistics of every slot of an array column: ``(slot, mean, std, rows)``.
 

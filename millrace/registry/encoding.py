@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions.fields import TOP_CATEGORY
 from millrace.operators import encoding as ops
-from millrace.operators.binning import fit_bins
-from millrace.operators.subsets import subset_fraction
-from millrace.registry.common import KEYS_SQL, LINE_FEATURES, LINE_KEYS, line_features, lines
+from millrace.operators.binning import fit_bins, merge_sketches, sketch_columns
+from millrace.operators.subsets import subset_fraction, subset_of_rows, subset_of_weight
+from millrace.registry.common import KEYS_SQL, LINE_FEATURES, LINE_KEYS, line_features, lines, scratch_folder
 from millrace.sources.tables import parquet_table
 
 # Line numbers are 1..7: index 0 is unused, so a fitted encoding has 8 slots.
@@ -86,6 +86,26 @@ def _quantile_splits(spark, folder):
     return spark.createDataFrame(found, "column string, split double")
 
 
+def _quantile_splits_stored(spark, folder):
+    # Sketches of three parts, kept as a table; the exact passes start from their brackets.
+    path = scratch_folder(spark, folder, "sketches")
+    table = line_features(spark, folder)
+    for part in range(3):
+        own = sketch_columns(table.where(F.col("l_orderkey") % 3 == part), LINE_FEATURES)
+        own.write.mode("overwrite" if part == 0 else "append").parquet(path)
+    model = fit_bins(table, LINE_FEATURES, _BINS, sketches=merge_sketches(spark.read.parquet(path)))
+    found = [(name, split) for name, splits in zip(model.columns, model.splits) for split in splits]
+    return spark.createDataFrame(found, "column string, split double")
+
+
+def _subset_of_rows(spark, folder):
+    return subset_of_rows(line_features(spark, folder), ["l_orderkey", "l_linenumber"], _SUBSET_ROWS)
+
+
+def _subset_of_weight(spark, folder):
+    return subset_of_weight(line_features(spark, folder), ["l_orderkey", "l_linenumber"], _SUBSET_WEIGHT, F.col("l_quantity"))
+
+
 def _quantile_bins(spark, folder):
     table = line_features(spark, folder)
     binned = fit_bins(table, LINE_FEATURES, _BINS).transform(table)
@@ -118,8 +138,11 @@ QUERIES = {
     "onehot_fixed": _onehot_fixed,
     "batch_onehot": _batch_onehot,
     "quantile_splits": _quantile_splits,
+    "quantile_splits_stored": _quantile_splits_stored,
     "quantile_bins": _quantile_bins,
     "bin_then_onehot": _bin_then_onehot,
+    "subset_of_rows": _subset_of_rows,
+    "subset_of_weight": _subset_of_weight,
     "subset_hash": _subset_hash,
     "subset_nested": _subset_nested,
 }
@@ -144,6 +167,9 @@ def _splits_sql(name):
         WHERE rn = greatest(1, (i * n + {_BINS - 1}) // {_BINS})"""
 
 
+_SUBSET_ROWS = 2500
+_SUBSET_WEIGHT = 60_000
+_POSITION_SQL = "CAST('0x' || substr(md5(l_orderkey || '|' || l_linenumber), 1, 15) AS BIGINT)"
 _SPLITS_SQL = " UNION ALL ".join(_splits_sql(n) for n in LINE_FEATURES)
 
 
@@ -169,6 +195,14 @@ ORACLE = {
     "onehot_fixed": _FIXED_SQL,
     "batch_onehot": _FIXED_SQL,
     "quantile_splits": _SPLITS_SQL,
+    "quantile_splits_stored": _SPLITS_SQL,
+    "subset_of_rows": f"""
+        SELECT {KEYS_SQL}, {', '.join(LINE_FEATURES)}
+        FROM (SELECT *, row_number() OVER (ORDER BY {_POSITION_SQL}) AS n FROM lineitem) WHERE n <= {_SUBSET_ROWS}""",
+    "subset_of_weight": f"""
+        SELECT {KEYS_SQL}, {', '.join(LINE_FEATURES)}
+        FROM (SELECT *, sum(CAST(floor(l_quantity) AS BIGINT)) OVER (ORDER BY {_POSITION_SQL}) AS w FROM lineitem)
+        WHERE w <= {_SUBSET_WEIGHT}""",
     "quantile_bins": f"""
         WITH s AS ({_SPLITS_SQL})
         SELECT {KEYS_SQL}, {', '.join(f'{_bin_sql(n)} AS {n}_bin' for n in LINE_FEATURES)}

@@ -43,7 +43,20 @@ def _balance_phases(spark, folder):
     return round_columns(ops.balance_by_phase({"before": before, "after": after}), *_FIGURES)
 
 
+def _balance_by_weight(spark, folder):
+    # A third of the rows have one key.
+    key = F.when(F.col("l_orderkey") % 3 == 0, 0).otherwise(F.col("l_suppkey"))
+    table = lines(spark, folder).withColumn("key", key)
+    counts = ops.partition_rows(ops.repartitioned_by_weight(table, 13, "key"))
+    return ops.balance(counts).select(
+        "num_partitions",
+        F.rint(F.col("mean") * F.col("num_partitions")).cast("bigint").alias("rows"),
+        (F.col("max") < 1.1 * F.col("mean")).alias("even"),
+    )
+
+
 QUERIES = {
+    "balance_by_weight": _balance_by_weight,
     "key_balance": _key_balance,
     "key_balance_top": _key_balance_top,
     "partition_balance": _partition_balance,
@@ -58,6 +71,7 @@ _PHYSICAL = f"""count(*) AS num_partitions, min(rows) AS min, max(rows) AS max,
 _COUNTS = "SELECT l_suppkey, count(*) AS rows FROM lineitem GROUP BY l_suppkey"
 
 ORACLE = {
+    "balance_by_weight": "SELECT 13::BIGINT AS num_partitions, count(*) AS rows, true AS even FROM lineitem",
     "key_balance": f"""
         WITH c AS ({_COUNTS})
         SELECT count(*) AS num_partitions, min(rows) AS min, max(rows) AS max,

@@ -15,6 +15,7 @@ from millrace.registry.common import (
     line_features,
     r6,
     round_columns,
+    scratch_folder,
 )
 from millrace.sinks.execution import materialise
 from millrace.sources.tables import parquet_table
@@ -50,6 +51,17 @@ def _scale_fitted(spark, folder):
     return round_columns(model.transform(table, with_mean=True, with_std=True), *LINE_FEATURES)
 
 
+def _scale_merged(spark, folder):
+    # The states of three parts, kept as a table and merged.
+    path = scratch_folder(spark, folder, "scaler-states")
+    table = line_features(spark, folder)
+    for part in range(3):
+        own = ops.scaler_state(table.where(F.col("l_orderkey") % 3 == part), LINE_FEATURES)
+        own.write.mode("overwrite" if part == 0 else "append").parquet(path)
+    model = ops.scaler_of_state(ops.merge_states(spark.read.parquet(path)), LINE_FEATURES)
+    return round_columns(model.transform(table, with_mean=True, with_std=True), *LINE_FEATURES)
+
+
 def _scale_mllib(spark, folder):
     table = line_features(spark, folder)
     scaled = ops.mllib_scaler(LINE_FEATURES, with_mean=True).fit(table).transform(table)
@@ -165,6 +177,7 @@ QUERIES = {
     "scale_both": _scale(True, True),
     "scale_none": _scale(False, False),
     "scale_fitted": _scale_fitted,
+    "scale_merged": _scale_merged,
     "scale_mllib": _scale_mllib,
     "scale_constant_column": _scale_constant,
     "scaled_check": _scaled_check,
@@ -187,6 +200,7 @@ ORACLE = {
     "scale_both": _BOTH,
     "scale_none": _scaled_sql(False, False),
     "scale_fitted": _BOTH,
+    "scale_merged": _BOTH,
     "scale_mllib": _BOTH,
     "scale_constant_column": f"""
         WITH t AS (SELECT *, l_quantity * 0 + 5 AS five FROM lineitem),

@@ -25,27 +25,41 @@ def cases():
     yield "empty", [None, float("nan")]
 
 
-@pytest.mark.parametrize("orderable", [200_000, 10])
+@pytest.mark.parametrize("size", [8192, 64])
 @pytest.mark.parametrize("name,values", list(cases()), ids=[n for n, _ in cases()])
-def test_splits_are_exact(spark, monkeypatch, name, values, orderable):
-    # A small limit forces the narrowing passes that large tables take.
-    monkeypatch.setattr(binning, "_ORDERABLE", orderable)
+def test_splits_are_exact(spark, monkeypatch, name, values, size):
+    # Small sketches take as many passes as large tables do.
+    monkeypatch.setattr(binning, "SKETCH_SIZE", size)
+    monkeypatch.setattr(binning, "_MARGIN", 2 * 2.296 / size**0.9021)
     df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
     model = binning.fit_bins(df, ["x"], 10)
     assert model.splits[0] == brute_force(values, 10)
 
 
-def test_wrong_brackets_are_noticed(spark, monkeypatch):
+def test_wrong_brackets_are_noticed(spark):
     values = [float(v) for v in range(1000)]
     df = spark.createDataFrame([(v,) for v in values], "x double").repartition(2)
-    sizes, _ = binning._first_look(df, 10)
+    sizes, known, brackets = binning._first_look(binning.sketch_columns(df, ["x"]), 10)
+    assert brackets == [] and known["x", 5] == 499.0
     aside = [binning._Bracket("x", 5, 700.0, 800.0), binning._Bracket("x", 9, 10.0, 20.0)]
-    known, missed = binning._settle(df, sizes, aside)
-    assert known == {} and {(b.number, b.low, b.high) for b in missed} == {(5, 20.0, 700.0), (9, 800.0, 999.0)}
-    known, narrower, _ = binning._narrow(df, sizes, aside)
+    known, narrower = binning._narrow(df, sizes, aside)
     assert known == {} and {(b.number, b.low, b.high) for b in narrower} == {(5, 0.0, 700.0), (9, 20.0, 999.0)}
 
 
+def test_sketches_of_parts_merge(spark):
+    rng = random.Random(6)
+    values = [rng.gauss(0, 3) for _ in range(30_000)]
+    df = spark.createDataFrame([(v, i % 3) for i, v in enumerate(values)], "x double, part int")
+    parts = [binning.sketch_columns(df.where(F.col("part") == p), ["x"]) for p in range(3)]
+    merged = binning.merge_sketches(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    row = merged.first()
+    assert (row.rows, row.low, row.high) == (30_000, min(values), max(values))
+    assert binning.fit_bins(df, ["x"], 10, sketches=merged).splits[0] == brute_force(values, 10)
+    ordered = sorted(values)
+    near = binning.sketched_bins(merged, ["x"], 4).splits[0]
+    assert all(abs(sum(v <= s for v in ordered) / 30_000 - i / 4) < 0.005 for i, s in enumerate(near, 1))
+
+
 def test_bins_follow_splits(spark):
     df = spark.createDataFrame([(float(v),) for v in range(1, 101)] + [(None,), (float("nan"),)], "x double")
     binned = binning.bin_columns(df, ["x"])
