@@ -16,15 +16,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from millrace.functions.fields import TOP_CATEGORY, clipped_category_index, present_columns
-from millrace.operators.batches import map_batches
 
 # Indices are 32-bit numbers.
 MOST_CATEGORIES = (1 << 31) - 1
@@ -89,25 +88,23 @@ def encode_batches(
 ) -> DataFrame:
     """``encode_fixed_width`` through a batch function, for comparison and as a pattern.
 
-    The index is computed before the rows leave the JVM; the function only turns
-    indices into rows of an identity matrix.
+    The index is computed before it leaves the JVM, and only the index does: the function turns
+    batches of indices into lists of an identity matrix's rows, as Arrow arrays.
     """
     found = present_columns(df, columns, on_missing="skip")
-    indexed = df.withColumns(
-        {name + suffix: clipped_category_index(F.col(name), top) for name in found}
-    )
-    fields = [f for f in indexed.schema.fields if f.name in df.columns]
-    schema = StructType(
-        fields + [StructField(name + suffix, ArrayType(DoubleType())) for name in found]
-    )
-
-    def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        identity = np.eye(top + 1)
-        for name in found:
-            frame[name + suffix] = list(identity[frame[name + suffix].to_numpy()])
-        return frame
-
-    return map_batches(indexed, fill, schema, batch_size)
+    width = top + 1
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def fill(index: pa.Array) -> pa.Array:
+        parts = []
+        for begin in range(0, len(index), batch_size):
+            own = index.slice(begin, batch_size).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = np.zeros((len(own), width))
+            values[np.arange(len(own)), own] = 1.0
+            parts.append(pa.ListArray.from_arrays(np.arange(0, values.size + 1, width, dtype=np.int32), values.ravel()))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float64()))
+
+    return df.withColumns({name + suffix: fill(clipped_category_index(F.col(name), top)) for name in found})
 
 
 @dataclass(frozen=True)

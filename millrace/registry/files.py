@@ -128,6 +128,26 @@ def _scaling_record_files(spark, folder):
     return runlogs.read_scaling_records(spark, path)
 
 
+def _scaling_records_again(spark, folder):
+    # A run per line number; the second half is written twice, as after a retry.
+    path = scratch_folder(spark, folder, "scaling-records-put")
+    result = F.struct(
+        F.struct(F.col("l_quantity").alias("job_seconds")).alias("timing"),
+        F.col("l_partkey").alias("rows"),
+        F.concat(F.lit("run "), F.col("l_linenumber").cast("string")).alias("run_id"),
+    )
+    runs = lines(spark, folder).select(
+        F.concat((F.col("l_suppkey") % 3).cast("string"), F.lit(".csv")).alias("dataset_file"),
+        F.col("l_linenumber").alias("machines"),
+        F.when(F.col("l_linenumber") == 7, 1).otherwise(0).alias("rc"),
+        F.when(F.col("l_linenumber") != 7, result).alias("result"),
+    )
+    made = records.scaling_records(runs)
+    for half in (made.where("machines < 4"), made.where("machines >= 4"), made.where("machines >= 4")):
+        records.put_scaling_records(half, path)
+    return runlogs.read_scaling_records(spark, path)
+
+
 def _run_record(spark, folder):
     """What a scaling run over the line items records, but for its seconds."""
     source = scratch_folder(spark, folder, "run-input")
@@ -155,6 +175,7 @@ QUERIES = {
     "run_report": _run_report,
     "sampler_files": _sampler_files,
     "scaling_record_files": _scaling_record_files,
+    "scaling_records_again": _scaling_records_again,
     "run_record": _run_record,
 }
 
@@ -183,6 +204,15 @@ ORACLE = {
                CASE WHEN l_linenumber <> 7 THEN l_orderkey::VARCHAR END AS run_id,
                CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END AS rc
         FROM lineitem""",
+    "scaling_records_again": """
+        SELECT (l_suppkey % 3) || '.csv' AS dataset_file, CAST(l_linenumber AS INTEGER) AS machines,
+               CAST(l_linenumber AS INTEGER) AS executor_instances, 4 AS executor_cores,
+               CAST(l_linenumber * 4 AS INTEGER) AS total_executor_cores,
+               CASE WHEN l_linenumber <> 7 THEN l_quantity END AS job_seconds,
+               CASE WHEN l_linenumber <> 7 THEN l_partkey END AS rows,
+               CASE WHEN l_linenumber <> 7 THEN 'run ' || l_linenumber END AS run_id,
+               CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END AS rc
+        FROM lineitem""",
     "run_record": f"""
         SELECT 'recorded' AS run_id, count(*) AS rows, false AS "withMean", true AS "withStd",
                '{','.join(LINE_FEATURES)}' AS columns, 6::BIGINT AS num_partitions, true AS timed

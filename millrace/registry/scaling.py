@@ -121,15 +121,17 @@ def _repartitioned_scale(spark, folder):
     return round_columns(scaled, *LINE_FEATURES)
 
 
+_stored: list = []  # by the last call of the query below, whose result is read after it returns
+
+
 def _cached_scale(spark, folder):
-    # Held while statistics are taken, released before the result is returned.
-    table = line_features(spark, folder)
-    stored = held(table)
-    try:
-        model = ops.fit_scaler(stored, LINE_FEATURES)
-    finally:
-        stored.unpersist()
-    return round_columns(model.transform(table, True, True), *LINE_FEATURES)
+    # The fit fills the store, the transform reads it; what an earlier call stored is released.
+    while _stored:
+        _stored.pop().unpersist()
+    stored = held(line_features(spark, folder), warm=False)
+    _stored.append(stored)
+    model = ops.fit_scaler(stored, LINE_FEATURES)
+    return round_columns(model.transform(stored, True, True), *LINE_FEATURES)
 
 
 def _zscore_constant(spark, folder):

@@ -33,6 +33,10 @@ SCALING_RECORD_SCHEMA = (
 )
 
 
+#: The folder name by which scaling records of one run lie together.
+RECORD = "record"
+
+
 def parse_result(payload: Column, schema: str = RESULT_SCHEMA) -> Column:
     """A result struct, or null unless the payload is exactly one well-formed JSON object.
 
@@ -113,5 +117,5 @@ def _found_by_spark(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_scaling_records(spark: SparkSession, path: str) -> DataFrame:
-    """Scaling records; ``job_seconds`` and ``rows`` are empty for a failed run."""
-    return spark.read.schema(SCALING_RECORD_SCHEMA).option("header", True).csv(path)
+    """Scaling records, appended or put; ``job_seconds`` and ``rows`` are empty for a failed run."""
+    return spark.read.schema(SCALING_RECORD_SCHEMA).option("header", True).csv(path).drop(RECORD)

@@ -235,3 +235,27 @@ def test_jobs_print_a_result_line(spark, write, tmp_path, capsys, finished_run):
     assert summarize.main(["--log", finished_run[0], "--metrics", finished_run[1],
                            "--out", str(tmp_path / "s"), "--print"]) == 0
     assert "job_seconds" in capsys.readouterr().out
+
+
+def test_records_written_again_are_there_once(spark, tmp_path):
+    path, result = str(tmp_path / "scaling"), "struct<timing: struct<job_seconds: double>, rows: bigint, run_id: string>"
+    schema = f"dataset_file string, machines int, rc int, result {result}"
+
+    def put(*runs):
+        records.put_scaling_records(records.scaling_records(spark.createDataFrame(list(runs), schema)), path)
+
+    first, second = ("a.csv", 1, 0, ((1.5,), 10, "r1")), ("a.csv", 2, 0, ((2.5,), 10, "r 2/x"))
+    failed = ("a.csv", 3, 7, None)
+    put(first, failed)
+    put(second, ("b.csv", 3, 7, None))
+    put(second)
+    put(failed)
+    put(("a.csv", 1, 0, ((9.0,), 11, "r1")))
+    rows = runlogs.read_scaling_records(spark, path).collect()
+    found = sorted((r.dataset_file, r.machines, r.run_id, r.job_seconds, r.rc) for r in rows if r.run_id)
+    assert found == [("a.csv", 1, "r1", 9.0, 0), ("a.csv", 2, "r 2/x", 2.5, 0)]
+    assert sorted(r.dataset_file for r in rows if r.run_id is None) == ["a.csv", "b.csv"]
+    runs = str(tmp_path / "runs")
+    for run_id in ("a", "b", "b"):
+        records.put_run_record(spark, {"run_id": run_id, "rows": 5}, runs)
+    assert sorted((r.run_id, r.rows) for r in spark.read.json(runs).collect()) == [("a", 5), ("b", 5)]
