@@ -220,12 +220,16 @@ _SPDX = {name: tuple(f"{name}{end}" for end in ("", "-only", "-or-later", "+"))
 #: Known texts: licence name and entire text, a full licence, a standard header or a customary notice.
 KNOWN = (
     *_FIRST,
+    *((name, f"{title}\n{text}") for name, text, titles in (("MIT", _MIT, ("The MIT License", "Expat License")), ("ISC", _ISC, ("The ISC License",)))
+      for title in titles),
     *((name, above + text) for name, (titles, texts) in _FULL.items() for text in texts
-      for above in ("", *(f"{title}\n" for title in titles))),
+      for above in ("", *(f"{the}{title}\n" for title in titles for the in ("", "The ") if not title.startswith(the or "-")))),
     *((name, f"{wording}{called}") for name, names in _NAMES.items() for called in names for wording in _WORDINGS),
     *((name, f"SPDX-License-Identifier: {x}") for name in _NAMES for x in _SPDX.get(name, (name,))),
 )
 
+RESIDENT_TEXTS = 100_000
+
 #: Spellings that mean the same; the second stands in the canonical form.
 SPELLINGS = (
     ("licence", "license"),
@@ -268,16 +272,31 @@ OPENINGS = (
     "spdx-licen[sc]e-identifier",
 )
 _OPENING = "\\b(?:" + "|".join(OPENINGS).replace(" ", "[ \\t]+") + ")"
-# At the head of a line a notice reaches to the line's end or an opening; within a line, to an opening.
-_COPYRIGHT = (
-    rf"(?m)^[^0-9a-z\n]*(?:{_HEAD_OF_LINE})[^\n]*?(?=$|{_OPENING})|(?:{_HEAD})[^\n]*?(?=\s*{_OPENING})"
+# Every opening is marked first, before the blanks that lead to it, so that the patterns below pass
+# a text once: each takes all up to the next mark or the line's end, possessively.
+_MARK = "\x01"
+_TO_OPENING = rf"(?<!\s)\s*+(?={_OPENING})"
+#: Lines of a notice block that is followed by an opening.
+NOTICE_LINES = 20
+_PROSE = r"(?![ \t]*\n?[ \t]*(?:holders?|owners?|notices?|laws?|licen[sc]es?|statements?|interests?|and|or|in)\b(?!:))"
+# A block begins a text, below up to three lines of title, or a paragraph: no prose that wraps does.
+_BLOCK = (
+    r"(\A(?:[^\n\x01]*\n){0,3}?|\n[^\S\n]*+\n)"
+    rf"[^0-9a-z\n\x01]*(?:copyright\b{_PROSE}|{_SIGN}|©)[^\n\x01]*+"
+    rf"(?:\n(?![^\S\n]*\n)[^\n\x01]*+){{0,{NOTICE_LINES}}}+(?=\x01)"
 )
+# At the head of a line a notice reaches to an opening or the line's end; within a line, to an
+# opening: where none follows, the rest of the line is taken as group 1 and stays.
+_LINE = rf"(?m)^[^0-9a-z\n]*(?:{_HEAD_OF_LINE})[^\n\x01]*+"
+_WITHIN = rf"((?:{_HEAD})[^\n\x01]*+(?!\x01))|(?:{_HEAD})[^\n\x01]*+"
 _BETWEEN = r"[\x00-\x2f\x3a-\x60\x7b-\x7f\x{a0}-\x{bf}\x{2010}-\x{2027}]+"
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; empty for null."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), F.lit(_COPYRIGHT), F.lit(""))
+    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), _MARK, " ")
+    for pattern, instead in ((_TO_OPENING, _MARK), (_BLOCK, "$1"), (_LINE, ""), (_WITHIN, "$1")):
+        plain = F.regexp_replace(plain, F.lit(pattern), F.lit(instead))
     plain = F.concat(F.lit(" "), F.regexp_replace(plain, F.lit(_BETWEEN), F.lit(" ")), F.lit(" "))
     for spelling, usual in SPELLINGS:
         plain = F.replace(plain, F.lit(f" {spelling} "), F.lit(f" {usual} "))
@@ -292,7 +311,11 @@ def digests(spark: SparkSession, known=KNOWN) -> DataFrame:
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", known=KNOWN) -> DataFrame:
-    """Columns ``key``, text_sha256, licence (of the entire text), notices (of lines), n_notices."""
+    """Columns ``key``, text_sha256, licence (of the entire text), notices (of lines), n_notices.
+
+    The known digests go to every task while there are at most ``RESIDENT_TEXTS``, some 10 MB;
+    more are joined by a shuffle.
+    """
     whole = F.struct(F.lit(True).alias("whole"), F.col("text").alias("text"))
     lines = F.transform(F.split("text", "\n"), lambda line: F.struct(F.lit(False).alias("whole"), line.alias("text")))
     units = (
@@ -300,7 +323,8 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", know
         .select("key", F.explode(F.concat(F.array(whole), lines)).alias("u"))
         .select("key", "u.whole", F.sha2(canonical(F.col("u.text")), 256).alias("digest"))
     )
-    found = units.join(digests(docs.sparkSession, known), "digest", "left")
+    names = digests(docs.sparkSession, known)
+    found = units.join(F.broadcast(names) if len(known) <= RESIDENT_TEXTS else names, "digest", "left")
     whole, line = F.col("whole"), ~F.col("whole")
     return found.groupBy("key").agg(
         F.max(F.when(whole, F.col("digest"))).alias("text_sha256"),

@@ -2,6 +2,7 @@
 
 import random
 import string
+import time
 
 import numpy as np
 import pytest
@@ -368,6 +369,23 @@ def test_licence_texts_in_any_wrap(spark):
     assert len({r["text_sha256"] for r in found[len(texts) :]}) == len(others)
 
 
+def test_usual_heads_of_a_licence(spark):
+    heads = ["The MIT License\n\nCopyright (c) 2020 A\n\n", "Copyright Jane Doe 2020\n\n", "(c) Jane Doe\n", "MIT License\n\nCopyright Jane Doe\n\n",
+             "Copyright Foo Foundation and other contributors\n\n", "Copyright (c) 2020 Jane Doe,\n    and the people of\n  Foo\n\n",
+             "Copyright Jane Doe, ", "Copyright (c) 2019 A\nCopyright (c) 2020 B\n", "/*\n * Copyright Jane Doe\n *\n * "]
+    docs = spark.createDataFrame([(i, h + licenses._MIT) for i, h in enumerate(heads)], "doc_id long, text string")
+    assert [r["licence"] for r in licenses.scan_licenses(docs).orderBy("doc_id").collect()] == ["MIT"] * len(heads)
+
+
+def test_canonical_form_of_long_lines_takes_time_by_length(spark):
+    notices = "copyright 2020 some words here (c) 1999 more " * 25_000  # one line of 1 MB, no opening
+    texts = ["x " + notices, notices + " permission is hereby granted", "copyright by " + " " * 1_000_000 + "x", "(c) " * 250_000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    begin = time.time()
+    rows = licenses.scan_licenses(docs).collect()
+    assert len(rows) == 4 and time.time() - begin < 60
+
+
 def test_whole_licences_headers_and_notices(spark):
     cases = [(name, f"Copyright (c) 2021, A B\n\n{texts[0]}") for name, (_, texts) in licenses._FULL.items()]
     cases += [(name, f"{titles[0]}\n\nCopyright (c) 2021 A\n{texts[-1]}") for name, (titles, texts) in licenses._FULL.items() if titles]
