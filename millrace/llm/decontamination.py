@@ -3,10 +3,13 @@
 Words are runs of 0-9, a-z (A-Z lower-cased) and anything outside ASCII. A window is ``WINDOW``
 consecutive words of an item; an item with fewer words is one window. The windows go to the
 tasks as a broadcast set of rolling hashes over word numbers; every position of a document
-whose hash is in the set is verified against the window's word numbers, which are exact.
+whose hash is in the set is verified against the window's word numbers. Words have their numbers
+by 64-bit hashes; a document's word passes for another one by chance in fewer than 1 of 10^12.
 
-The broadcast has a proven bound: the benchmark is measured first and cut into blocks of about
-``BLOCK_BYTES`` of text by a hash of the rows. Documents pass the blocks one after another,
+The set is held in arrays: the hash of each distinct word, all items' words as numbers, and per
+window its hash, sorted, and where it stands. That comes to at most ``WORD_BYTES`` per word of
+the benchmark, whose words are counted first; it is cut into blocks of about ``BLOCK_BYTES`` of
+index by a hash of the rows, so the broadcast is bounded. Documents pass the blocks one after another,
 carrying the words hit so far; with one block, the usual case, that is a map without a shuffle.
 
 Defined cases: null texts, and texts without words, have no words, are clean and, as items,
@@ -21,17 +24,21 @@ import math
 import re
 import string
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import checkpointed, portions, table
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 64 << 20
+#: Bytes of index per word: window hash 8 and place 4, number 4, distinct word 8.
+WORD_BYTES = 24
+#: Words whose numbers a task remembers.
+WORDS_KEPT = 200_000
 
 _IN_WORDS = set(string.digits.encode() + string.ascii_lowercase.encode()) | set(range(128, 256))
 _WORD_BYTES = bytes(ord(chr(b).lower()) if chr(b) in string.ascii_uppercase else b if b in _IN_WORDS else 32 for b in range(256))
@@ -43,9 +50,9 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_WORD_BYTES).split() if text else []
 
 
-def _hashes(numbers: np.ndarray, width: int) -> np.ndarray:
+def _hashes(numbers: np.ndarray, width: int, seed: int) -> np.ndarray:
     """Polynomial hash modulo 2^64 of every ``width`` consecutive numbers."""
-    spread = numbers.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    spread = (numbers.astype(np.uint64) + np.uint64(seed)) * np.uint64(0xD6E8FEB86659FD93)
     spread ^= spread >> np.uint64(32)
     total = np.zeros(max(0, len(numbers) - width + 1), np.uint64)
     for offset in range(width):
@@ -53,56 +60,112 @@ def _hashes(numbers: np.ndarray, width: int) -> np.ndarray:
     return total
 
 
+class _Numbers(dict):
+    """Number of a word in a sorted array of hashes, -1 if it is not there; forgets when it is full."""
+
+    def __init__(self, known: np.ndarray):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        code = np.uint64(xxhash.xxh3_64_intdigest(word))
+        at = int(self.known.searchsorted(code))
+        number = self[word] = at if at < len(self.known) and self.known[at] == code else -1
+        return number
+
+
 class WindowIndex:
     """The windows of benchmark items (id, text)."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
-        self.numbers: dict[bytes, int] = {}
-        self.owners: dict[bytes, set[str]] = {}
-        by_width: dict[int, list[np.ndarray]] = {}
+        self.items: list[str | None] = []
+        coded = []
         for item, text in items:
             words = words_of(text)
-            if not words:
-                continue
-            numbered = np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words], np.int32)
-            width = min(window, len(words))
-            by_width.setdefault(width, []).append(_hashes(numbered, width))
-            for at in range(len(words) - width + 1):
-                owners = self.owners.setdefault(numbered[at : at + width].tobytes(), set())
-                if item is not None:
-                    owners.add(item)
-        self.hashes = {width: np.unique(np.concatenate(found)) for width, found in by_width.items()}
+            if words:
+                self.items.append(item)
+                coded.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+        flat = np.concatenate([np.empty(0, np.uint64), *coded])
+        self.known = np.unique(flat)
+        self.words = np.searchsorted(self.known, flat).astype(np.int32)
+        sizes = np.array([len(c) for c in coded], np.int64)
+        self.begins = np.cumsum(sizes) - sizes  # of items, in ``words``
+        self.seed = 0
+        while not self._build(sizes, window):
+            self.seed += 1
+        self._numbers = _Numbers(self.known)
+
+    def _build(self, sizes: np.ndarray, window: int) -> bool:
+        """Hashes and places of windows by width; fails if two different windows have one hash."""
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        widths = np.minimum(sizes, window)
+        for width in np.unique(widths).tolist():
+            own = widths == width
+            counts = sizes[own] - width + 1
+            firsts = np.repeat(self.begins[own] - (np.cumsum(counts) - counts), counts)
+            starts = (firsts + np.arange(counts.sum())).astype(np.int32)
+            hashes = _hashes(self.words, width, self.seed)[starts]
+            order = np.argsort(hashes, kind="stable")
+            hashes, starts = hashes[order], starts[order]
+            equal = np.flatnonzero(hashes[1:] == hashes[:-1])
+            for begin in range(0, len(equal), 1 << 16):
+                part = equal[begin : begin + (1 << 16)]
+                if not self._same(starts[part], self.words, starts[part + 1], width).all():
+                    return False
+            self.windows[width] = hashes, starts
+        return True
+
+    def _same(self, starts: np.ndarray, words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+        """Whether the windows at ``starts`` are those at ``at`` in other words."""
+        steps = np.arange(width)
+        return (self.words[starts[:, None] + steps] == words[at[:, None] + steps]).all(axis=1)
+
+    def __getstate__(self) -> dict:
+        return {name: value for name, value in self.__dict__.items() if name != "_numbers"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._numbers = _Numbers(self.known)
+
+    def nbytes(self) -> int:
+        return self.known.nbytes + self.words.nbytes + self.begins.nbytes + sum(a.nbytes + b.nbytes for a, b in self.windows.values())
 
     def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """Which words lie in an occurrence of a window, and the items that own those windows."""
-        unknown = len(self.numbers)
-        numbered = np.fromiter(map(self.numbers.get, words, repeat(unknown)), np.int32, len(words))
-        hit = np.zeros(len(words), bool)
-        items: set[str] = set()
-        strange = np.concatenate([[0], np.cumsum(numbered == unknown)])
-        for width, known in self.hashes.items():
+        numbered = np.fromiter(map(self._numbers.__getitem__, words), np.int32, len(words))
+        marks = np.zeros(len(words) + 1, np.int64)
+        owners: list[np.ndarray] = []
+        strange = np.concatenate([[0], np.cumsum(numbered < 0)])
+        for width, (known, starts) in self.windows.items():
             if len(words) < width:
                 continue
             possible = np.flatnonzero(strange[width:] == strange[:-width])
             if not len(possible):
                 continue
-            hashes = _hashes(numbered, width)[possible]
-            found = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
-            for at in possible[found].tolist():
-                owners = self.owners.get(numbered[at : at + width].tobytes())
-                if owners is not None:
-                    hit[at : at + width] = True
-                    items |= owners
-        return hit, items
+            hashes = _hashes(numbered, width, self.seed)[possible]
+            first = np.searchsorted(known, hashes)
+            found = known[np.minimum(first, len(known) - 1)] == hashes
+            at, first, hashes = possible[found], first[found], hashes[found]
+            real = self._same(starts[first], numbered, at, width)
+            at, first, hashes = at[real], first[real], hashes[real]
+            marks[at] += 1
+            marks[at + width] -= 1
+            runs, where = np.unique(first, return_index=True)
+            ends = np.searchsorted(known, hashes[where], "right")
+            owners += [np.unique(np.searchsorted(self.begins, starts[b:e], "right") - 1) for b, e in zip(runs, ends)]
+        items = {self.items[k] for k in np.unique(np.concatenate(owners)).tolist()} if owners else set()
+        return np.cumsum(marks[:-1]) > 0, items - {None}
 
 
 def benchmark_blocks(
     items: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES
 ) -> Iterator[WindowIndex]:
-    """Indexes over all items, each of about ``block_bytes`` of text at most."""
+    """Indexes over all items, each of about ``block_bytes`` at most."""
     rows = items.select(F.col(key).cast("string").alias("item"), F.col(text).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
+    words = rows.agg(F.sum(F.regexp_count("text", F.lit(_WORD.pattern)))).first()[0] or 0
+    blocks = max(1, math.ceil(words * WORD_BYTES / block_bytes))
     block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
     for k in range(blocks):
         part = rows.where(block == k).distinct().collect()  # bounded by block_bytes

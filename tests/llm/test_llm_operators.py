@@ -1,5 +1,6 @@
 """Operators on small tables: odd rows, brute force, bounds that are made to bite."""
 
+import pickle
 import random
 import string
 import time
@@ -133,6 +134,28 @@ def test_cutting_and_empty_benchmark(spark):
     assert decontamination.find_contamination(odd(spark, []), benchmark).count() == 0
 
 
+def test_size_of_a_window_index():
+    rnd = random.Random(11)
+    words = ["".join(rnd.choices(string.ascii_lowercase, k=rnd.randint(2, 9))) for _ in range(60_000)]
+    items = [(str(i), " ".join(rnd.choices(words, k=rnd.choice([3, 40, 400])))) for i in range(2500)]
+    count = sum(len(text.split()) for _, text in items)
+    index = decontamination.WindowIndex(items)
+    assert index.nbytes() <= decontamination.WORD_BYTES * count + 8 * len(items)
+    assert len(pickle.dumps(index)) < 1.2 * index.nbytes() + 20 * len(items)
+    again = pickle.loads(pickle.dumps(index))
+    for item, text in rnd.sample(items, 50):
+        hit, owners = again.hits(decontamination.words_of("before " + text + " after"))
+        assert item in owners and hit[1:-1].all()
+
+
+def test_windows_of_one_hash_get_another_seed(monkeypatch):
+    plain = decontamination._hashes
+    monkeypatch.setattr(decontamination, "_hashes", lambda n, w, seed: plain(n, w, seed) * np.uint64(seed > 1))
+    index = decontamination.WindowIndex([("a", "x y"), ("b", "y z"), ("c", "y z")], 2)
+    assert index.seed == 2
+    assert index.hits([b"q", b"y", b"z"])[1] == {"b", "c"} and index.hits([b"x", b"z"])[1] == set()
+
+
 # top-k
 
 
