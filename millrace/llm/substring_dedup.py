@@ -8,13 +8,16 @@ several entries hold is marked for all but the smallest document. The marks go b
 documents, where the windows are hashed again and marked ones merge into maximal intervals.
 
 Memory: a collection holds about ``COLLECTED`` windows, a range of hashes about those of
-``RANGE_BYTES`` of text; the number of ranges follows the measured size of the table, so ranges
-stay alike at any size. Hashes have 64 bits: among n different windows about n^2 / 2^65 pairs
-share one by chance (0.0004 pairs for the 125 million windows of 0.9 GB of text).
+``RANGE_BYTES`` of text; the number of ranges, a power of two, follows the measured size of the
+table, so ranges stay alike at any size. A collection is cut into at most ``2**COARSE_BITS``
+ranges, so its rows and the windows of a row stay alike as well; where there must be more ranges
+(from some 64 GB of text on), entries of a coarse range are brought together first and cut again
+there, some million windows at a time. Hashes have 64 bits: among n different windows about
+n^2 / 2^65 pairs share one by chance (0.0004 pairs for the 125 million windows of 0.9 GB of text).
 
 Defined cases: null and empty texts have no words and lose none. A row with a null id keeps all
 words and makes no other row lose any. Rows with the same id do not count as earlier than one
-another. Other columns are ignored.
+another; they are told apart by a hash of the text. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,10 +36,15 @@ from millrace.llm.hashing import WordHashes, window_hashes
 WIDTH = 50
 COLLECTED = 1_000_000
 COLLECTED_DOCUMENTS = 60_000
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 16 << 20
+COARSE_BITS = 12
+REFINED = 2_000_000
 
-ENTRIES = "range int, doc_id long, whole boolean, documents binary, owners binary, hashes binary"
-MARKS = "doc_id long, whole boolean, hash long"
+ENTRIES = "range int, doc_id long, digest long, whole boolean, documents binary, owners binary, hashes binary"
+MARKS = "doc_id long, digest long, whole boolean, hash long"
+_KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+#: A document of an entry: its id and the hash of its text.
+DOCUMENT = np.dtype([("id", np.int64), ("digest", np.int64)])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -55,18 +63,32 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
+def _range_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+
+
+def _entries(documents: np.ndarray, owners: np.ndarray, hashes: np.ndarray, bits: int) -> list[tuple]:
+    """Rows of ``ENTRIES`` by range, of sorted hashes."""
+    rows = []
+    for number, part in _runs(_range_of(hashes, bits), np.arange(len(hashes))):
+        own, local = np.unique(owners[part], return_inverse=True)
+        packed = _pack(local.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32))
+        rows.append((number, None, None, None, documents[own].tobytes(), packed, _pack(hashes[part])))
+    return rows
+
+
 class _Collection:
     """Distinct windows of some documents."""
 
-    def __init__(self, ranges: int):
-        self.ranges = ranges
-        self.documents: list[tuple[int, np.ndarray]] = []
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.documents: dict[tuple[int, int], np.ndarray] = {}
         self.windows = 0
 
-    def add(self, document: int, hashes: np.ndarray) -> None:
-        if len(hashes):
-            self.documents.append((document, np.unique(hashes)))
-            self.windows += len(self.documents[-1][1])
+    def add(self, document: int, digest: int, hashes: np.ndarray) -> None:
+        if len(hashes) and (document, digest) not in self.documents:
+            own = self.documents[document, digest] = np.unique(hashes)
+            self.windows += len(own)
 
     def full(self) -> bool:
         return self.windows >= COLLECTED or len(self.documents) >= COLLECTED_DOCUMENTS
@@ -75,13 +97,14 @@ class _Collection:
         """Entries by range, and marks for what repeats within the collection."""
         if not self.documents:
             return []
-        self.documents.sort(key=lambda d: d[0])
-        ids = np.array([d for d, _ in self.documents], np.int64)
-        sizes = np.array([len(h) for _, h in self.documents])
-        hashes = np.concatenate([h for _, h in self.documents])
+        order = sorted(self.documents)
+        documents = np.array(order, DOCUMENT)
+        ids = documents["id"]
+        sizes = np.array([len(self.documents[d]) for d in order])
+        hashes = np.concatenate([self.documents[d] for d in order])
         owners = np.repeat(np.arange(len(ids)), sizes)
-        order = np.argsort(hashes, kind="stable")  # equal hashes stay by document
-        hashes, owners = hashes[order], owners[order]
+        at = np.argsort(hashes, kind="stable")  # equal hashes stay by document
+        hashes, owners = hashes[at], owners[at]
         first = np.concatenate([[True], hashes[1:] != hashes[:-1]])
         group = np.flatnonzero(first)[np.cumsum(first) - 1]
         marked = ids[owners] > ids[owners[group]]
@@ -89,20 +112,12 @@ class _Collection:
         at = np.argsort(owners[marked], kind="stable")
         for owner, found in _runs(owners[marked][at], hashes[marked][at]):
             whole = len(found) == sizes[owner]
-            rows.append((owner % self.ranges, int(ids[owner]), whole, None, None, b"" if whole else found.tobytes()))
-        hashes, owners = hashes[first], owners[first]
-        ends = np.searchsorted(hashes, self._limits(), "left").tolist()
-        for number, (begin, end) in enumerate(zip([0, *ends], [*ends, len(hashes)])):
-            if begin < end:
-                own, local = np.unique(owners[begin:end], return_inverse=True)
-                packed = (ids[own].tobytes(), _pack(local.astype(np.uint16)), _pack(hashes[begin:end]))
-                rows.append((number, None, None, *packed))
-        self.documents, self.windows = [], 0
-        return rows
-
-    def _limits(self) -> np.ndarray:
-        """Where ranges begin, from the second on."""
-        return np.array([(k << 64) // self.ranges for k in range(1, self.ranges)], np.uint64)
+            name = (owner & ((1 << self.bits) - 1), *map(int, documents[owner].tolist()))
+            rows.append((*name, whole, None, None, b"" if whole else found.tobytes()))
+        # of one id, every text has to hear of an earlier document: each of the smallest id stays
+        smallest = ids[owners] == ids[owners[group]]
+        self.documents, self.windows = {}, 0
+        return rows + _entries(documents, owners[smallest], hashes[smallest], self.bits)
 
 
 def _runs(keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -118,60 +133,101 @@ def _batch(rows: list[tuple], kinds: tuple[pa.DataType, ...], names: list[str])
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
 
-def _collector(width: int, ranges: int):
+def _collector(width: int, bits: int):
     names = [part.split()[0] for part in ENTRIES.split(", ")]
-    kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes_of, collection = WordHashes(), _Collection(ranges)
+        hashes_of, collection = WordHashes(), _Collection(bits)
         for batch in batches:
-            for document, text in zip(batch.column(0), batch.column(1)):
+            for document, digest, text in zip(*(batch.column(n) for n in ("doc_id", "digest", "text"))):
                 if document.is_valid:
                     hashes = window_hashes(hashes_of.of(words_of(text.as_py())), width)
-                    collection.add(document.as_py(), hashes)
+                    collection.add(document.as_py(), digest.as_py(), hashes)
                     if collection.full():
-                        yield _batch(collection.rows(), kinds, names)
-        yield _batch(collection.rows(), kinds, names)
+                        yield _batch(collection.rows(), _KINDS, names)
+        yield _batch(collection.rows(), _KINDS, names)
 
     return collect
 
 
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Document and hash of each window of an entry."""
+    hashes = _unpack(row["hashes"], np.uint64)
+    kind = np.uint16 if len(row["owners"]) == 2 * len(hashes) else np.uint32
+    return np.frombuffer(row["documents"], DOCUMENT)[_unpack(row["owners"], kind)], hashes
+
+
+def _refiner(coarse: int, bits: int):
+    """Cuts the entries of coarse ranges, which come one after the other, into fine ranges."""
+    names = [part.split()[0] for part in ENTRIES.split(", ")]
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, windows, current = [], 0, None
+
+        def rows() -> list[tuple]:
+            owners, hashes = (np.concatenate(parts) for parts in zip(*held))
+            order = np.argsort(hashes, kind="stable")
+            documents, local = np.unique(owners[order], return_inverse=True)
+            return _entries(documents, local, hashes[order], bits)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["doc_id"] is not None:
+                    yield _batch([tuple(row[n] for n in names)], _KINDS, names)
+                    continue
+                if held and (row["range"] != current or windows >= REFINED):
+                    yield _batch(rows(), _KINDS, names)
+                    held, windows = [], 0
+                current = row["range"]
+                held.append(_unpacked(row))
+                windows += len(held[-1][1])
+        if held:
+            yield _batch(rows(), _KINDS, names)
+
+    return refine
+
+
 def _count_range(entries: pa.Table) -> pa.Table:
     """Marks of one range: hashes of several entries, for all documents but the smallest.
 
     One row per mark, so that their number follows the input whatever the number of ranges.
     """
-    ids, hashes, marked_ids, marked, whole = [], [], [], [], []
-    for row in entries.select(["doc_id", "whole", "documents", "owners", "hashes"]).to_pylist():
+    owners, hashes, marked_documents, marked, whole = [], [], [], [], []
+    for row in entries.to_pylist():
         if row["doc_id"] is None:
-            documents = np.frombuffer(row["documents"], np.int64)
-            ids.append(documents[_unpack(row["owners"], np.uint16)])
-            hashes.append(_unpack(row["hashes"], np.uint64))
+            documents, found = _unpacked(row)
+            owners.append(documents)
+            hashes.append(found)
         elif row["whole"]:
-            whole.append(row["doc_id"])
+            whole.append((row["doc_id"], row["digest"]))
         else:
             marked.append(np.frombuffer(row["hashes"], np.uint64))
-            marked_ids.append(np.full(len(marked[-1]), row["doc_id"], np.int64))
+            marked_documents.append(np.full(len(marked[-1]), np.array((row["doc_id"], row["digest"]), DOCUMENT)))
     if hashes:
-        all_ids, all_hashes = np.concatenate(ids), np.concatenate(hashes)
-        order = np.lexsort((all_ids, all_hashes))
-        all_ids, all_hashes = all_ids[order], all_hashes[order]
+        all_owners, all_hashes = np.concatenate(owners), np.concatenate(hashes)
+        order = np.lexsort((all_owners["id"], all_hashes))
+        all_owners, all_hashes = all_owners[order], all_hashes[order]
         first = np.concatenate([[True], all_hashes[1:] != all_hashes[:-1]])
-        later = np.flatnonzero(all_ids > all_ids[np.flatnonzero(first)[np.cumsum(first) - 1]])
-        marked_ids.append(all_ids[later])
+        later = np.flatnonzero(all_owners["id"] > all_owners["id"][np.flatnonzero(first)[np.cumsum(first) - 1]])
+        marked_documents.append(all_owners[later])
         marked.append(all_hashes[later])
-    found = np.concatenate([np.array(whole, np.int64), *marked_ids])
+    found = np.concatenate([np.array(whole, DOCUMENT), *marked_documents])
     is_whole = np.arange(len(found)) < len(whole)
     values = np.concatenate([np.zeros(len(whole), np.int64), *(m.view(np.int64) for m in marked)])
-    arrays = [pa.array(found), pa.array(is_whole), pa.array(values, mask=is_whole)]
+    arrays = [pa.array(np.ascontiguousarray(found[n])) for n in ("id", "digest")]
+    arrays += [pa.array(is_whole), pa.array(values, mask=is_whole)]
     return pa.table(arrays, names=[part.split()[0] for part in MARKS.split(", ")])
 
 
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """Columns doc_id, whole, hash: a row per marked window, or one where all of a document are."""
-    picked = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """Columns doc_id, digest, whole, hash: a row per marked window, or one where all of a document are."""
+    picked = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
     size = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    entries = picked.mapInArrow(_collector(width, max(1, math.ceil(size / RANGE_BYTES))), ENTRIES)
+    bits = max(0, math.ceil(math.log2(max(1.0, size / RANGE_BYTES))))
+    coarse = min(bits, COARSE_BITS)
+    entries = picked.mapInArrow(_collector(width, coarse), ENTRIES)
+    if bits > coarse:
+        entries = entries.repartition("range").sortWithinPartitions("range").mapInArrow(_refiner(coarse, bits), ENTRIES)
     return entries.groupBy("range").applyInArrow(_count_range, MARKS)
 
 
@@ -179,12 +235,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     """Columns ``key``, n_words, removed (intervals of words), kept (words joined by spaces)."""
     marks = (
         find_repeats(docs, key, text, width)
-        .groupBy("doc_id")
-        .agg(F.collect_list("hash").alias("marks"), F.max("whole").alias("whole"))  # no more than its windows
+        .groupBy("doc_id", "digest")
+        .agg(F.collect_set("hash").alias("marks"), F.max("whole").alias("whole"))  # no more than the windows of a text
     )
     kind = docs.schema[key].dataType.simpleString()
     picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    joined = picked.join(marks, picked["key"].cast("long") == marks["doc_id"], "left").drop("doc_id")
+    same = (picked["key"].cast("long") == marks["doc_id"]) & (F.xxhash64(picked["text"]) == marks["digest"])
+    joined = picked.join(marks, same, "left").drop("doc_id", "digest")
     schema = f"`{key}` {kind}, n_words long, removed array<struct<begin: int, end: int>>, kept string"
     interval = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 

@@ -332,6 +332,42 @@ def test_repeats_by_brute_force(spark, monkeypatch, collected_windows):
         assert row["n_words"] - sum(e - b for b, e in row["removed"]) == len(expected[row["doc_id"]])
 
 
+@pytest.mark.parametrize("coarse, refined", [(2, 1_000_000), (0, 60), (12, 0)])
+def test_ranges_that_are_cut_twice(spark, monkeypatch, coarse, refined):
+    for name, value in (("COLLECTED", 90), ("RANGE_BYTES", 100), ("COARSE_BITS", coarse), ("REFINED", refined)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    rnd = random.Random(16)
+    texts = [" ".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 50))) for _ in range(60)]
+    documents = [(i, t) for i, t in enumerate(texts)] + [(100 + i, texts[i] + " a b") for i in range(20)]
+    docs = spark.createDataFrame(documents, "doc_id long, text string").repartition(3)
+    found = substring_dedup.remove_repeats(docs, width=5).collect()
+    assert {r["doc_id"]: r["kept"].encode().split() for r in found} == brute_removed(documents, 5)
+
+
+def test_rows_of_a_collection_do_not_grow_with_the_table():
+    rng, seconds, rows = np.random.default_rng(0), [], []
+    hashes = [rng.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2) for _ in range(1000)]
+    for table_bytes in (1 << 29, 10 << 40):
+        bits = int(np.ceil(np.log2(table_bytes / substring_dedup.RANGE_BYTES)))
+        collection = substring_dedup._Collection(min(bits, substring_dedup.COARSE_BITS))
+        for i, own in enumerate(hashes):
+            collection.add(i, i, own)
+        begin = time.time()
+        rows.append(len(collection.rows()))
+        seconds.append(time.time() - begin)
+    assert rows[1] <= 1 << substring_dedup.COARSE_BITS and seconds[1] < 3 * seconds[0] + 0.2
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    own = ["a b c d e f", "b c d e f g", "x y z u v w"]
+    rows = [(5, t) for t in own for _ in range(30)] + [(1, "q b c d e f r"), (9, "x y z u v w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {(r["doc_id"], r["n_words"], r["kept"]) for r in substring_dedup.remove_repeats(docs, width=3).collect()}
+    assert kept == {(5, 6, "a"), (5, 6, "g"), (5, 6, "x y z u v w"), (1, 7, "q b c d e f r"), (9, 6, "")}
+    marks = substring_dedup.find_repeats(docs, width=3).groupBy("doc_id", "digest").agg(F.collect_set("hash").alias("m"))
+    assert max(len(r["m"]) for r in marks.collect()) <= 4
+
+
 def test_repeats_on_odd_rows(spark):
     found = substring_dedup.remove_repeats(odd(spark), width=2).collect()
     kept = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["kept"]) for r in found)
