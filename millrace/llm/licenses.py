@@ -249,6 +249,7 @@ SPELLINGS = (
 
 # A notice names a year, a (c), a holder ("by", "holder:", "the ... authors"); the word alone is prose.
 _YEAR = r"[\[<{(]?(?:(?:19|20)[0-9]{2}|year|yyyy)\b"
+SIGNS = ("copyright", "(c)", "©", "&copy;")  # one is in every notice
 _SIGN = r"(?:\(c\)|©|&copy;)"
 _HEAD = rf"\bcopyright[ \t:,]*(?:{_SIGN}|{_YEAR})|{_SIGN}[ \t]*(?:copyright\b[ \t:,]*)?{_YEAR}"
 _HEAD_OF_LINE = (
@@ -294,9 +295,14 @@ _BETWEEN = r"[\x00-\x2f\x3a-\x60\x7b-\x7f\x{a0}-\x{bf}\x{2010}-\x{2027}]+"
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; empty for null."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), _MARK, " ")
+    plain = F.lower(F.coalesce(text, F.lit("")))
+    without = F.replace(plain, F.lit(_MARK), F.lit(" "))
     for pattern, instead in ((_TO_OPENING, _MARK), (_BLOCK, "$1"), (_LINE, ""), (_WITHIN, "$1")):
-        plain = F.regexp_replace(plain, F.lit(pattern), F.lit(instead))
+        without = F.regexp_replace(without, F.lit(pattern), F.lit(instead))
+    noticed = F.lit(False)
+    for sign in SIGNS:
+        noticed = noticed | plain.contains(sign)
+    plain = F.when(noticed, without).otherwise(plain)  # most lines have no notice
     plain = F.concat(F.lit(" "), F.regexp_replace(plain, F.lit(_BETWEEN), F.lit(" ")), F.lit(" "))
     for spelling, usual in SPELLINGS:
         plain = F.replace(plain, F.lit(f" {spelling} "), F.lit(f" {usual} "))
