@@ -6,8 +6,9 @@ non-letters become spaces, so that digits and markup do not decide. Long texts a
 in pieces, all of them, and the sizes are summed. Where the two smallest sizes lie closer than
 ``narrow`` (relative), the document is rejected: the name is still given.
 
-Bounded: a dictionary holds at most ``DICTIONARY_TEXTS`` pieces of ``DICTIONARY_CHARS``
-characters per language, drawn by a hash over the whole training table.
+Bounded: the ``LANGUAGES`` most frequent labels are learned, however many values a dirty column
+has. A dictionary holds at most ``DICTIONARY_TEXTS`` pieces of ``DICTIONARY_CHARS`` characters,
+texts and places in them drawn by a hash over the whole training table.
 
 Defined cases: a null text, or one without any letter, gives ``und``, score 0 and is rejected.
 Rows with a null ``lang`` or id are never learned from but are predicted. Sizes that tie go to
@@ -30,6 +31,7 @@ from millrace.llm.common import remainder, table
 
 DICTIONARY_TEXTS = 256
 DICTIONARY_CHARS = 512
+LANGUAGES = 64
 PIECE_BYTES = 16384
 NARROW = 0.005
 UNKNOWN = "und"
@@ -92,17 +94,23 @@ def fit_languages(
     label: str = "lang",
     texts: int = DICTIONARY_TEXTS,
     chars: int = DICTIONARY_CHARS,
+    languages: int = LANGUAGES,
 ) -> LanguageModel:
-    """Dictionaries from a bounded sample of each language's rows.
+    """Dictionaries from a bounded sample of the rows of the ``languages`` most frequent labels.
 
-    A first aggregate counts the rows of every language; the rate of the hashed draw follows
-    from it, so that about four times ``texts`` rows of a language are cut to ``chars``
-    characters and the first ``texts`` of them by hash are kept.
+    A first aggregate counts the rows of every label; the rate of the hashed draw follows
+    from it, so that about four times ``texts`` rows of a language give a piece of ``chars``
+    characters, from a place drawn by a hash, and the first ``texts`` of them by hash are kept.
+    Other labels are not learned.
     """
+    place = F.pmod(F.xxhash64(key, F.lit(5)), F.greatest(F.lit(1), F.length(text) - chars + 1)) + 1
     usable = training.where(
         F.col(label).isNotNull() & F.col(key).isNotNull() & (F.length(text) > 0)
-    ).select(F.col(key).alias("key"), F.substring(text, 1, chars).alias("text"), F.col(label).alias("label"))
-    counts = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    ).select(
+        F.col(key).alias("key"), F.substring(F.col(text), place.cast("int"), F.lit(chars)).alias("text"), F.col(label).alias("label")
+    )
+    frequent = usable.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(languages)
+    counts = {r["label"]: r["n"] for r in frequent.collect()}
     if not counts:
         return LanguageModel(())
     draw = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 40)) / float(1 << 40)
