@@ -222,12 +222,16 @@ def fit_quality(
     label: str = "quality",
     sample_rows: int = SAMPLE_ROWS,
 ) -> AdditiveModel:
-    """Model fitted on at most ``sample_rows`` of the labels for which ``usable`` holds."""
+    """Model fitted on at most ``sample_rows`` of the labels for which ``usable`` holds.
+
+    An id that several documents have teaches one of their texts, chosen by a hash.
+    """
     known = labels.where(usable & F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(key, label)
     drawn = known.orderBy(F.xxhash64(key, F.lit(3)), key, label).limit(sample_rows)
     sample = drawn.withColumnRenamed(label, "__label")
     # the sample is bounded by its parameter; documents are filtered where they lie
     taught = docs.select(key, text).join(F.broadcast(sample), key)
+    taught = taught.groupBy(key, "__label").agg(F.min_by(text, F.xxhash64(text)).alias(text))
     rows = _featured(taught, ["__label", key], text).orderBy(key, "__label").collect()
     features = np.array([r["features"] for r in rows], float).reshape(len(rows), len(FEATURES))
     return fit_additive(features, np.array([r["__label"] for r in rows], float))
