@@ -7,6 +7,7 @@ import time
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -576,3 +577,60 @@ def test_languages_on_odd_rows(spark):
     nothing = language_id.fit_languages(docs.limit(0))
     assert {r["lang_pred"] for r in language_id.identify_languages(docs, nothing).collect()} == {"und"}
     assert language_id.identify_languages(odd(spark, []), model).count() == 0
+
+
+# bounds of what is learned
+
+
+def test_a_dirty_label_column_is_learned_in_part(spark):
+    words = {"aa": "lorem ipsum dolor sit", "bb": "quick brown foxes jump", "cc": "ein kleiner satz hier"}
+    rows = [(i, f"{text} {text.title()} {i}", name) for i in range(40) for name, text in words.items()]
+    rows += [(1000 + i, "noise of a label", f"dirty {i}") for i in range(5000)]
+    docs = spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language_id.fit_languages(docs, languages=3)
+    assert [name for name, _ in model.dictionaries] == ["aa", "bb", "cc"]
+    assert sum(len(content) for _, content in model.dictionaries) < 3 * language_id.DICTIONARY_TEXTS * language_id.DICTIONARY_CHARS
+
+
+def test_pieces_come_from_anywhere_in_a_text(spark):
+    text = "head " * 400 + "tail " * 400
+    docs = spark.createDataFrame([(i, text, "xx") for i in range(60)], "doc_id long, text string, lang string")
+    ((_, content),) = language_id.fit_languages(docs, chars=100).dictionaries
+    assert content.count(b"head") > 200 and content.count(b"tail") > 200
+
+
+def test_languages_by_direct_compression(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fit_languages(docs)
+    rows = {r["doc_id"]: r for r in language_id.identify_languages(docs, model).collect()}
+    for row in docs.limit(60).collect():
+        plain = language_id.letters(row["text"])
+        sizes = []
+        for name, content in model.dictionaries:
+            dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            tool = zstandard.ZstdCompressor(dict_data=dictionary, compression_params=language_id.settings(content))
+            sizes.append(sum(len(tool.compress(plain[i : i + 16384])) for i in range(0, len(plain), 16384)))
+        best = min(range(len(sizes)), key=lambda k: sizes[k])
+        second = sorted(sizes)[1]
+        assert rows[row["doc_id"]]["lang_pred"] == model.dictionaries[best][0]
+        assert rows[row["doc_id"]]["score"] == pytest.approx((second - sizes[best]) / second)
+
+
+def test_an_id_that_repeats_teaches_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(7, f"text number {i} of many") for i in range(3000)] + [(i, "x " * i) for i in range(10, 40)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1)] + [(i, i % 2) for i in range(10, 40)], "doc_id long, quality int")
+    taught = []
+    plain = quality.fit_additive
+    monkeypatch.setattr(quality, "fit_additive", lambda f, y: taught.append(len(f)) or plain(f, y))
+    quality.fit_quality(docs, labels, F.lit(True))
+    assert taught == [31]
+
+
+def test_scores_are_sums_of_table_values(spark):
+    rng = np.random.default_rng(5)
+    features = rng.normal(size=(400, len(quality.FEATURES)))
+    target = (features[:, 0] + features[:, 1] * features[:, 2] > 0).astype(float)
+    model = quality.fit_additive(features, target)
+    scores = model.scores(features)
+    assert ((scores >= 0) & (scores <= 1)).all() and ((scores > 0.5) == target).mean() > 0.85
