@@ -87,6 +87,16 @@ def _log_results(spark, folder):
     )
 
 
+def _log_fields(spark, folder):
+    # ``other`` stands in no schema.
+    found = _results(spark, folder)
+    taken = {"other": ("$.other[0]", "bigint"), "job_seconds": ("$.timing.job_seconds", "double"), "run_id": ("$.run_id", "string")}
+    return found.where("fields IS NOT NULL").select(
+        F.regexp_extract("path", "([^/]*)[.]log$", 1).alias("log"),
+        *[F.try_variant_get("fields", *where).alias(name) for name, where in taken.items()],
+    )
+
+
 def _run_report(spark, folder):
     path = scratch_folder(spark, folder, "run-report")
     summaries.write_tsv(summaries.run_report(_results(spark, folder)), path)
@@ -172,6 +182,7 @@ def _run_record(spark, folder):
 QUERIES = {
     "metrics_folder_summary": _metrics_folder,
     "log_results": _log_results,
+    "log_fields": _log_fields,
     "run_report": _run_report,
     "sampler_files": _sampler_files,
     "scaling_record_files": _scaling_record_files,
@@ -188,6 +199,8 @@ _PAYLOAD = """'{"run_id": "r' || id || '", "rows": ' || rows || ', "other": [1],
 ORACLE = {
     "metrics_folder_summary": metrics.node_summary_sql(_KEY_SQL),
     "log_results": f"SELECT log, {_PAYLOAD} AS payload, 'r' || id AS run_id, rows FROM ({_FIRST})",
+    "log_fields": f"""
+        SELECT log, 1::BIGINT AS other, id % 100 + 0.5::DOUBLE AS job_seconds, 'r' || id AS run_id FROM ({_FIRST})""",
     "run_report": f"""
         SELECT 'job_seconds' AS label, (id % 100) || '.5' AS text FROM ({_FIRST})
         UNION ALL SELECT 'partition_balance(before)', '{{"num_partitions":' || (id % 9) || '}}' FROM ({_FIRST})""",

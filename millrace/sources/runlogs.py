@@ -53,6 +53,18 @@ def parse_result(payload: Column, schema: str = RESULT_SCHEMA) -> Column:
     return F.when(text.startswith("{") & text.endswith("}"), F.get(single, 0))
 
 
+def parse_fields(payload: Column) -> Column:
+    """A result as VARIANT with all its fields, named in a schema or not; null where ``parse_result`` is.
+
+    Take fields with ``try_variant_get(fields, "$.name", type)``. Parsed within an array, as
+    there, so that nothing may follow the object.
+    """
+    text = F.btrim(payload, F.lit(" \t\r\n"))
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(text.startswith("{") & text.endswith("}") & alone, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def plain_path(path: Column) -> Column:
     """Local paths are written ``file:/x`` or ``file:///x``; use the first form."""
     return F.regexp_replace(path, "^file:/+", "file:/")
@@ -76,7 +88,9 @@ def first_marked_line(lines: DataFrame) -> DataFrame:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, payload, result)`` for every log: its first marked line.
+    """``(path, payload, result, fields)`` for every log: its first marked line.
+
+    ``result`` has the fields that are known beforehand, ``fields`` all of them as VARIANT.
 
     A log without a marked line, or whose first one is malformed, has a null
     result. A missing path gives no rows. Logs are searched once, by pieces, each up to
@@ -84,13 +98,18 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     """
     if files.opens(path):
         if not files.exists(path):
-            return spark.createDataFrame([], f"path string, payload string, result {RESULT_SCHEMA}")
+            return _parsed(spark.createDataFrame([], "path string, payload string"))
         marked = files.load(spark, files.MarkedLines, path, marker=RESULT_MARKER)
         first = marked.groupBy("path").agg(F.min_by("line", "at").alias("line"))
         found = first.select("path", F.regexp_extract("line", _MARKED_LINE, 1).alias("payload"))
     else:
         found = _found_by_spark(spark, path)
-    return found.select("path", "payload", parse_result(F.col("payload")).alias("result"))
+    return _parsed(found)
+
+
+def _parsed(found: DataFrame) -> DataFrame:
+    payload = F.col("payload")
+    return found.select("path", "payload", parse_result(payload).alias("result"), parse_fields(payload).alias("fields"))
 
 
 def _found_by_spark(spark: SparkSession, path: str) -> DataFrame:

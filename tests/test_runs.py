@@ -41,6 +41,17 @@ def test_result_lines(spark, write):
     assert results(spark, "/tmp/no-such-log") == {}
 
 
+def test_all_fields_of_a_result(spark):
+    texts = {
+        '{"run_id":"a","new":{"x":[1,2]}}': 2, ' {"new":{"x":[0,"5"]}}\r': 5, '{"a":1}}': None, '{"a":1} {"b":2}': None,
+        '{"a":1}, {"new":{"x":[1,2]}}': None, '{"a":1} x }': None, "{'a':1}": None, "[1]": None, "": None, "{": None}
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "payload string").withColumn("fields", runlogs.parse_fields(F.col("payload")))
+    got = df.select("payload", F.try_variant_get("fields", "$.new.x[1]", "int").alias("x"), F.col("fields").isNull().alias("none"))
+    both = df.select(runlogs.parse_result(F.col("payload")).isNull() == F.col("fields").isNull()).collect()
+    assert all(r[0] for r in both)
+    assert {r.payload: r.x for r in got.collect() if r.payload is not None} == texts
+
+
 def test_first_line_wins_when_a_log_is_split(spark, write):
     filler = "".join(f"line {i} filler\n" for i in range(4000))
     path = write("big.log", filler + MARK + '{"run_id":"one"}\n' + filler + MARK + '{"run_id":"two"}\n')
