@@ -9,6 +9,10 @@ separators or capitals, if the vocabulary spells them in few tokens). What a bas
 passes, its stretches between known words, digests and UUIDs are tested, and windows of ``WINDOW``
 characters within these, so that ordinary words beside a secret do not hide it.
 
+Runs and stretches of ``SHORTEST`` to ``LONG`` - 1 characters are tested more strictly, as few tokens tell
+little: they must have letters and digits and fewer than ``SHORT_RATIO`` characters per token, and
+those of hexadecimal digits alone pass for identifiers. Shorter ones are not tested.
+
 Positions are code points, ends exclusive. Every text is scanned whole; runs are tokenised in
 pieces of ``PIECE`` characters, so that a run of any length costs in proportion.
 
@@ -34,7 +38,8 @@ from millrace.llm.common import table
 
 RANKS_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 RATIO = 2.2
-SHORTEST = 20
+SHORTEST, LONG = 12, 20
+SHORT_RATIO = 1.8
 WINDOW, STRIDE = 40, 10
 PIECE = 256
 KINDS = ("assign", "access", "hex", "random")
@@ -52,6 +57,7 @@ _DIGEST = re.compile(
 )
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _KNOWN_PART = re.compile(rf"(?<![A-Za-z0-9])(?:{_UUID.pattern}|{_DIGEST.pattern})(?![A-Za-z0-9])", re.IGNORECASE)
+_SHORT_ID = re.compile(r"[0-9a-f]{1,19}|[0-9A-F]{1,19}")
 _NUMBERS = re.compile(r"[0-9+/_=-]+")
 _SEPARATORS = re.compile(r"[+/_=-]+")
 _PART = re.compile(r"[^+/_=-]+")
@@ -113,6 +119,15 @@ def characters_per_token(run: str, encoding: tiktoken.Encoding) -> float:
     return len(run) / sum(len(encoding.encode_ordinary(piece)) for piece in pieces)
 
 
+def _badly_spelled(run: str, encoding: tiktoken.Encoding, ratio: float) -> bool:
+    """The token test of a run or a part of one."""
+    if len(run) >= LONG:
+        return characters_per_token(run, encoding) < ratio
+    if len(run) < SHORTEST or not any(map(str.isdigit, run)) or not any(map(str.isalpha, run)):
+        return False
+    return not _SHORT_ID.fullmatch(run) and characters_per_token(run, encoding) < min(ratio, SHORT_RATIO)
+
+
 def _hides_random(part: str, encoding: tiktoken.Encoding, ratio: float) -> bool:
     """Whether a window of a long part is spelled badly."""
     return len(part) > WINDOW and any(
@@ -144,21 +159,26 @@ def _stretches(run: str, encoding: tiktoken.Encoding, ratio: float) -> Iterator[
 
 def _random_parts(run: str, encoding: tiktoken.Encoding, ratio: float) -> list[tuple[int, int]]:
     """Spans of random strings in a run: all of it, or stretches or windows of it."""
-    if len(run) < SHORTEST or is_benign(run, encoding, ratio) and not any(_hides_random(p, encoding, ratio) for p in _PART.findall(run)):
+    if len(run) < SHORTEST:
+        return []
+    if len(run) < LONG:
+        return [(0, len(run))] if _badly_spelled(run, encoding, ratio) and not is_benign(run, encoding, ratio) else []
+    benign = is_benign(run, encoding, ratio)
+    if benign and not any(_hides_random(p, encoding, ratio) for p in _PART.findall(run)):
         return []
-    if not is_benign(run, encoding, ratio) and characters_per_token(run, encoding) < ratio:
+    if not benign and _badly_spelled(run, encoding, ratio):
         return [(0, len(run))]
     spans: list[tuple[int, int]] = []
     for begin, end in _stretches(run, encoding, ratio):
         stretch = run[begin:end]
         if len(stretch) < SHORTEST or is_benign(stretch, encoding, ratio) and not _hides_random(stretch, encoding, ratio):
             continue
-        if characters_per_token(stretch, encoding) < ratio:
+        if _badly_spelled(stretch, encoding, ratio):
             spans.append((begin, end))
             continue
         for low in range(begin, end - WINDOW + STRIDE, STRIDE):
             high = min(low + WINDOW, end)
-            if high - low >= SHORTEST and characters_per_token(run[low:high], encoding) < ratio:
+            if high - low >= LONG and characters_per_token(run[low:high], encoding) < ratio:
                 if spans and low <= spans[-1][1]:
                     spans[-1] = (spans[-1][0], high)
                 else:
