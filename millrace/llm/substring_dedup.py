@@ -11,7 +11,7 @@ Memory: a collection holds about ``COLLECTED`` windows, a range of hashes about
 ``RANGE_BYTES`` of text; the number of ranges, a power of two, follows the measured size of the
 table, so ranges stay alike at any size. A collection is cut into at most ``2**COARSE_BITS``
 ranges, so its rows and the windows of a row stay alike as well; where there must be more ranges
-(from some 64 GB of text on), entries of a coarse range are brought together first and cut again
+(from some 32 GB of text on), entries of a coarse range are brought together first and cut again
 there, some million windows at a time. Hashes have 64 bits: among n different windows about
 n^2 / 2^65 pairs share one by chance (0.0004 pairs for the 125 million windows of 0.9 GB of text).
 
@@ -36,7 +36,7 @@ from millrace.llm.hashing import WordHashes, window_hashes
 WIDTH = 50
 COLLECTED = 1_000_000
 COLLECTED_DOCUMENTS = 60_000
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 COARSE_BITS = 12
 REFINED = 2_000_000
 
