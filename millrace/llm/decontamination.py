@@ -3,13 +3,12 @@
 Words are runs of 0-9, a-z (A-Z lower-cased) and anything outside ASCII. A window is ``WINDOW``
 consecutive words of an item; an item with fewer words is one window. The windows go to the
 tasks as a broadcast set of rolling hashes over word numbers; every position of a document
-whose hash is in the set is verified against the window's word numbers. Words have their numbers
-by 64-bit hashes; a document's word passes for another one by chance in fewer than 1 of 10^12.
+whose hash is in the set is verified against the window's word numbers, which are exact.
 
-The set is held in arrays: the hash of each distinct word, all items' words as numbers, and per
-window its hash, sorted, and where it stands. That comes to at most ``WORD_BYTES`` per word of
-the benchmark, whose words are counted first; it is cut into blocks of about ``BLOCK_BYTES`` of
-index by a hash of the rows, so the broadcast is bounded. Documents pass the blocks one after another,
+The set is held in arrays, all items' words as numbers and per window its hash, sorted, and where
+it stands, beside a dictionary of the distinct words. That comes to ``WORD_BYTES`` per word and
+``DISTINCT_BYTES`` per distinct word of the benchmark, which are counted first; it is cut into blocks
+of about ``BLOCK_BYTES`` of index by a hash of the rows, so the broadcast is bounded. Documents pass the blocks one after another,
 carrying the words hit so far; with one block, the usual case, that is a map without a shuffle.
 
 Defined cases: null texts, and texts without words, have no words, are clean and, as items,
@@ -23,11 +22,12 @@ from __future__ import annotations
 import math
 import re
 import string
+import sys
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +35,9 @@ from millrace.llm.common import checkpointed, portions, table
 
 WINDOW = 10
 BLOCK_BYTES = 64 << 20
-#: Bytes of index per word: window hash 8 and place 4, number 4, distinct word 8.
-WORD_BYTES = 24
-#: Words whose numbers a task remembers.
-WORDS_KEPT = 200_000
+#: Bytes of index per word (window hash 8, place 4, number 4) and per distinct word (entry, text, number).
+WORD_BYTES = 16
+DISTINCT_BYTES = 200
 
 _IN_WORDS = set(string.digits.encode() + string.ascii_lowercase.encode()) | set(range(128, 256))
 _WORD_BYTES = bytes(ord(chr(b).lower()) if chr(b) in string.ascii_uppercase else b if b in _IN_WORDS else 32 for b in range(256))
@@ -60,42 +59,24 @@ def _hashes(numbers: np.ndarray, width: int, seed: int) -> np.ndarray:
     return total
 
 
-class _Numbers(dict):
-    """Number of a word in a sorted array of hashes, -1 if it is not there; forgets when it is full."""
-
-    def __init__(self, known: np.ndarray):
-        super().__init__()
-        self.known = known
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        code = np.uint64(xxhash.xxh3_64_intdigest(word))
-        at = int(self.known.searchsorted(code))
-        number = self[word] = at if at < len(self.known) and self.known[at] == code else -1
-        return number
-
-
 class WindowIndex:
     """The windows of benchmark items (id, text)."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.items: list[str | None] = []
+        self.numbers: dict[bytes, int] = {}
         coded = []
         for item, text in items:
             words = words_of(text)
             if words:
                 self.items.append(item)
-                coded.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
-        flat = np.concatenate([np.empty(0, np.uint64), *coded])
-        self.known = np.unique(flat)
-        self.words = np.searchsorted(self.known, flat).astype(np.int32)
+                coded.append(np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words], np.int32))
+        self.words = np.concatenate([np.empty(0, np.int32), *coded])
         sizes = np.array([len(c) for c in coded], np.int64)
         self.begins = np.cumsum(sizes) - sizes  # of items, in ``words``
         self.seed = 0
         while not self._build(sizes, window):
             self.seed += 1
-        self._numbers = _Numbers(self.known)
 
     def _build(self, sizes: np.ndarray, window: int) -> bool:
         """Hashes and places of windows by width; fails if two different windows have one hash."""
@@ -122,19 +103,14 @@ class WindowIndex:
         steps = np.arange(width)
         return (self.words[starts[:, None] + steps] == words[at[:, None] + steps]).all(axis=1)
 
-    def __getstate__(self) -> dict:
-        return {name: value for name, value in self.__dict__.items() if name != "_numbers"}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self._numbers = _Numbers(self.known)
-
     def nbytes(self) -> int:
-        return self.known.nbytes + self.words.nbytes + self.begins.nbytes + sum(a.nbytes + b.nbytes for a, b in self.windows.values())
+        """Bytes in memory; words are taken at what a short one costs in a dictionary."""
+        arrays = self.words.nbytes + self.begins.nbytes + sum(a.nbytes + b.nbytes for a, b in self.windows.values())
+        return arrays + sys.getsizeof(self.numbers) + sum(sys.getsizeof(w) + 32 for w in self.numbers)
 
     def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """Which words lie in an occurrence of a window, and the items that own those windows."""
-        numbered = np.fromiter(map(self._numbers.__getitem__, words), np.int32, len(words))
+        numbered = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int32, len(words))
         marks = np.zeros(len(words) + 1, np.int64)
         owners: list[np.ndarray] = []
         strange = np.concatenate([[0], np.cumsum(numbered < 0)])
@@ -164,8 +140,9 @@ def benchmark_blocks(
 ) -> Iterator[WindowIndex]:
     """Indexes over all items, each of about ``block_bytes`` at most."""
     rows = items.select(F.col(key).cast("string").alias("item"), F.col(text).alias("text"))
-    words = rows.agg(F.sum(F.regexp_count("text", F.lit(_WORD.pattern)))).first()[0] or 0
-    blocks = max(1, math.ceil(words * WORD_BYTES / block_bytes))
+    words = rows.select(F.explode(F.regexp_extract_all("text", F.lit(_WORD.pattern), F.lit(0))).alias("word"))
+    counted = words.agg(F.count("word").alias("all"), F.count_distinct("word").alias("distinct")).first()
+    blocks = max(1, math.ceil((counted["all"] * WORD_BYTES + counted["distinct"] * DISTINCT_BYTES) / block_bytes))
     block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
     for k in range(blocks):
         part = rows.where(block == k).distinct().collect()  # bounded by block_bytes
