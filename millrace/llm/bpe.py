@@ -12,10 +12,14 @@ Two tokens can stand side by side when merging the symbols of both gives just th
 Special tokens in a text are cut out first; normalisation and splitting into words are the
 tokenizer file's own, done by the library for any text that is not plain Latin.
 
+A portion of texts is split, numbered by distinct stretches between white space and by distinct
+words, and put together again from the words' tokens as Arrow arrays; only distinct words are
+looked at one by one.
+
 Bounded: a trie holds the new words of one portion of texts (``PORTION_BYTES``). A worker
-remembers words, and stretches of text between white space, in two generations of about
-``KNOWN_SYMBOLS`` symbols each: when the younger is full it becomes the older, and what was
-not asked for meanwhile is forgotten. A long word costs its length.
+remembers words in two generations of about ``KNOWN_SYMBOLS`` symbols each: when the younger is
+full it becomes the older, and what was not asked for meanwhile is forgotten. A long word costs
+its length.
 
 Defined cases: a null or empty text has no tokens and decodes to the empty text. An id outside
 the vocabulary decodes to nothing, as in the library. Repeated rows are encoded one by one;
@@ -24,16 +28,18 @@ columns beside key and text are ignored.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -43,7 +49,7 @@ from millrace.llm.common import portions, table
 TOKENIZER_PATH = public_tokenizers.path("word_bpe_49k.json")
 KNOWN_SYMBOLS = 4_000_000
 KNOWN_PAIRS = 400_000
-KNOWN_ENDS = 200_000
+KNOWN_STEPS = 200_000
 PORTION_BYTES = 2 << 20
 
 # The normaliser and splitter of the file named above. With these, a text of ASCII
@@ -70,14 +76,16 @@ _PRE_TOKENIZER = {
     ],
 }
 _LETTERS = "a-z\u00df-\u00f6\u00f8-\u024f"
-_PLAIN_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
+_PLAIN_WORD = f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+"
 # Latin letters whose lower case is one letter of the same class; schwa and others have theirs outside.
 _LATIN = [c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and re.fullmatch(f"[{_LETTERS}]", c.lower())]
-_PLAIN = re.compile(f"[\t-\r -~{''.join(_LATIN)}]*")
+_PLAIN_SYMBOLS = f"\t-\r -~{''.join(_LATIN)}"
+_PLAIN = re.compile(f"[{_PLAIN_SYMBOLS}]*")
 # Byte-level symbols: printable bytes stand for themselves, the others for 256 and on, in order.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_SYMBOLS = {byte: 256 + k for k, byte in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-END = 4  # symbols by which the lengths of possible last tokens are looked up
+_OTHERS = [b for b in range(256) if b not in _PRINTABLE]
+_SYMBOLS = "".join(chr(256 + _OTHERS.index(b) if b in _OTHERS else b) for b in range(256))
+_SYMBOLS = _SYMBOLS.replace(_SYMBOLS[ord("\n")], "\n")  # stands between words, never in one
 HEAD = 24  # symbols of words that are compared all at once
 EACH = 8  # what an entry costs beside its symbols
 _LAST = 0x10000  # added to the code point of a word's last symbol, which carries the word end
@@ -88,6 +96,11 @@ def _closed(word: str) -> str:
     return word[:-1] + chr(ord(word[-1]) + _LAST)
 
 
+#: The symbols it stands for, the end one symbol on, and the tokens that can be last there, longest
+#: first: how long, which, and whether they can follow a token, as far as known.
+End = tuple[str, dict[str, "End"], list[tuple[int, int, Callable[[int], bool | None]]]]
+
+
 class TrieEncoder:
     """Encodes sets of words by the vocabulary and merges of a tokenizer file."""
 
@@ -97,15 +110,13 @@ class TrieEncoder:
 
         self.ids = {plain(token): i for token, i in vocabulary.items()}
         self.ranks = {(plain(a), plain(b)): rank for rank, (a, b) in enumerate(merges)}
-        self.sizes: dict[str, tuple[int, ...]] = {}  # by last symbols, lengths of tokens that may end there
-        self.long_sizes: dict[str, set[int]] = {}
-        for token in self.ids:
-            if len(token) > END:
-                self.long_sizes.setdefault(token[-END:], set()).add(len(token))
         self.origins: dict[str, tuple[int, str, str] | None] = {}
         self.names = {i: token for token, i in self.ids.items()}
-        self.span = max(self.names, default=0) + 1
-        self.neighbours: dict[int, bool] = {}  # by id before * span + id
+        self.lengths = {i: len(token) for i, token in self.names.items()}
+        self.begins = {token[:n] for token in self.ids for n in range(len(token) + 1)}
+        self.neighbours: dict[int, dict[int, bool]] = {}  # by token, then by the token before it
+        self.ends: dict[str, End] = {}
+        self.known_pairs = self.known_steps = 0
 
     def _origin(self, token: str) -> tuple[int, str, str] | None:
         """Rank and parts of the last merge that makes a token; rank -1 for one symbol.
@@ -152,21 +163,34 @@ class TrieEncoder:
             return False
         return before < 0 or self._side_by_side(self.names[before], name)
 
-    def _sizes(self, end: str) -> tuple[int, ...]:
-        """Lengths of the tokens that can end a prefix that ends so, longest first."""
-        sizes = self.sizes.get(end)
-        if sizes is None:
-            short = [n for n in range(1, len(end) + 1) if end[-n:] in self.ids]
-            if len(self.sizes) >= KNOWN_ENDS:
-                self.sizes.clear()
-            sizes = self.sizes[end] = tuple(sorted({*short, *self.long_sizes.get(end, ())}, reverse=True))
-        return sizes
-
-    def _pair_fits(self, pair: int) -> bool:
-        if len(self.neighbours) >= KNOWN_PAIRS:
-            self.neighbours.clear()
-        before, token = divmod(pair, self.span)
-        fits = self.neighbours[pair] = self._fits(before, token)
+    def _end(self, spelled: str) -> End:
+        """The end of a prefix by the longest of its last symbols that begin a token."""
+        if spelled not in self.ends:
+            fitting = [i for k in range(len(spelled)) if (i := self.ids.get(spelled[k:])) is not None]
+            after = [(self.lengths[i], i, self.neighbours.setdefault(i, {}).get) for i in fitting]
+            self.ends[spelled] = spelled, {}, after
+        return self.ends[spelled]
+
+    def _step(self, end: End, symbol: str) -> End:
+        """The end of a prefix that goes on with ``symbol``."""
+        spelled = end[0] + symbol
+        while spelled not in self.begins:
+            spelled = spelled[1:]
+        if self.known_steps >= KNOWN_STEPS:
+            self.known_steps = 0
+            for _, steps, _ in self.ends.values():
+                steps.clear()
+        self.known_steps += 1
+        longer = end[1][symbol] = self._end(spelled)
+        return longer
+
+    def _pair_fits(self, before: int, token: int) -> bool:
+        if self.known_pairs >= KNOWN_PAIRS:
+            self.known_pairs = 0
+            for known in self.neighbours.values():
+                known.clear()
+        self.known_pairs += 1
+        fits = self.neighbours[token][before] = self._fits(before, token)
         return fits
 
     def encode(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
@@ -174,24 +198,25 @@ class TrieEncoder:
         trie = sorted(map(_closed, words))
         encoded = {}
         lasts = [-1]  # by length of prefix; nothing precedes the first token
-        id_of, sizes_of, known, names, span = self.ids.get, self.sizes.get, self.neighbours.get, self.names, self.span
+        ends = [self._end("")]  # likewise
+        lengths = self.lengths
         for word, shared in zip(trie, _shared_prefixes(trie)):
-            del lasts[shared + 1 :]
-            for at in range(shared + 1, len(word) + 1):
-                end = word[at - END : at] if at > END else word[:at]
-                for size in sizes_of(end) or self._sizes(end):
-                    if size <= at and (token := id_of(word[at - size : at])) is not None:
-                        pair = lasts[at - size] * span + token
-                        fits = known(pair)
-                        if fits or (fits is None and self._pair_fits(pair)):
-                            lasts.append(token)
-                            break
+            del lasts[shared + 1 :], ends[shared + 1 :]
+            end = ends[shared]
+            for symbol in word[shared:]:
+                end = end[1].get(symbol) or self._step(end, symbol)
+                for size, token, fits_after in end[2]:
+                    fits = fits_after(before := lasts[-size])
+                    if fits or (fits is None and self._pair_fits(before, token)):
+                        lasts.append(token)
+                        ends.append(end)
+                        break
                 else:
-                    raise ValueError(f"no token of the vocabulary ends {end!r}")
+                    raise ValueError(f"no token of the vocabulary ends {word[: len(lasts)]!r}")
             tokens, at = [], len(word)
             while at:
                 tokens.append(lasts[at])
-                at -= len(names[lasts[at]])
+                at -= lengths[lasts[at]]
             encoded[word[:-1] + chr(ord(word[-1]) - _LAST)] = tuple(reversed(tokens))
         return encoded
 
@@ -217,14 +242,16 @@ class Memory:
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
 
-    def unknown(self, texts: set[str]) -> set[str]:
-        """Those not remembered; the others are young again."""
-        missing = texts.difference(self.young)
-        again = missing.intersection(self.old)
-        for text in again:
-            self.young[text] = self.old[text]
-            self.held += len(text) + EACH
-        return missing - again
+    def recall(self, texts: list[str]) -> list[object | None]:
+        """What was found by each of the distinct texts, None if it is not remembered."""
+        found = list(map(self.young.get, texts))
+        missing = [k for k, value in enumerate(found) if value is None]
+        again = {}
+        for k, value in zip(missing, [self.old.get(texts[k]) for k in missing]):
+            if value is not None:
+                again[texts[k]] = found[k] = value
+        self.add(again)  # young again
+        return found
 
     def add(self, found: dict[str, object]) -> None:
         self.young.update(found)
@@ -236,6 +263,19 @@ class Memory:
             self.old, self.young, self.held = self.young, {}, 0
 
 
+def _in_order(parts: list[pa.Array], second: pa.Array) -> pa.Array:
+    """Rows of two arrays as one, taken from the second where ``second`` says so."""
+    order = np.argsort(second.to_numpy(zero_copy_only=False), kind="stable")
+    return pa.concat_arrays(parts).take(pa.array(np.argsort(order)))
+
+
+def _joined(lists: pa.ListArray, groups: pa.ListArray) -> pa.ListArray:
+    """Lists end to end, as many at a time as each of ``groups`` has members."""
+    counts = pc.list_value_length(groups).to_numpy()
+    borders = np.cumsum(np.concatenate([[0], counts]))
+    return pa.ListArray.from_arrays(lists.offsets.take(pa.array(borders)), lists.values)
+
+
 class BpeCodec:
     """Texts to token ids and back, as the tokenizer file defines."""
 
@@ -259,12 +299,13 @@ class BpeCodec:
         by_length = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, by_length)) + ")").split if added else None
         self.pieces = {i: t for t, i in chain(model["vocab"].items(), self.special.items())}
+        self.spelled = pa.array(map(self.pieces.get, range(max(self.pieces, default=-1) + 1)), pa.string())
         self.usual = (content["normalizer"], content["pre_tokenizer"]) == (_NORMALIZER, _PRE_TOKENIZER)
-        self.words, self.chunks = Memory(KNOWN_SYMBOLS), Memory(KNOWN_SYMBOLS)
+        self.words = Memory(KNOWN_SYMBOLS)
 
     def _chunks(self, text: str) -> list[str]:
-        """A text as keys of ``chunks``: plain stretches between white space, or else " " and a
-        special token or "  " and a word as the library splits it; no plain stretch has a space."""
+        """A text as plain stretches between white space, or else " " and a special token or "  "
+        and a word as the library splits it; no plain stretch has a space."""
         found: list[str] = []
         for k, part in enumerate(self.cut(text) if self.cut else [text]):
             if k % 2:
@@ -275,41 +316,67 @@ class BpeCodec:
                 found += ["  " + word for word, _ in self.split(self.normalize(part))]
         return found
 
-    def _words(self, chunk: str) -> list[str]:
-        """Words of a chunk, in the symbols of the vocabulary."""
-        if chunk.startswith("  "):
-            return [chunk[2:]]
-        words = [chunk] if chunk.isalpha() else _PLAIN_WORD.findall(chunk)
-        return words if chunk.isascii() else [w.encode().decode("latin-1").translate(_SYMBOLS) for w in words]
+    def _split(self, texts: pa.Array) -> pa.ListArray:
+        """``_chunks`` of every text, in one go for plain texts; a chunk may be empty."""
+        library = pc.match_substring_regex(texts, f"[^{_PLAIN_SYMBOLS}]" if self.usual else "")
+        for special in self.special:
+            library = pc.or_(library, pc.match_substring(texts, special))
+        if not library.true_count:
+            return pc.ascii_split_whitespace(pc.utf8_lower(texts))
+        plain = pc.ascii_split_whitespace(pc.utf8_lower(texts.filter(pc.invert(library))))
+        others = pa.array(map(self._chunks, texts.filter(library).to_pylist()), plain.type)
+        return _in_order([plain, others], library)
+
+    def _words(self, chunks: pa.Array) -> pa.ListArray:
+        """Words of every chunk; of an empty one, and after those that are cut, an empty word."""
+        one = pc.or_(pc.utf8_is_alpha(chunks), pc.starts_with(chunks, " "))
+        alone = chunks.filter(one)
+        alone = pa.ListArray.from_arrays(pa.array(range(len(alone) + 1), pa.int32()), alone)
+        spaced = pc.replace_substring_regex(chunks.filter(pc.invert(one)), f"({_PLAIN_WORD})", r"\1 ")
+        return _in_order([pc.split_pattern(spaced, " "), alone], one)
+
+    def encode_array(self, texts: pa.Array) -> pa.ListArray:
+        """Token ids of every text; none for null."""
+        split = self._split(texts.fill_null(""))
+        chunks = split.flatten().dictionary_encode()
+        cut = self._words(chunks.dictionary)
+        words = cut.flatten().dictionary_encode()
+        ids = self._ids(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        offsets = np.cumsum(np.fromiter(chain([0], map(len, ids)), np.int64, len(ids) + 1))
+        tokens = np.fromiter(chain.from_iterable(ids), np.int32, offsets[-1])
+        by_word = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens))
+        by_chunk = _joined(by_word.take(words.indices), cut)
+        if pc.list_value_length(by_chunk).to_numpy()[chunks.indices.to_numpy()].sum(dtype=np.int64) >= 1 << 31:
+            raise ValueError("a portion of texts holds more than 2^31 tokens")
+        return _joined(by_chunk.take(chunks.indices), split)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [self._chunks(text) if text else [] for text in texts]
-        take = self._ids(set(chain.from_iterable(split))).__getitem__
-        return [np.fromiter(chain.from_iterable(map(take, chunks)), np.int32) for chunks in split]
-
-    def _ids(self, chunks: set[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of every chunk."""
-        for memory in (self.words, self.chunks):
-            memory.age()
-        new = self.chunks.unknown(chunks)
-        ids = {c: self.chunks.young[c] for c in chunks - new}
-        words = {}
-        for chunk in new:
-            if chunk[0] == " " != chunk[1]:
-                ids[chunk] = (self.special[chunk[1:]],)
-            else:
-                words[chunk] = self._words(chunk)
-        self.words.add(self.encoder.encode(self.words.unknown(set(chain.from_iterable(words.values())))))
-        ids_of = self.words.young
-        for chunk, own in words.items():
-            ids[chunk] = ids_of[own[0]] if len(own) == 1 else tuple(chain.from_iterable([ids_of[w] for w in own]))
-        self.chunks.add({c: ids[c] for c in new})
-        return ids
+        encoded = self.encode_array(pa.array(texts, pa.string()))
+        offsets, tokens = encoded.offsets.to_numpy(), encoded.values.to_numpy()
+        return [tokens[begin:end] for begin, end in zip(offsets, offsets[1:])]
+
+    def _ids(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of every one of distinct words."""
+        self.words.age()
+        ids = self.words.recall(words)
+        new = [word for word, known in zip(words, ids) if known is None]
+        found = {word: (self.special[word[1:]],) for word in new if word[:1] == " " != word[1:2]} | {"": ()}
+        plain = [word for word in new if word and word[0] != " "]
+        symbols = codecs.charmap_decode("\n".join(plain).encode(), "strict", _SYMBOLS)[0].split("\n")
+        spelled = dict(zip(plain, symbols)) | {word: word[2:] for word in new if word[:2] == "  "}
+        ids_of = self.encoder.encode(set(spelled.values()))
+        found |= {word: ids_of[own] for word, own in spelled.items()}
+        self.words.add(found)
+        return [found[word] if known is None else known for word, known in zip(words, ids)]
 
     def decode(self, ids: Iterable[int]) -> str:
         pieces = self.pieces
         return " ".join([pieces[i] for i in ids if i in pieces])
 
+    def decode_array(self, encoded: pa.ListArray) -> pa.Array:
+        """``decode`` of every list of ids of the vocabulary."""
+        return pc.binary_join(pa.ListArray.from_arrays(encoded.offsets, self.spelled.take(encoded.values)), " ")
+
 
 @lru_cache(maxsize=2)
 def codec(definition: str) -> BpeCodec:
@@ -317,14 +384,6 @@ def codec(definition: str) -> BpeCodec:
     return BpeCodec(definition)
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.cumsum([0, *map(len, arrays)])
-    if offsets[-1] >= 1 << 31:
-        raise ValueError("a portion of texts holds more than 2^31 tokens")
-    values = np.concatenate(arrays) if arrays else np.empty(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-
-
 def encode_texts(
     docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = TOKENIZER_PATH, decode: bool = False
 ) -> DataFrame:
@@ -338,10 +397,9 @@ def encode_texts(
         coder = codec(shared.value)
         for batch in batches:
             for part in portions(batch, text, PORTION_BYTES):
-                ids = coder.encode(part.column(1).to_pylist())
-                columns = [part.column(0), _lists(ids)]
+                columns = [part.column(0), coder.encode_array(part.column(1))]
                 if decode:
-                    columns.append(pa.array([coder.decode(i.tolist()) for i in ids], pa.string()))
+                    columns.append(coder.decode_array(columns[1]))
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "token_ids", "decoded"][: len(columns)])
 
     kind = docs.schema[key].dataType.simpleString()

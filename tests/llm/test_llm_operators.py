@@ -1,11 +1,14 @@
 """Operators on small tables: odd rows, brute force, bounds that are made to bite."""
 
+import json
 import pickle
 import random
 import string
+import sys
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -212,6 +215,45 @@ def test_codec_equals_the_library_on_every_plain_letter():
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_codec_deals_with_words_not_with_texts():
+    with open(bpe.TOKENIZER_PATH, encoding="utf-8") as file:
+        definition = file.read()
+    library, coder, rnd = Tokenizer.from_str(definition), bpe.BpeCodec(definition), random.Random(3)
+    words = ["".join(rnd.choices("aeinrstéß", k=rnd.randint(1, 9))) + rnd.choice(["", ",", "'s", "..1"]) for _ in range(300)]
+    texts = [rnd.choice(["", " "]) + " ".join(rnd.choices(words, k=20)).title() for _ in range(1000)]
+    calls = 0
+
+    def count(frame, event, argument):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    coder.encode(texts)
+    sys.setprofile(count)
+    try:
+        encoded = coder.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert calls < len(texts)
+    for text, ids in zip(texts, encoded):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_codec_with_plain_texts_among_others():
+    with open(bpe.TOKENIZER_PATH, encoding="utf-8") as file:
+        definition = file.read()
+    unusual = json.loads(definition)
+    unusual["normalizer"]["normalizers"].pop()  # no lower case: every text goes through the library
+    texts = ["漢字 Und", None, " Straße, it's\n", "", "a<|endoftext|>b", "\u00a0x", "''s 12", "<|endoftext|>"]
+    for content in (definition, json.dumps(unusual)):
+        library, coder = Tokenizer.from_str(content), bpe.BpeCodec(content)
+        for part in (texts, texts[::2], texts[:1], texts[1:4], [None], []):
+            wanted = [library.encode(text or "", add_special_tokens=False).ids for text in part]
+            encoded = coder.encode_array(pa.array(part, pa.string()))
+            assert encoded.to_pylist() == wanted == [ids.tolist() for ids in coder.encode(part)]
+            decoded = [library.decode(ids, skip_special_tokens=False) for ids in wanted]
+            assert coder.decode_array(encoded).to_pylist() == decoded
+
+
 def test_bpe_on_odd_rows(spark):
     done = bpe.encode_texts(odd(spark), decode=True)
     rows = done.collect()
