@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm.common import portions, table
+from millrace.llm.common import frugal, portions, table
 
 TOKENIZER_PATH = public_tokenizers.path("word_bpe_49k.json")
 KNOWN_SYMBOLS = 4_000_000
@@ -404,7 +404,7 @@ def encode_texts(
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, token_ids array<int>" + ", decoded string" * decode
-    return docs.select(key, text).mapInArrow(encode, schema)
+    return docs.select(key, text).mapInArrow(frugal(encode), schema)
 
 
 def decode_ids(

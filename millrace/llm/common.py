@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -59,3 +59,19 @@ def portions(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterat
         filled += n
     if begin < len(lengths):
         yield batch.slice(begin)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for ``mapInArrow``; after each batch Arrow gives back the memory it keeps for later ones.
+
+    Python workers outlive their tasks, and what a worker keeps counts for its executor.
+    """
+
+    def release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield batch
+            del batch
+            pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
+
+    return release

@@ -75,7 +75,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         jumps = low.join(above, "low", "left").select(
             "node", F.coalesce("higher", "low").alias("root"), F.col("higher").isNotNull().alias("moved")
         )
-        edges = checkpointed(jumps.unionByName(hooks.where("node <> root")))
+        found = jumps.unionByName(hooks.where("node <> root"))
+        # as many files as forests, or one a core if those are fewer
+        edges = checkpointed(found.coalesce(max(tasks, links.sparkSession.sparkContext.defaultParallelism)))
         moved = edges.agg(F.max("moved")).first()[0]
         edges = edges.drop("moved")
         if not moved:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed, portions, table
+from millrace.llm.common import checkpointed, frugal, portions, table
 
 WINDOW = 10
 BLOCK_BYTES = 64 << 20
@@ -172,7 +172,7 @@ def find_contamination(
     for number, index in enumerate(indexes):
         if number:
             state = checkpointed(state)
-        state = state.mapInArrow(_matcher(state, index), schema)
+        state = state.mapInArrow(frugal(_matcher(state, index)), schema)
     return state.drop("text")
 
 
@@ -218,7 +218,7 @@ def drop_contaminated(
                 clean = [not shared.value.hits(words_of(t.as_py()))[0].any() for t in batch.column(text)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(frugal(keep), docs.schema)
     return docs
 
 

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import remainder, table
+from millrace.llm.common import frugal, remainder, table
 
 DICTIONARY_TEXTS = 256
 DICTIONARY_CHARS = 512
@@ -147,7 +147,7 @@ def identify_languages(
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, lang_pred string, score double, accepted boolean"
-    return docs.select(key, text).mapInArrow(predict, schema)
+    return docs.select(key, text).mapInArrow(frugal(predict), schema)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text", narrow: float = NARROW) -> DataFrame:
@@ -163,7 +163,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text", n
             found = [classify(t.as_py()) for t in batch.column(text)]
             yield batch.filter(pa.array([f[0] != UNKNOWN and f[1] >= narrow for f in found], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(frugal(keep), docs.schema)
 
 
 def learning_rows(docs: DataFrame) -> DataFrame:

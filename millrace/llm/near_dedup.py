@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed, table
+from millrace.llm.common import checkpointed, frugal, table
 from millrace.llm.components import Forest, connected_components
 from millrace.llm.hashing import WordHashes, mixed, window_hashes
 
@@ -124,7 +124,7 @@ def sketch(docs: DataFrame, key: str, text: str, similarity: Similarity) -> Data
             arrays = [pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "n_shingles", "set_digest", "bands"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(frugal(run), schema)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, similarity: Similarity) -> DataFrame:
@@ -139,7 +139,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, simila
             yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["id", "shingles"])
 
     named = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return named.join(wanted, "id", "left_semi").mapInArrow(run, schema)
+    return named.join(wanted, "id", "left_semi").mapInArrow(frugal(run), schema)
 
 
 def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -191,7 +191,7 @@ def hub_links(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> Data
     )
     dealt = members.unionByName(centers).repartition("hub", "portion")
     ordered = dealt.sortWithinPartitions("hub", "portion", F.col("member").asc_nulls_first())
-    return ordered.mapInArrow(_confirm_with_hub(similarity), "a long, b long")
+    return ordered.mapInArrow(frugal(_confirm_with_hub(similarity)), "a long, b long")
 
 
 def _counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -312,7 +312,7 @@ def block_links(classes: DataFrame, sets: DataFrame, similarity: Similarity) ->
         F.when(F.col("is_main"), F.lit(True)).otherwise(F.col("task.second") == me).alias("right"),
     )
     ordered = dealt.repartition("cluster", "first", "second").sortWithinPartitions("cluster", "first", "second")
-    return ordered.mapInArrow(_confirm_blocks(similarity), "a long, b long")
+    return ordered.mapInArrow(frugal(_confirm_blocks(similarity)), "a long, b long")
 
 
 def group_near_duplicates(

@@ -34,7 +34,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import frugal, table
 
 RANKS_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 RATIO = 2.2
@@ -238,7 +238,7 @@ def scan_secrets(
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, secrets array<struct<kind: string, begin: int, end: int>>"
-    return docs.select(key, text).mapInArrow(scan, schema)
+    return docs.select(key, text).mapInArrow(frugal(scan), schema)
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", path: str = RANKS_PATH, ratio: float = RATIO) -> DataFrame:
@@ -253,7 +253,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", path: str = RANKS_PATH,
             at = batch.schema.get_field_index(text)
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(frugal(clean), docs.schema)
 
 
 def _listed(spans: Column) -> Column:

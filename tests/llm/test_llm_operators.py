@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from millrace.llm import bpe, chat, decontamination, language_id, licenses, near_dedup, quality, secrets
 from millrace.llm import substring_dedup, topk
+from millrace.llm.common import frugal
 from millrace.llm.components import connected_components
 
 LONG = " ".join(f"word{i % 997} thing{i % 89}" for i in range(40_000))
@@ -215,6 +216,42 @@ def test_codec_equals_the_library_on_every_plain_letter():
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_arrow_gives_its_memory_back_after_every_batch(monkeypatch):
+    class Pool:
+        released = 0
+
+        def release_unused(self):
+            Pool.released += 1
+
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    batches = [pa.RecordBatch.from_pydict({"a": [i]}) for i in range(3)]
+    seen = [(batch.column(0)[0].as_py(), Pool.released) for batch in frugal(lambda given: (b for b in given))(iter(batches))]
+    assert seen == [(0, 0), (1, 1), (2, 2)] and Pool.released == 4
+    assert list(frugal(iter)(iter([]))) == [] and Pool.released == 5
+
+
+@pytest.mark.parametrize("stage", ["language_id", "near_dedup", "decontamination", "secret_scan", "bpe"])
+def test_maps_of_the_pipeline_are_frugal(spark, monkeypatch, stage):
+    wrapped = []
+    module = {"decontamination": decontamination, "near_dedup": near_dedup, "bpe": bpe}.get(stage) or {
+        "language_id": language_id, "secret_scan": secrets
+    }[stage]
+    monkeypatch.setattr(module, "frugal", lambda run: wrapped.append(run) or frugal(run))
+    docs = odd(spark)
+    if stage == "language_id":
+        language_id.keep_identified(docs, language_id.LanguageModel(()))
+    elif stage == "near_dedup":
+        near_dedup.sketch(docs, "doc_id", "text", near_dedup.Similarity())
+    elif stage == "decontamination":
+        items = spark.createDataFrame([("a", "one two three")], "item_id string, text string")
+        decontamination.drop_contaminated(docs, items)
+    elif stage == "secret_scan":
+        secrets.redact_secrets(docs)
+    else:
+        bpe.encode_texts(docs)
+    assert wrapped
+
+
 def test_codec_deals_with_words_not_with_texts():
     with open(bpe.TOKENIZER_PATH, encoding="utf-8") as file:
         definition = file.read()
@@ -595,6 +632,20 @@ def test_components_of_chains_and_stars(spark, monkeypatch):
     assert connected_components(frame.limit(0)).count() == 0
 
 
+def test_components_write_no_more_files_than_cores_and_forests(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    spark.conf.set(adaptive, "false")
+    try:
+        found = connected_components(spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long"))
+        assert found.rdd.getNumPartitions() <= max(1, spark.sparkContext.defaultParallelism)
+        assert dict(collected(found)) == {i: 0 for i in range(1, 31)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset(adaptive)
+
+
 # language
 
 
